@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, exact_dedup, language_id, packing, simhash, token_counts
+from tessera.llm import decontamination, exact_dedup, html_text, language_id, packing, simhash, token_counts
 
-MODULES = (packing, language_id, simhash, decontamination, exact_dedup, token_counts)
+MODULES = (packing, language_id, simhash, html_text, decontamination, exact_dedup, token_counts)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
