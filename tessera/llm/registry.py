@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, exact_dedup, html_text, language_id, lm_scoring, packing, simhash, suffix_dedup, token_counts
+from tessera.llm import decontamination, exact_dedup, html_text, language_id, line_dedup, lm_scoring, packing, simhash, suffix_dedup, token_counts
 
-MODULES = (packing, language_id, simhash, html_text, decontamination, exact_dedup, suffix_dedup, token_counts, lm_scoring)
+MODULES = (packing, language_id, line_dedup, simhash, html_text, decontamination, exact_dedup, suffix_dedup, token_counts, lm_scoring)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -68,11 +68,12 @@ def _byte(fp: Column, position: int) -> Column:
     return F.shiftrightunsigned(fp, 56 - 8 * position).bitwiseAND(F.lit(255))
 
 
-def links(distinct: DataFrame, crowd: int = 64) -> DataFrame:
+def links(distinct: DataFrame, crowd: int = 64, every: bool = False) -> DataFrame:
     """a, b: links of the column fp (different values) that connect all that differ in at most 2 bits.
 
     Of lists up to crowd every such pair comes out; of larger ones enough of
-    them that the same fingerprints are connected.
+    them that the same fingerprints are connected, or with `every` all (at most
+    2,080 a fingerprint).
     """
     keys = []
     for i, places in enumerate(INDEX):
@@ -91,6 +92,9 @@ def links(distinct: DataFrame, crowd: int = 64) -> DataFrame:
     hot = listed.where(F.col("n") > crowd).select("fp").distinct()
     around = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i))))
     met = hot.select("fp", F.explode(around).alias("value"))
+    if every:
+        meets = met.alias("x").join(met.alias("y"), (F.col("x.value") == F.col("y.value")) & (F.col("x.fp") < F.col("y.fp"))).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+        return pairs.unionByName(meets).distinct()
     first = met.groupBy("value").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
     meets = met.join(first, "value").where("fp != a").select("a", F.col("fp").alias("b")).distinct()
     return pairs.unionByName(meets)
