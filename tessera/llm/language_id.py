@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -18,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import batch, stored, table
 
@@ -186,7 +188,43 @@ def train(labelled: DataFrame, rows_per_language: int = 1500, rounds: int = 3, s
     return Model(languages, probs)
 
 
-def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", path: str | None = None, most_cached: int = 150_000) -> DataFrame:
+class Scorer:
+    """Languages and posteriors of texts; remembers the scores of up to most_cached words."""
+
+    def __init__(self, pieces: dict[str, int], languages: list[str], probs: np.ndarray, most_cached: int = 150_000):
+        self.pieces, self.languages, self.probs, self.most_cached = pieces, languages, probs, most_cached
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.scores, self.lettered = np.zeros((0, len(self.languages))), np.zeros(0, bool)
+
+    def __call__(self, values) -> tuple[list[str], list[float]]:
+        preds, scores = [], []
+        for at in range(0, len(values), 256):
+            texts = [words((x.as_py() if isinstance(x, pa.Scalar) else x) or "") for x in values[at : at + 256]]
+            if len(self.known) > self.most_cached:
+                self.forget()
+            known = self.known
+            fresh = sorted(set().union(*texts).difference(known))
+            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+            if self.languages:
+                self.scores = np.vstack([self.scores, word_scores(fresh, self.pieces, self.probs)])
+            self.lettered = np.append(self.lettered, [any(map(str.isalpha, w)) for w in fresh]).astype(bool)
+            for found in texts:
+                ids = np.array([known[w] for w in found], np.int64)
+                if not self.languages or not self.lettered[ids].any():
+                    preds.append("und")
+                    scores.append(0.0)
+                    continue
+                total = self.scores[ids].sum(axis=0)
+                best = int(total.argmax())
+                preds.append(self.languages[best])
+                scores.append(float(1 / np.exp(total - total[best]).sum()))
+        return preds, scores
+
+
+def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """key, lang_pred, score of every row; the whole text counts and nothing else.
 
     score is the posterior of the predicted language under equal priors. Null
@@ -200,36 +238,41 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     sent = docs.sparkSession.sparkContext.broadcast(model.probs)
 
     def run(batches):
-        pieces, probs = vocabulary(path), sent.value
-        known: dict[str, int] = {}
-        scores, lettered = np.zeros((0, len(languages))), np.zeros(0, bool)
+        scorer = Scorer(vocabulary(path), languages, sent.value)
         for b in batches:
-            keys, preds, values = b.column(0), [], []
-            for at in range(0, b.num_rows, 256):
-                texts = [words(x.as_py() or "") for x in b.column(1)[at : at + 256]]
-                if len(known) > most_cached:
-                    known, scores, lettered = {}, scores[:0], lettered[:0]
-                fresh = list(set().union(*texts).difference(known))
-                known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
-                if languages:
-                    scores = np.vstack([scores, word_scores(fresh, pieces, probs)])
-                lettered = np.append(lettered, [any(map(str.isalpha, w)) for w in fresh])
-                for found in texts:
-                    ids = np.array([known[w] for w in found], np.int64)
-                    if not languages or not lettered[ids].any():
-                        preds.append("und")
-                        values.append(0.0)
-                        continue
-                    total = scores[ids].sum(axis=0)
-                    best = int(total.argmax())
-                    preds.append(languages[best])
-                    values.append(float(1 / np.exp(total - total[best]).sum()))
-            yield batch(OUT, {"doc_id": keys, "lang_pred": preds, "score": values})
+            preds, values = scorer(b.column(1))
+            yield batch(OUT, {"doc_id": b.column(0), "lang_pred": preds, "score": values})
 
     out = docs.select(F.col(key).cast("bigint"), F.col(text).cast("string")).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
     return out.withColumnRenamed("doc_id", key)
 
 
+def drop_unidentified(docs: DataFrame, model: Model) -> DataFrame:
+    """docs without the rows whose language is `und`; all columns as they are.
+
+    Only texts without a letter are rejected: any other document has a language,
+    however unsure a short one may be.
+    """
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("string").alias("text"))
+    label = labeller(model)
+    kept = rows.where(label("text") != "und")
+    return kept.select(*[F.col("row")[c].alias(c) for c in names])
+
+
+def labeller(model: Model, path: str | None = None):
+    """The predicted language as a function of a text column."""
+    path = path or vocabulary_path()
+    languages, probs = model.languages, model.probs
+
+    def label(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(vocabulary(path), languages, probs)
+        for texts in batches:
+            yield pd.Series(scorer(texts.tolist())[0], dtype=object)
+
+    return F.pandas_udf(label, T.StringType())
+
+
 def held_out(key: str = "doc_id", mod: int = 4, rest: int = 2):
     """Whether crc32 of the key as text leaves this remainder."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % mod == rest, F.lit(False))

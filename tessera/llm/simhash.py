@@ -28,7 +28,9 @@ from tessera.llm.components import connected
 MAX_BITS = 2
 #: Any 6 of the 8 byte positions contain one of these sets of 4.
 INDEX = [(*a, *b) for a, b in combinations([(0, 1), (2, 3), (4, 5), (6, 7)], 2)]
-ROWS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("text_hash", pa.int64())])
+ROWS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("text_hash", pa.int64()), ("raw", pa.int64())])
+#: Where a row without a doc_id stands among others.
+LAST = (1 << 63) - 1
 
 
 def fingerprint(words: list[bytes], width: int) -> bytes:
@@ -50,7 +52,7 @@ def fingerprint(words: list[bytes], width: int) -> bytes:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp (bigint), text_hash (of the normalised word sequence) of every row."""
+    """doc_id, fp (bigint), text_hash (of the normalised words), raw (of the text as it is) of every row."""
 
     def run(batches):
         for rows in batches:
@@ -59,9 +61,10 @@ def fingerprints(docs: DataFrame, width: int = 3, key: str = "doc_id", text: str
                 words = (value.as_py() or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII case and white space only
                 fps.append(int.from_bytes(fingerprint(words, width), "big", signed=True))
                 hashes.append(int.from_bytes(xxhash.xxh3_64_digest(b" ".join(words)), "big", signed=True))
-            yield batch(ROWS, {"doc_id": rows.column(0), "fp": fps, "text_hash": hashes})
+            yield batch(ROWS, {"doc_id": rows.column(0), "fp": fps, "text_hash": hashes, "raw": rows.column(2)})
 
-    return docs.select(F.col(key).cast("bigint"), F.col(text).cast("string")).mapInArrow(run, "doc_id bigint, fp bigint, text_hash bigint")
+    source = docs.select(F.col(key).cast("bigint"), F.col(text).cast("string"), F.xxhash64(F.col(text).cast("string")))
+    return source.mapInArrow(run, "doc_id bigint, fp bigint, text_hash bigint, raw bigint")
 
 
 def _byte(fp: Column, position: int) -> Column:
@@ -119,6 +122,71 @@ def simhash_components(docs: DataFrame, width: int = 3, key: str = "doc_id", tex
     return base.join(labels, "fp").select(F.col("doc_id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
+    """id, shingles (sorted, distinct 64-bit hashes) of rows (id, text); a shorter text is one shingle, none has none."""
+
+    def run(batches):
+        for part in batches:
+            sets = []
+            for value in part.column(1):
+                found = (value.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+                parts = [b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))] if found else []
+                sets.append(np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    return rows.select("id", "text").mapInArrow(run, "id bigint, shingles array<bigint>")
+
+
+def near_duplicate_rows(docs: DataFrame, width: int = 1, words: int = 5, min_similarity: float = 0.8, most_broadcast: int = 2_000_000) -> DataFrame:
+    """key, raw (hash of the text) of the rows to drop so that one of each near-duplicate group stays.
+
+    Candidates have `width`-word fingerprints at 2 or fewer differing bits: with
+    one word, where common words weigh most, similar texts lie within that range
+    far more often than with longer shingles. A candidate counts if its sets of
+    `words`-word shingles have a Jaccard similarity of min_similarity or more.
+    Texts of the same words are one node, equal fingerprints are tried against
+    the first node of theirs, and first nodes of near fingerprints against each
+    other. The smallest (doc_id, hash) of a group stays. Null and empty texts are
+    equal to each other.
+    """
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    base = stored(fingerprints(rows, width))
+    nodes = stored(base.groupBy("fp", "text_hash").agg(F.min(F.struct("doc_id", "raw")).alias("first")))
+    heads = stored(nodes.groupBy("fp").agg(F.min(F.struct("first", "text_hash")).alias("head")).select("fp", "head.text_hash"))
+    equal = nodes.select("fp", F.col("text_hash").alias("b")).join(heads, "fp").where("text_hash != b").select(F.col("text_hash").alias("a"), "b")
+    near = links(heads.select("fp")).withColumnsRenamed({"a": "fa", "b": "fb"})
+    near = near.join(heads.withColumnsRenamed({"fp": "fa", "text_hash": "a"}), "fa").join(heads.withColumnsRenamed({"fp": "fb", "text_hash": "b"}), "fb").select("a", "b")
+    pairs = stored(equal.unionByName(near).distinct())
+    wanted = pairs.select(F.col("a").alias("text_hash")).unionByName(pairs.select(F.col("b").alias("text_hash"))).distinct()
+    wanted = stored(nodes.join(wanted, "text_hash").select("text_hash", F.col("first.raw").alias("raw")).groupBy("raw").agg(F.min("text_hash").alias("id")))
+    some = F.broadcast(wanted) if wanted.count() <= most_broadcast else wanted
+    texts = rows.select("text", F.xxhash64("text").alias("raw")).join(some, "raw").select("id", "text")
+    sets = stored(shingle_sets(texts, words).groupBy("id").agg(F.first("shingles").alias("shingles")))
+    both = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    alike = both.where(common >= min_similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    groups = connected(alike)
+    joined = nodes.join(groups.withColumnRenamed("node", "text_hash"), "text_hash")
+    kept = joined.groupBy("root").agg(F.min("first").alias("kept"))
+    keep = joined.join(kept, "root").select("fp", "text_hash", "kept")
+    keep = nodes.join(keep, ["fp", "text_hash"], "left").select("fp", "text_hash", F.coalesce("kept", "first").alias("kept"))
+    return base.join(keep, ["fp", "text_hash"]).where(F.struct("doc_id", "raw") != F.col("kept")).select(F.col("doc_id").alias("key"), "raw").distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, most_broadcast: int = 2_000_000, **options) -> DataFrame:
+    """docs without the rows of near_duplicate_rows, all columns as they are.
+
+    Rows that repeat doc_id and text share the decision. What goes is broadcast
+    up to most_broadcast rows of 16 bytes, else joined by a shuffle.
+    """
+    gone = stored(near_duplicate_rows(docs, **options))
+    gone = F.broadcast(gone) if gone.count() <= most_broadcast else gone
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    rows = rows.withColumn("key", F.coalesce(F.col("row.doc_id").cast("bigint"), F.lit(LAST))).withColumn("raw", F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))))
+    return rows.join(gone, ["key", "raw"], "left_anti").select(*[F.col("row")[c].alias(c) for c in names])
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
