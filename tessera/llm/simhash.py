@@ -28,6 +28,8 @@ from tessera.llm.components import connected
 MAX_BITS = 2
 #: Any 6 of the 8 byte positions contain one of these sets of 4.
 INDEX = [(*a, *b) for a, b in combinations([(0, 1), (2, 3), (4, 5), (6, 7)], 2)]
+#: Fingerprints of single words that the near-duplicate stage tries (an even number).
+TABLES = 8
 ROWS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("text_hash", pa.int64()), ("raw", pa.int64())])
 #: Where a row without a doc_id stands among others.
 LAST = (1 << 63) - 1
@@ -72,7 +74,7 @@ def _byte(fp: Column, position: int) -> Column:
 
 
 def links(distinct: DataFrame, crowd: int = 64, every: bool = False) -> DataFrame:
-    """a, b: links of the column fp (different values) that connect all that differ in at most 2 bits.
+    """t, a, b: links of the column fp (different values) that connect all of one t that differ in at most 2 bits.
 
     Of lists up to crowd every such pair comes out; of larger ones enough of
     them that the same fingerprints are connected, or with `every` all (at most
@@ -80,26 +82,26 @@ def links(distinct: DataFrame, crowd: int = 64, every: bool = False) -> DataFram
     """
     keys = []
     for i, places in enumerate(INDEX):
-        key = F.lit(i).cast("bigint")
+        key = (F.col("t") * len(INDEX) + i).cast("bigint")
         for p in places:
             key = key * 256 + _byte(F.col("fp"), p)
         keys.append(key)
-    index = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
+    index = distinct.select("t", "fp", F.explode(F.array(*keys)).alias("key"))
     sizes = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     listed = stored(index.join(sizes, "key"))
     cold = listed.where(F.col("n") <= crowd)
     mixed = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
     shared = sum(((_byte(mixed, p) == 0).cast("int") for p in range(8)), F.lit(0))
     near = (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (shared >= 8 - MAX_BITS) & (F.bit_count(mixed) <= MAX_BITS)
-    pairs = cold.alias("x").join(cold.alias("y"), near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
-    hot = listed.where(F.col("n") > crowd).select("fp").distinct()
+    pairs = cold.alias("x").join(cold.alias("y"), near).select("x.t", F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+    hot = listed.where(F.col("n") > crowd).select("t", "fp").distinct()
     around = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i))))
-    met = hot.select("fp", F.explode(around).alias("value"))
+    met = hot.select("t", "fp", F.explode(around).alias("value"))
     if every:
-        meets = met.alias("x").join(met.alias("y"), (F.col("x.value") == F.col("y.value")) & (F.col("x.fp") < F.col("y.fp"))).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+        meets = met.alias("x").join(met.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.fp") < F.col("y.fp"))).select("x.t", F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
         return pairs.unionByName(meets).distinct()
-    first = met.groupBy("value").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
-    meets = met.join(first, "value").where("fp != a").select("a", F.col("fp").alias("b")).distinct()
+    first = met.groupBy("t", "value").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
+    meets = met.join(first, ["t", "value"]).where("fp != a").select("t", "a", F.col("fp").alias("b")).distinct()
     return pairs.unionByName(meets)
 
 
@@ -114,7 +116,7 @@ def simhash_components(docs: DataFrame, width: int = 3, key: str = "doc_id", tex
     """
     base = stored(fingerprints(docs, width, key, text).select("doc_id", "fp"))
     nodes = stored(base.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    roots = connected(links(nodes.select(F.lit(0).alias("t"), "fp"))).withColumnRenamed("node", "fp")
     joined = nodes.join(roots, "fp")
     smallest = joined.groupBy("root").agg(F.min("first").alias("smallest"))
     linked = stored(joined.join(smallest, "root").select("fp", "smallest"))
@@ -137,26 +139,45 @@ def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("id", "text").mapInArrow(run, "id bigint, shingles array<bigint>")
 
 
-def near_duplicate_rows(docs: DataFrame, width: int = 1, words: int = 5, min_similarity: float = 0.8, most_broadcast: int = 2_000_000) -> DataFrame:
+def word_fingerprints(rows: DataFrame) -> DataFrame:
+    """doc_id, raw, text_hash, fps of rows (doc_id, text): TABLES fingerprints of single words."""
+
+    def run(batches):
+        for part in batches:
+            fps, hashes = [], []
+            for value in part.column(1):
+                found = (value.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+                raw = b"".join([xxhash.xxh3_128_digest(w, seed) for w in found for seed in range(TABLES // 2)])
+                votes = np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(-1, 64 * TABLES).sum(axis=0, dtype=np.uint32)
+                fps.append(np.packbits(2 * votes > len(found)).view(">i8").astype(np.int64))
+                hashes.append(int.from_bytes(xxhash.xxh3_64_digest(b" ".join(found)), "big", signed=True))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(hashes, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "raw", "text_hash", "fps"])
+
+    return rows.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, raw bigint, text_hash bigint, fps array<bigint>")
+
+
+def near_duplicate_rows(docs: DataFrame, words: int = 5, min_similarity: float = 0.8, most_broadcast: int = 2_000_000) -> DataFrame:
     """key, raw (hash of the text) of the rows to drop so that one of each near-duplicate group stays.
 
-    Candidates have `width`-word fingerprints at 2 or fewer differing bits: with
-    one word, where common words weigh most, similar texts lie within that range
-    far more often than with longer shingles. A candidate counts if its sets of
-    `words`-word shingles have a Jaccard similarity of min_similarity or more.
-    Texts of the same words are one node, equal fingerprints are tried against
-    the first node of theirs, and first nodes of near fingerprints against each
-    other. The smallest (doc_id, hash) of a group stays. Null and empty texts are
-    equal to each other.
+    Candidates have one of TABLES fingerprints of single words at 2 or fewer
+    differing bits: with single words, where common ones weigh most, similar
+    texts lie within that range far more often than with shingles. A candidate
+    counts if its sets of `words`-word shingles have a Jaccard similarity of
+    min_similarity or more. Texts of the same words are one node; nodes of equal
+    fingerprints are tried against the first of them, and first nodes of near
+    fingerprints against each other. The smallest (doc_id, hash) of a group
+    stays. Null and empty texts are equal to each other.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    base = stored(fingerprints(rows, width))
-    nodes = stored(base.groupBy("fp", "text_hash").agg(F.min(F.struct("doc_id", "raw")).alias("first")))
-    heads = stored(nodes.groupBy("fp").agg(F.min(F.struct("first", "text_hash")).alias("head")).select("fp", "head.text_hash"))
-    equal = nodes.select("fp", F.col("text_hash").alias("b")).join(heads, "fp").where("text_hash != b").select(F.col("text_hash").alias("a"), "b")
-    near = links(heads.select("fp")).withColumnsRenamed({"a": "fa", "b": "fb"})
-    near = near.join(heads.withColumnsRenamed({"fp": "fa", "text_hash": "a"}), "fa").join(heads.withColumnsRenamed({"fp": "fb", "text_hash": "b"}), "fb").select("a", "b")
-    pairs = stored(equal.unionByName(near).distinct())
+    base = stored(word_fingerprints(rows))
+    nodes = stored(base.groupBy("text_hash").agg(F.min(F.struct("doc_id", "raw")).alias("first"), F.first("fps").alias("fps")))
+    entries = nodes.select("text_hash", "first", F.posexplode("fps").alias("t", "fp"))
+    heads = stored(entries.groupBy("t", "fp").agg(F.min(F.struct("first", "text_hash")).alias("head")).select("t", "fp", "head.text_hash"))
+    equal = entries.select("t", "fp", F.col("text_hash").alias("b")).join(heads, ["t", "fp"]).where("text_hash != b").select(F.col("text_hash").alias("a"), "b")
+    near = links(heads.select("t", "fp")).withColumnsRenamed({"a": "fa", "b": "fb"})
+    near = near.join(heads.withColumnsRenamed({"fp": "fa", "text_hash": "a"}), ["t", "fa"]).join(heads.withColumnsRenamed({"fp": "fb", "text_hash": "b"}), ["t", "fb"]).select("a", "b")
+    pairs = equal.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = stored(pairs.where("a != b").distinct())
     wanted = pairs.select(F.col("a").alias("text_hash")).unionByName(pairs.select(F.col("b").alias("text_hash"))).distinct()
     wanted = stored(nodes.join(wanted, "text_hash").select("text_hash", F.col("first.raw").alias("raw")).groupBy("raw").agg(F.min("text_hash").alias("id")))
     some = F.broadcast(wanted) if wanted.count() <= most_broadcast else wanted
@@ -168,9 +189,9 @@ def near_duplicate_rows(docs: DataFrame, width: int = 1, words: int = 5, min_sim
     groups = connected(alike)
     joined = nodes.join(groups.withColumnRenamed("node", "text_hash"), "text_hash")
     kept = joined.groupBy("root").agg(F.min("first").alias("kept"))
-    keep = joined.join(kept, "root").select("fp", "text_hash", "kept")
-    keep = nodes.join(keep, ["fp", "text_hash"], "left").select("fp", "text_hash", F.coalesce("kept", "first").alias("kept"))
-    return base.join(keep, ["fp", "text_hash"]).where(F.struct("doc_id", "raw") != F.col("kept")).select(F.col("doc_id").alias("key"), "raw").distinct()
+    keep = joined.join(kept, "root").select("text_hash", "kept")
+    keep = nodes.join(keep, "text_hash", "left").select("text_hash", F.coalesce("kept", "first").alias("kept"))
+    return base.select("doc_id", "raw", "text_hash").join(keep, "text_hash").where(F.struct("doc_id", "raw") != F.col("kept")).select(F.col("doc_id").alias("key"), "raw").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, most_broadcast: int = 2_000_000, **options) -> DataFrame:
