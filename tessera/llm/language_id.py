@@ -39,15 +39,53 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class Vocabulary:
+    """Numbered pieces, found by the hash of their characters in a table of open addresses."""
+
+    BITS = 20
+    MULTIPLIER, SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, pieces: list[str]):
+        self.pieces = pieces
+        self.hashes = np.zeros(1 << self.BITS, np.uint64)
+        self.numbers = np.full(1 << self.BITS, -1, np.int32)
+        self.probes = 1
+        for number, piece in enumerate(pieces):
+            h = np.uint64(0)
+            with np.errstate(over="ignore"):
+                for c in piece:
+                    h = h * self.MULTIPLIER + np.uint64(ord(c))
+                at = int(h * self.SPREAD >> np.uint64(64 - self.BITS))
+            for probe in range(1 << self.BITS):
+                place = (at + probe) & ((1 << self.BITS) - 1)
+                if self.numbers[place] < 0:
+                    break
+            self.hashes[place], self.numbers[place] = h, number
+            self.probes = max(self.probes, probe + 1)
+
+    def __len__(self) -> int:
+        return len(self.pieces)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The numbers of these hashes, -1 for none."""
+        at = (h * self.SPREAD >> np.uint64(64 - self.BITS)).astype(np.int64)
+        out = np.where(self.hashes[at] == h, self.numbers[at], -1)
+        for probe in range(1, self.probes):
+            other = (at + probe) & ((1 << self.BITS) - 1)
+            hit = self.hashes[other] == h
+            if hit.any():
+                out = np.where(hit & (out < 0), self.numbers[other], out)
+        return out
+
+
 @lru_cache(maxsize=1)
-def vocabulary(path: str) -> dict[str, int]:
-    """The lower-case pieces of letters, with or without the word mark, numbered."""
+def vocabulary(path: str) -> Vocabulary:
+    """The lower-case pieces of letters, with or without the word mark."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-    kept = sorted(p for p in pieces if p == p.lower() and len(p) <= LONGEST_PIECE and (p == MARK or p.removeprefix(MARK).isalpha()))
-    return {p: i for i, p in enumerate(kept)}
+    return Vocabulary(sorted(p for p in pieces if p == p.lower() and len(p) <= LONGEST_PIECE and (p == MARK or p.removeprefix(MARK).isalpha())))
 
 
 def words(text: str) -> list[str]:
@@ -56,17 +94,25 @@ def words(text: str) -> list[str]:
 
 def parts_of(word: str) -> list[str]:
     """A marked word in parts of at most LONGEST_WORD letters; none without a letter."""
-    word = "".join(c for c in word if c.isalpha())
+    if not word.isalpha():
+        word = "".join(c for c in word if c.isalpha())
+    elif len(word) <= LONGEST_WORD:
+        return [MARK + word]
     return [(MARK if i == 0 else "") + word[i : i + LONGEST_WORD] for i in range(0, len(word), LONGEST_WORD)]
 
 
-def lattice(group: list[str], pieces: dict[str, int]) -> np.ndarray:
+def lattice(group: list[str], pieces: Vocabulary) -> np.ndarray:
     """[word, start, length - 1] -> piece number or -1, for words of one length."""
     n = len(group[0])
     most = min(n, LONGEST_PIECE)
-    get = pieces.get
-    flat = [get(w[i : i + k], -1) if i + k <= n else -1 for w in group for i in range(n) for k in range(1, most + 1)]
-    return np.array(flat, np.int32).reshape(len(group), n, most)
+    codes = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(group), n).astype(np.uint64)
+    found = np.full((len(group), n, most), -1, np.int32)
+    h = np.zeros_like(codes)
+    with np.errstate(over="ignore"):
+        for k in range(1, most + 1):
+            h = h[:, : n - k + 1] * Vocabulary.MULTIPLIER + codes[:, k - 1 :]
+            found[:, : n - k + 1, k - 1] = pieces.find(h)
+    return found
 
 
 def forward(found: np.ndarray, probs: np.ndarray) -> np.ndarray:
@@ -94,7 +140,7 @@ def by_length(items: list[str], most: int = 4096):
             yield found[a : a + most], [items[i] for i in found[a : a + most]]
 
 
-def word_scores(items: list[str], pieces: dict[str, int], probs: np.ndarray) -> np.ndarray:
+def word_scores(items: list[str], pieces: Vocabulary, probs: np.ndarray) -> np.ndarray:
     """log probability of each word (all segmentations summed) in each language; zeros without letters."""
     out = np.zeros((len(items), probs.shape[1]))
     cut = [parts_of(w) for w in items]
@@ -106,7 +152,7 @@ def word_scores(items: list[str], pieces: dict[str, int], probs: np.ndarray) ->
     return out
 
 
-def expected(items: list[str], weights: np.ndarray, pieces: dict[str, int], probs: np.ndarray) -> np.ndarray:
+def expected(items: list[str], weights: np.ndarray, pieces: Vocabulary, probs: np.ndarray) -> np.ndarray:
     """Expected piece counts of the words of one language (probs has one column)."""
     out = np.zeros(len(probs))
     for index, group in by_length(items):
@@ -191,7 +237,7 @@ def train(labelled: DataFrame, rows_per_language: int = 1500, rounds: int = 3, s
 class Scorer:
     """Languages and posteriors of texts; remembers the scores of up to most_cached words."""
 
-    def __init__(self, pieces: dict[str, int], languages: list[str], probs: np.ndarray, most_cached: int = 150_000):
+    def __init__(self, pieces: Vocabulary, languages: list[str], probs: np.ndarray, most_cached: int = 150_000):
         self.pieces, self.languages, self.probs, self.most_cached = pieces, languages, probs, most_cached
         self.forget()
 
@@ -210,9 +256,9 @@ class Scorer:
             known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
             if self.languages:
                 self.scores = np.vstack([self.scores, word_scores(fresh, self.pieces, self.probs)])
-            self.lettered = np.append(self.lettered, [any(map(str.isalpha, w)) for w in fresh]).astype(bool)
+            self.lettered = np.append(self.lettered, [w.isalpha() or any(map(str.isalpha, w)) for w in fresh]).astype(bool)
             for found in texts:
-                ids = np.array([known[w] for w in found], np.int64)
+                ids = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
                 if not self.languages or not self.lettered[ids].any():
                     preds.append("und")
                     scores.append(0.0)
