@@ -192,8 +192,6 @@ ORACLES = {
       m AS (SELECT synset_id, p_name AS name, p_type AS description, CAST((length(p_name) - length(replace(lower(p_name), 're', ''))) / 2 AS INT) AS name_hits, CAST((length(p_type) - length(replace(lower(p_type), 're', ''))) / 2 AS INT) AS description_hits FROM leaf WHERE brand_id = 2003),
       b AS (SELECT *, CASE WHEN starts_with(name, 're') THEN 4 WHEN contains(name, ' re') THEN 1 ELSE 0 END AS bonus FROM m)
       SELECT synset_id, name, round(CAST((bonus + name_hits) * 2.0 / len(string_split(name, ' ')) + description_hits AS DOUBLE), 6) AS relevance, name_hits, description_hits, bonus, regexp_replace(name, '(re)', '$~START~$\\1$~END~$', 'gi') AS marked FROM b""",
-    "find_patterns": """WITH h AS (SELECT doc_id AS text_id, pattern, unnest(list_filter(range(length(text)), lambda i: text[i + 1:i + length(pattern)] = pattern)) AS start FROM documents, (VALUES ('the'), ('th'), ('tion'), ('anan'), ('é')) p(pattern))
-      SELECT text_id, pattern, count(*) AS hits, CAST(min(start) AS INT) AS first, CAST(sum(start) AS BIGINT) AS total FROM h GROUP BY ALL""",
     "class_means": f"""WITH {MEANS} SELECT CAST(class_id AS BIGINT) AS class_id, CAST(pos AS INT) AS pos, round(x, 6) AS x FROM mean""",
     "nearest": f"""WITH {VECTORS}, d AS (SELECT q.image_id AS query_id, u.image_id, round(1 - list_inner_product(q.f, u.f), 9) AS distance FROM u q, u WHERE q.image_id % 100 = 0),
       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, image_id) AS rank FROM d)
