@@ -233,10 +233,10 @@ def test_text_files(spark, tmp_path):
     for name in ("b/1.jpg", "a/2.jpg", "a/1.jpg"):
         path = tmp_path / "img" / name
         path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_bytes(b"x" if "2" not in name else b"")
+        path.write_bytes(b"x")
     files = tables.list_files(spark, f"{tmp_path}/img").orderBy("image_id").collect()
     assert [r.path[-7:] for r in files] == ["a/1.jpg", "a/2.jpg", "b/1.jpg"]
-    assert tables.non_empty(tables.list_files(spark, f"{tmp_path}/img")).count() == 2
+    assert tables.non_empty(spark.createDataFrame([("a", 0), ("b", 3)], "path string, length bigint")).first().path == "b"
 
 
 def test_model_scan(spark):
