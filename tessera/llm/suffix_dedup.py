@@ -5,7 +5,7 @@
    compressed hash lists to owners of hash ranges; an owner keeps those of more
    than one document in a filter of bounded size.
 2. The stretches of text whose anchor is in the filter go to the anchor's group.
-   There a suffix array is built by two-stage sorting: only suffixes smaller than
+   There, in blocks of whole groups, a suffix array is built by two-stage sorting: only suffixes smaller than
    their successors are sorted directly, the rest are induced by scanning the
    buckets; adjacent common prefixes of `length` bytes give equal windows, and
    the smallest doc_id of each.
@@ -17,9 +17,11 @@ A false positive of a filter only sends a stretch further than needed.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +33,11 @@ from tessera.llm.exact_dedup import golomb_decode, golomb_encode, rice_bits
 PART, ANCHOR_BITS, STRETCH = 20, 48, 256
 #: Bounds of the two filters together, in bits, and bytes sorted at a time.
 MOST_FILTER_BITS, BLOCK_BYTES = 1 << 29, 2 << 20
-STRETCHES = pa.schema([("h", pa.int64()), ("hot", pa.bool_()), ("doc_id", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
-STRETCHES_SQL = "h bigint, hot boolean, doc_id bigint, start bigint, bytes binary"
+#: Bytes of stretches that a task holds before it packs them.
+FLUSH_BYTES = 48 << 20
+#: A row is a stretch of a crowded anchor, or (with bucket) the packed stretches of a range of the others.
+STRETCHES = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
+STRETCHES_SQL = "bucket int, doc_id bigint, start bigint, bytes binary"
 RUNS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
 RUNS_SQL = "doc_id bigint, start bigint, n bigint"
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -140,12 +145,11 @@ def by_segment(h: np.ndarray, segments: int):
 
 
 def merged(held: list[bytes]) -> bytes:
-    """Filters of one segment, of which owners at the range's edges may have built two, as one."""
-    size = min(map(len, held))
+    """Filters of one segment, of which owners at the range's edges may have built two, as one of the larger size."""
+    size = max(map(len, held))
     out = np.zeros(size, np.uint8)
     for x in held:
-        for piece in np.frombuffer(x, np.uint8).reshape(-1, size):
-            out |= piece
+        out |= np.tile(np.frombuffer(x, np.uint8), size // len(x))
     return out.tobytes()
 
 
@@ -222,8 +226,8 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def first_docs(stretches: list[bytes], docs: np.ndarray, groups: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each stretch the smallest doc of each of its windows among stretches of any group here.
+def first_docs(stretches: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each stretch the smallest doc of each of its windows among these stretches.
 
     docs[i] is the smallest doc with stretch i. Bytes are raised by one so that a
     zero byte can end each stretch; 255 and 254 become one for the order alone.
@@ -265,62 +269,109 @@ def removed_runs(first: np.ndarray, doc: int, start: int) -> list[tuple[int, int
     return [(start + int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
+def packed(h: list[int], docs: list[int], starts: list[int], texts: list[bytes]) -> bytes:
+    """Stretches as one compressed blob, by anchor, so that copies lie together."""
+    order = np.argsort(np.array(h, np.uint64), kind="stable")
+    columns = [np.array(h, np.uint64)[order], np.array(docs, np.int64)[order], np.array(starts, np.int64)[order], np.fromiter(map(len, texts), np.int64, len(texts))[order]]
+    raw = len(h).to_bytes(8, "little") + b"".join(c.tobytes() for c in columns) + b"".join([texts[i] for i in order])
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(raw[:8], "little")
+    h, docs, starts, sizes = (np.frombuffer(raw, np.int64, n, 8 + 8 * n * i) for i in range(4))
+    ends = (8 + 32 * n + np.cumsum(sizes)).tolist()
+    return h.view(np.uint64), docs, starts, [raw[b - size : b] for b, size in zip(ends, sizes.tolist(), strict=True)]
+
+
+def solve(h: np.ndarray, docs: np.ndarray, starts: np.ndarray, texts: list[bytes], length: int) -> pa.RecordBatch:
+    """The windows to remove among stretches that hold whole anchor groups."""
+    ids: defaultdict = defaultdict()
+    ids.default_factory = ids.__len__
+    uid = np.fromiter(map(ids.__getitem__, texts), np.int64, len(texts))
+    different = list(ids)
+    least = np.full(len(different), np.iinfo(np.int64).max)
+    np.minimum.at(least, uid, docs)
+    windows = np.fromiter(map(len, different), np.int64, len(different)) - length + 1
+    anchor = np.zeros(len(different), np.uint64)
+    anchor[uid] = h  # equal stretches have equal anchors
+    _, group, size = np.unique(anchor, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(size[group] > 1)
+    low, high, firsts = least.copy(), least.copy(), {}
+    if len(several):
+        solved = first_docs([different[i] for i in several], least[several], length)
+        firsts = dict(zip(several.tolist(), solved, strict=True))
+        low[several] = [x.min() for x in solved]
+        high[several] = [x.max() for x in solved]
+    whole = high[uid] < docs
+    partly = np.flatnonzero(~whole & (low[uid] < docs))
+    out = {"doc_id": docs[whole].tolist(), "start": starts[whole].tolist(), "n": windows[uid[whole]].tolist()}
+    for i in partly.tolist():
+        for a, n in removed_runs(firsts[int(uid[i])], int(docs[i]), int(starts[i])):
+            out["doc_id"].append(int(docs[i]))
+            out["start"].append(a)
+            out["n"].append(n)
+    return batch(RUNS, out)
+
+
 def cold_runs(stretches: DataFrame, length: int) -> DataFrame:
     """doc_id, start, n: runs of windows to remove, by suffix arrays of whole anchor groups."""
 
-    def solve(rows: list[tuple]):
-        found: dict[tuple[int, bytes], int] = {}
-        groups: dict[int, int] = {}
-        for h, doc, _, text in rows:
-            key = (h, text)
-            if key not in found:
-                groups[h] = groups.get(h, 0) + 1
-            found[key] = min(doc, found.get(key, doc))
-        several = [k for k in found if groups[k[0]] > 1]
-        firsts = {}
-        if several:
-            solved = first_docs([k[1] for k in several], np.array([found[k] for k in several]), np.array([k[0] for k in several]), length)
-            firsts = dict(zip(several, solved, strict=True))
-        out = {f.name: [] for f in RUNS}
-        for h, doc, start, text in rows:
-            first = firsts.get((h, text))
-            if first is None:
-                runs = [(start, len(text) - length + 1)] if found[h, text] < doc else []
-            else:
-                runs = removed_runs(first, doc, start)
-            for a, n in runs:
-                out["doc_id"].append(doc)
-                out["start"].append(a)
-                out["n"].append(n)
-        return batch(RUNS, out)
+    def bucket(blobs: list[bytes]):
+        parts_ = [unpacked(b) for b in blobs]
+        h, docs, starts = (np.concatenate([p[i] for p in parts_]) for i in range(3))
+        texts = [t for p in parts_ for t in p[3]]
+        order = np.argsort(h, kind="stable")
+        ordered = h[order]
+        edges = np.append(np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))), len(order))
+        size = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))[order] + 1)))
+        at = 0
+        while at < len(edges) - 1:  # whole groups, up to BLOCK_BYTES at a time
+            stop = max(at + 1, int(np.searchsorted(size[edges], size[edges[at]] + BLOCK_BYTES, "right")) - 1)
+            own = order[edges[at] : edges[stop]]
+            yield solve(h[own], docs[own], starts[own], [texts[i] for i in own], length)
+            at = stop
 
     def run(batches):
-        held, size, last = [], 0, None
+        held, last = [], None
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if row[0] != last and size >= BLOCK_BYTES:
-                    yield solve(held)
-                    held, size = [], 0
-                last = row[0]
-                held.append(row)
-                size += len(row[3]) + 1
+            for number, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if number != last and held:
+                    yield from bucket(held)
+                    held = []
+                last = number
+                held.append(blob.as_py())
         if held:
-            yield solve(held)
+            yield from bucket(held)
 
-    dealt = stretches.where("not hot").select("h", "doc_id", "start", "bytes").repartition(parts(stretches), "h").sortWithinPartitions("h")
+    dealt = stretches.where("bucket is not null").select("bucket", "bytes").repartition(parts(stretches), "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, RUNS_SQL)
 
 
 def hot_runs(stretches: DataFrame, length: int) -> DataFrame:
     """The same for anchors of very many documents, by aggregation: equal stretches, then equal windows."""
-    hot = stretches.where("hot").select("doc_id", "start", "bytes")
+    hot = stretches.where("bucket is null").select("doc_id", "start", "bytes")
     different = hot.groupBy("bytes").agg(F.min("doc_id").alias("doc"))
     at = different.select("bytes", "doc", F.explode(F.sequence(F.lit(1), F.length("bytes") - length + 1)).alias("i"))
     windows = at.select("bytes", "doc", "i", F.substring(F.col("bytes"), F.col("i"), F.lit(length)).alias("window"))
     least = windows.groupBy("window").agg(F.min("doc").alias("first"))
     solved = windows.join(least, "window").groupBy("bytes").agg(F.collect_list(F.struct("i", "first")).alias("firsts"))
-    met = hot.join(solved, "bytes").select("doc_id", "start", F.explode(F.filter("firsts", lambda x: x["first"] < F.col("doc_id"))).alias("x"))
-    return met.select("doc_id", (F.col("start") + F.col("x.i") - 1).alias("start"), F.lit(1).cast("bigint").alias("n"))
+    smaller = F.array_sort(F.transform(F.filter("firsts", lambda x: x["first"] < F.col("doc_id")), lambda x: x["i"]))
+    met = hot.join(solved, "bytes").select("doc_id", "start", smaller.alias("places")).where(F.size("places") > 0)
+
+    def runs(batches):
+        for b in batches:
+            out = {f.name: [] for f in RUNS}
+            for doc, start, places in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                at = np.array(places)
+                cuts = np.flatnonzero(np.diff(at, prepend=at[0] - 2) > 1)
+                out["doc_id"] += [doc] * len(cuts)
+                out["start"] += (start + at[cuts] - 1).tolist()
+                out["n"] += np.diff(np.append(cuts, len(at))).tolist()
+            yield batch(RUNS, out)
+
+    return met.mapInArrow(runs, RUNS_SQL)
 
 
 def removed_windows(docs: DataFrame, length: int = 50, crowd: int = 1000) -> DataFrame:
@@ -328,8 +379,18 @@ def removed_windows(docs: DataFrame, length: int = 50, crowd: int = 1000) -> Dat
     shared, hot = shared_anchors(docs, length, crowd)
     sent = docs.sparkSession.sparkContext.broadcast((shared, hot))
 
+    buckets = 4 * parts(docs)
+
     def cut(batches):
         shared, hot = sent.value
+        cold: list[tuple] = [([], [], [], []) for _ in range(buckets)]
+        size = 0
+
+        def flush():
+            rows = [(i, packed(*c)) for i, c in enumerate(cold) if c[0]]
+            none = [None] * len(rows)
+            return batch(STRETCHES, {"bucket": [r[0] for r in rows], "doc_id": none, "start": none, "bytes": [r[1] for r in rows]})
+
         for rows in batches:
             out = {f.name: [] for f in STRETCHES}
             for doc, value in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
@@ -338,16 +399,28 @@ def removed_windows(docs: DataFrame, length: int = 50, crowd: int = 1000) -> Dat
                 if not len(h):
                     continue
                 chosen = np.flatnonzero(shared.has(h))
-                crowded = hot.has(h[chosen]).tolist()
-                for i, is_hot, key in zip(chosen.tolist(), crowded, h[chosen].view(np.int64).tolist(), strict=True):
-                    for a in range(int(starts[i]), int(starts[i + 1]), STRETCH):
-                        b = min(a + STRETCH, int(starts[i + 1]))
-                        out["h"].append(key)
-                        out["hot"].append(is_hot)
-                        out["doc_id"].append(doc)
-                        out["start"].append(a)
-                        out["bytes"].append(text[a : b + length - 1])
+                own = h[chosen]
+                crowded = hot.has(own).tolist()
+                whose = segment_of(own, buckets).tolist()
+                for a, end, is_hot, to, key in zip(starts[chosen].tolist(), starts[chosen + 1].tolist(), crowded, whose, own.tolist(), strict=True):
+                    while a < end:
+                        b = min(a + STRETCH, end)
+                        if is_hot:
+                            out["bucket"].append(None)
+                            out["doc_id"].append(doc)
+                            out["start"].append(a)
+                            out["bytes"].append(text[a : b + length - 1])
+                        else:
+                            for column, x in zip(cold[to], (key, doc, a, text[a : b + length - 1]), strict=True):
+                                column.append(x)
+                            size += b - a + length
+                        a = b
             yield batch(STRETCHES, out)
+            if size > FLUSH_BYTES:
+                yield flush()
+                cold, size = [([], [], [], []) for _ in range(buckets)], 0
+        if size:
+            yield flush()
 
     stretches = stored(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(cut, STRETCHES_SQL))
     return cold_runs(stretches, length).unionByName(hot_runs(stretches, length))
@@ -365,11 +438,17 @@ def dedup(docs: DataFrame, length: int = 50, crowd: int = 1000) -> DataFrame:
     runs = removed_windows(plain, length, crowd)
     runs = runs.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
 
+    def squeeze(batches):
+        press = zstandard.ZstdCompressor(level=1)
+        for rows in batches:
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([press.compress(utf8(x)) for x in rows.column(1)], pa.binary())], names=["doc_id", "text"])
+
     def finish(batches):
+        press = zstandard.ZstdDecompressor()
         for rows in batches:
             out = {f.name: [] for f in OUT}
             for i, value in enumerate(rows.column(1)):
-                text = utf8(value)
+                text = press.decompress(value.as_py())
                 starts, ns = (np.array(rows.column(c)[i].as_py() or [], np.int64) for c in (2, 3))
                 delta = np.zeros(len(text) + 1, np.int64)
                 np.add.at(delta, starts, 1)
@@ -381,7 +460,9 @@ def dedup(docs: DataFrame, length: int = 50, crowd: int = 1000) -> DataFrame:
                     out[name].append(x)
             yield batch(OUT, out)
 
-    return plain.join(runs, "doc_id", "left").select("doc_id", "text", "starts", "ns").mapInArrow(finish, OUT_SQL)
+    # texts cross the shuffle to their runs compressed
+    small = plain.mapInArrow(squeeze, "doc_id bigint, text binary")
+    return small.join(runs, "doc_id", "left").select("doc_id", "text", "starts", "ns").mapInArrow(finish, OUT_SQL)
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
