@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without lines that an earlier place has; documents that lost every line go."""
     out = dedup_lines(docs).where((F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0))
-    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

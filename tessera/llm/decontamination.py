@@ -100,7 +100,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_b
     The ids to drop are broadcast up to most_broadcast of them.
     """
     bad = stored(contamination(docs, benchmark, n).where("contaminated and doc_id is not null").select("doc_id").distinct())
-    return docs.join(F.broadcast(bad) if bad.count() <= most_broadcast else bad, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(bad) if bad.count() <= most_broadcast else bad, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
