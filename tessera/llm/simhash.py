@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, stored, table
+from tessera.llm.common import batch, parts, stored, table
 from tessera.llm.components import connected
 
 #: Bits that linked fingerprints may differ in; the crowded lists' way is exact for 2.
@@ -94,7 +94,8 @@ def links(distinct: DataFrame, crowd: int = 64, every: bool = False) -> DataFram
     shared = sum(((_byte(mixed, p) == 0).cast("int") for p in range(8)), F.lit(0))
     near = (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (shared >= 8 - MAX_BITS) & (F.bit_count(mixed) <= MAX_BITS)
     pairs = cold.alias("x").join(cold.alias("y"), near).select("x.t", F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
-    hot = listed.where(F.col("n") > crowd).select("t", "fp").distinct()
+    # dealt out before each becomes 65 rows
+    hot = listed.where(F.col("n") > crowd).select("t", "fp").distinct().repartition(parts(distinct), "t", "fp")
     around = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i))))
     met = hot.select("t", "fp", F.explode(around).alias("value"))
     if every:
@@ -174,7 +175,8 @@ def near_duplicate_rows(docs: DataFrame, words: int = 5, min_similarity: float =
     entries = nodes.select("text_hash", "first", F.posexplode("fps").alias("t", "fp"))
     heads = stored(entries.groupBy("t", "fp").agg(F.min(F.struct("first", "text_hash")).alias("head")).select("t", "fp", "head.text_hash"))
     equal = entries.select("t", "fp", F.col("text_hash").alias("b")).join(heads, ["t", "fp"]).where("text_hash != b").select(F.col("text_hash").alias("a"), "b")
-    near = links(heads.select("t", "fp")).withColumnsRenamed({"a": "fa", "b": "fb"})
+    # fingerprints of single words lie close together: longer lists are paired before the way of crowds is cheaper
+    near = links(heads.select("t", "fp"), crowd=1000).withColumnsRenamed({"a": "fa", "b": "fb"})
     near = near.join(heads.withColumnsRenamed({"fp": "fa", "text_hash": "a"}), ["t", "fa"]).join(heads.withColumnsRenamed({"fp": "fb", "text_hash": "b"}), ["t", "fb"]).select("a", "b")
     pairs = equal.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = stored(pairs.where("a != b").distinct())
