@@ -42,7 +42,7 @@ def stored(df: DataFrame) -> DataFrame:
     and keeps what several later steps read from being computed again.
     """
     path = f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
