@@ -32,9 +32,9 @@ from tessera.llm.exact_dedup import golomb_decode, golomb_encode, rice_bits
 #: Bytes of the parts that anchors are chosen from; bits of an anchor; windows in a stretch at most.
 PART, ANCHOR_BITS, STRETCH = 20, 48, 256
 #: Bounds of the two filters together, in bits, and bytes sorted at a time.
-MOST_FILTER_BITS, BLOCK_BYTES = 1 << 29, 2 << 20
+MOST_FILTER_BITS, BLOCK_BYTES = 1 << 29, 1 << 20
 #: Bytes of stretches that a task holds before it packs them.
-FLUSH_BYTES = 48 << 20
+FLUSH_BYTES = 12 << 20
 #: A row is a stretch of a crowded anchor, or (with bucket) the packed stretches of a range of the others.
 STRETCHES = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
 STRETCHES_SQL = "bucket int, doc_id bigint, start bigint, bytes binary"
@@ -374,7 +374,7 @@ def hot_runs(stretches: DataFrame, length: int) -> DataFrame:
     return met.mapInArrow(runs, RUNS_SQL)
 
 
-def removed_windows(docs: DataFrame, length: int = 50, crowd: int = 1000) -> DataFrame:
+def removed_windows(docs: DataFrame, length: int = 50, crowd: int = 20_000) -> DataFrame:
     """doc_id, start, n: the windows of docs (doc_id, text) that start in a document with a smaller doc_id too."""
     shared, hot = shared_anchors(docs, length, crowd)
     sent = docs.sparkSession.sparkContext.broadcast((shared, hot))
@@ -426,7 +426,7 @@ def removed_windows(docs: DataFrame, length: int = 50, crowd: int = 1000) -> Dat
     return cold_runs(stretches, length).unionByName(hot_runs(stretches, length))
 
 
-def dedup(docs: DataFrame, length: int = 50, crowd: int = 1000) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 50, crowd: int = 20_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
     Null is the empty text; texts under `length` bytes lose nothing; rows that
