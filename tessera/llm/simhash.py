@@ -73,6 +73,23 @@ def _byte(fp: Column, position: int) -> Column:
     return F.shiftrightunsigned(fp, 56 - 8 * position).bitwiseAND(F.lit(255))
 
 
+def _listed(entries: DataFrame) -> DataFrame:
+    """entries (t, fp and more) with the key of each of their lists that has others, and its length n."""
+    keys = []
+    for i, places in enumerate(INDEX):
+        key = (F.col("t") * len(INDEX) + i).cast("bigint")
+        for p in places:
+            key = key * 256 + _byte(F.col("fp"), p)
+        keys.append(key)
+    index = entries.select("*", F.explode(F.array(*keys)).alias("key"))
+    return index.join(index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+
+
+def _around(fp: str) -> Column:
+    """The fingerprint and the 64 values one bit away; two that share one differ in at most 2 bits."""
+    return F.concat(F.array(fp), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col(fp).bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i))))
+
+
 def links(distinct: DataFrame, crowd: int = 64, every: bool = False) -> DataFrame:
     """t, a, b: links of the column fp (different values) that connect all of one t that differ in at most 2 bits.
 
@@ -80,15 +97,7 @@ def links(distinct: DataFrame, crowd: int = 64, every: bool = False) -> DataFram
     them that the same fingerprints are connected, or with `every` all (at most
     2,080 a fingerprint).
     """
-    keys = []
-    for i, places in enumerate(INDEX):
-        key = (F.col("t") * len(INDEX) + i).cast("bigint")
-        for p in places:
-            key = key * 256 + _byte(F.col("fp"), p)
-        keys.append(key)
-    index = distinct.select("t", "fp", F.explode(F.array(*keys)).alias("key"))
-    sizes = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    listed = stored(index.join(sizes, "key"))
+    listed = stored(_listed(distinct.select("t", "fp")))
     cold = listed.where(F.col("n") <= crowd)
     mixed = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
     shared = sum(((_byte(mixed, p) == 0).cast("int") for p in range(8)), F.lit(0))
@@ -96,8 +105,7 @@ def links(distinct: DataFrame, crowd: int = 64, every: bool = False) -> DataFram
     pairs = cold.alias("x").join(cold.alias("y"), near).select("x.t", F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
     # dealt out before each becomes 65 rows
     hot = listed.where(F.col("n") > crowd).select("t", "fp").distinct().repartition(parts(distinct), "t", "fp")
-    around = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i))))
-    met = hot.select("t", "fp", F.explode(around).alias("value"))
+    met = hot.select("t", "fp", F.explode(_around("fp")).alias("value"))
     if every:
         meets = met.alias("x").join(met.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.fp") < F.col("y.fp"))).select("x.t", F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
         return pairs.unionByName(meets).distinct()
@@ -126,18 +134,23 @@ def simhash_components(docs: DataFrame, width: int = 3, key: str = "doc_id", tex
 
 
 def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
-    """id, shingles (sorted, distinct 64-bit hashes) of rows (id, text); a shorter text is one shingle, none has none."""
+    """id, shingles (sorted, distinct 64-bit hashes), marks of rows (id, text); a shorter text is one shingle, none has none.
+
+    marks has 512 bits, each the parity of the shingles with that remainder: two
+    texts' marks differ in at most as many bits as shingles are not in both.
+    """
 
     def run(batches):
         for part in batches:
-            sets = []
+            sets, marks = [], []
             for value in part.column(1):
                 found = (value.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
                 parts = [b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))] if found else []
                 sets.append(np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+                marks.append(np.packbits(np.bincount(sets[-1] & 511, minlength=512) & 1).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))], names=["id", "shingles", "marks"])
 
-    return rows.select("id", "text").mapInArrow(run, "id bigint, shingles array<bigint>")
+    return rows.select("id", "text").mapInArrow(run, "id bigint, shingles array<bigint>, marks array<bigint>")
 
 
 def word_fingerprints(rows: DataFrame) -> DataFrame:
@@ -157,38 +170,90 @@ def word_fingerprints(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, raw bigint, text_hash bigint, fps array<bigint>")
 
 
-def near_duplicate_rows(docs: DataFrame, words: int = 5, min_similarity: float = 0.8, most_broadcast: int = 2_000_000) -> DataFrame:
+def linked_groups(entries: DataFrame, alike, crowd: int) -> DataFrame:
+    """node, root of the groups that the similar ones of all candidates make.
+
+    entries: t, fp, id (bigint). Candidates have fingerprints of one t within 2
+    bits, equal ones included; alike(pairs a, b) returns the similar ones. In
+    lists up to crowd all are tried. In larger ones those meet at the values
+    around their fingerprints. There, what lies outside a place's largest group
+    is tried, as a head, against all of the place in other groups: a few heads
+    a place at first, eight times as many in each round, until no candidate is
+    left that is neither tried nor connected. So near copies of one text
+    cost a pass for each head that is needed to connect them, and not a square.
+    """
+    listed = stored(_listed(entries))
+    mixed = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
+    cold = listed.where(F.col("n") <= crowd)
+    x, y = cold.alias("x"), cold.alias("y")
+    tried = stored(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.bit_count(mixed) <= MAX_BITS)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    similar = stored(alike(tried))
+    hot = listed.where(F.col("n") > crowd).select("t", "fp", "id").distinct().repartition(parts(entries), "t", "id")
+    met = hot.select("t", "id", F.explode(_around("fp")).alias("value"))
+    met = stored(met.join(met.groupBy("t", "value").agg(F.count("*").alias("n")).where("n > 1").select("t", "value"), ["t", "value"]))
+    groups = stored(connected(similar))
+    done, limit = None, 8
+    while True:
+        now = stored(met.join(groups.withColumnRenamed("node", "id"), "id", "left").select("t", "value", "id", F.coalesce("root", "id").alias("root")))
+        sizes = now.groupBy("t", "value", "root").agg(F.count("*").alias("n"))
+        most = sizes.groupBy("t", "value").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("groups")).where("groups > 1").select("t", "value", F.col("most.root").alias("largest"))
+        others = now.join(most, ["t", "value"]).where("root != largest").drop("largest")
+        if done is not None:
+            others = others.join(done, ["t", "value", "id"], "left_anti")
+        others = stored(others)
+        left = others.groupBy("t", "value").agg(F.count("*").alias("n"))
+        # about limit heads a place, by hash; all where there are no more
+        heads = others.join(left, ["t", "value"]).where(F.pmod(F.xxhash64("id", F.lit(limit)), "n") < limit)
+        heads = stored(heads.select("t", "value", "id", "root"))
+        if not others.limit(1).count():
+            return groups
+        x, y = heads.alias("x"), now.alias("y")
+        pairs = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.root") != F.col("y.root"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(pairs)
+        found = stored(alike(pairs))
+        similar = similar.unionByName(found)
+        if found.limit(1).count():
+            groups = stored(connected(similar))
+        own = heads.select("t", "value", "id")
+        done = own if done is None else done.unionByName(own)
+        limit *= 8
+
+
+def near_duplicate_rows(docs: DataFrame, words: int = 5, min_similarity: float = 0.8, most_broadcast: int = 2_000_000, crowd: int = 1000) -> DataFrame:
     """key, raw (hash of the text) of the rows to drop so that one of each near-duplicate group stays.
 
     Candidates have one of TABLES fingerprints of single words at 2 or fewer
     differing bits: with single words, where common ones weigh most, similar
     texts lie within that range far more often than with shingles. A candidate
     counts if its sets of `words`-word shingles have a Jaccard similarity of
-    min_similarity or more. Texts of the same words are one node; nodes of equal
-    fingerprints are tried against the first of them, and first nodes of near
-    fingerprints against each other. The smallest (doc_id, hash) of a group
-    stays. Null and empty texts are equal to each other.
+    min_similarity or more. Texts of the same words are one node; all candidates
+    are tried that are not connected by others. The smallest (doc_id, hash) of a
+    group stays. Null and empty texts are equal to each other.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = stored(word_fingerprints(rows))
     nodes = stored(base.groupBy("text_hash").agg(F.min(F.struct("doc_id", "raw")).alias("first"), F.first("fps").alias("fps")))
-    entries = nodes.select("text_hash", "first", F.posexplode("fps").alias("t", "fp"))
-    heads = stored(entries.groupBy("t", "fp").agg(F.min(F.struct("first", "text_hash")).alias("head")).select("t", "fp", "head.text_hash"))
-    equal = entries.select("t", "fp", F.col("text_hash").alias("b")).join(heads, ["t", "fp"]).where("text_hash != b").select(F.col("text_hash").alias("a"), "b")
-    # fingerprints of single words lie close together: longer lists are paired before the way of crowds is cheaper
-    near = links(heads.select("t", "fp"), crowd=1000).withColumnsRenamed({"a": "fa", "b": "fb"})
-    near = near.join(heads.withColumnsRenamed({"fp": "fa", "text_hash": "a"}), ["t", "fa"]).join(heads.withColumnsRenamed({"fp": "fb", "text_hash": "b"}), ["t", "fb"]).select("a", "b")
-    pairs = equal.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = stored(pairs.where("a != b").distinct())
-    wanted = pairs.select(F.col("a").alias("text_hash")).unionByName(pairs.select(F.col("b").alias("text_hash"))).distinct()
-    wanted = stored(nodes.join(wanted, "text_hash").select("text_hash", F.col("first.raw").alias("raw")).groupBy("raw").agg(F.min("text_hash").alias("id")))
-    some = F.broadcast(wanted) if wanted.count() <= most_broadcast else wanted
-    texts = rows.select("text", F.xxhash64("text").alias("raw")).join(some, "raw").select("id", "text")
-    sets = stored(shingle_sets(texts, words).groupBy("id").agg(F.first("shingles").alias("shingles")))
-    both = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    alike = both.where(common >= min_similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    groups = connected(alike)
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("text_hash")).unionByName(pairs.select(F.col("b").alias("text_hash"))).distinct()
+        wanted = stored(nodes.join(wanted, "text_hash").select("text_hash", F.col("first.raw").alias("raw")).groupBy("raw").agg(F.min("text_hash").alias("id")))
+        some = F.broadcast(wanted) if wanted.count() <= most_broadcast else wanted
+        texts = rows.select("text", F.xxhash64("text").alias("raw")).join(some, "raw").select("id", "text")
+        sets = stored(shingle_sets(texts, words).groupBy("id").agg(F.first("shingles").alias("shingles"), F.first("marks").alias("marks")))
+        # what sizes and marks rule out does not carry its shingles through the join
+        brief = sets.select("id", F.size("shingles").alias("n"), "marks")
+        x, y = (brief.select(F.col("id").alias(c), F.col("n").alias("n" + c), F.col("marks").alias("m" + c)) for c in "ab")
+        apart = sum((F.bit_count(F.col("ma")[i].bitwiseXOR(F.col("mb")[i])) for i in range(8)), F.lit(0))
+        both = F.col("na") + F.col("nb")
+        possible = (F.least("na", "nb") >= min_similarity * F.greatest("na", "nb") - 1e-6) & (apart * (1 + min_similarity) <= (1 - min_similarity) * both + 1e-6)
+        pairs = stored(pairs.join(x, "a").join(y, "b").where(possible).select("a", "b"))
+        sets = sets.select("id", "shingles")
+        both = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        return both.where(common >= min_similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+    groups = linked_groups(nodes.select(F.col("text_hash").alias("id"), F.posexplode("fps").alias("t", "fp")), alike, crowd)
     joined = nodes.join(groups.withColumnRenamed("node", "text_hash"), "text_hash")
     kept = joined.groupBy("root").agg(F.min("first").alias("kept"))
     keep = joined.join(kept, "root").select("text_hash", "kept")

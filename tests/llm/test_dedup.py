@@ -217,6 +217,31 @@ def test_near_duplicates(spark):
     assert simhash.drop_near_duplicates(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [1000, 8])
+@pytest.mark.parametrize("original", [0, 150, 10_000])
+def test_near_copies_of_one_original_are_all_tried(spark, crowd, original):
+    rng = random.Random(12)
+    text = cases.sentence(rng, 330).split()
+    rows = [(original, " ".join(text))]
+    for i in range(1, 201):
+        copy = [*text]
+        for at in range(rng.randrange(60), len(copy), 60):
+            copy[at] = f"other{rng.randrange(10**6)}"
+        rows.append((i + 1000 if i == original else i, " ".join(copy)))
+    fps = {r.doc_id: [f & (1 << 64) - 1 for f in r.fps] for r in simhash.word_fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    group = {i: i for i, _ in rows}
+    for a in group:
+        for b in group:
+            if a < b and group[a] != group[b] and any((x ^ y).bit_count() <= 2 for x, y in zip(fps[a], fps[b], strict=True)) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    gone = {r.key for r in simhash.near_duplicate_rows(docs, crowd=crowd).collect()}
+    assert set(group) - gone == set(group.values())
+    assert len(gone) > 100
+
+
 def test_native_plan_of_decontamination(spark):
     docs, _ = cases.documents(spark)
     bench = spark.createDataFrame([(1, cases.sentence(random.Random(1), 30))], "item_id bigint, text string")
