@@ -2,9 +2,10 @@
 
 Counts of one- and two-word n-grams are gathered by hash range; each range's
 owner builds its segment of the filter, in which an n-gram is inserted once for
-each step of its logarithmic count. Workers get the filter by broadcast (its size
-is bounded) and read a count by probing one step after another; interpolated
-probabilities come from those counts. The exact base score needs no filter:
+each step of its logarithmic count. The filter grows with the n-grams; its
+segments are a table, and workers get them by broadcast in bounded blocks, one
+pass over the texts for each, and read a count by probing one step after another;
+interpolated probabilities come from those counts. The exact base score needs no filter:
 frequent words come from a bounded broadcast table, the others by a join.
 """
 
@@ -29,13 +30,17 @@ from tessera.llm.exact_dedup import golomb_decode, golomb_encode, rice_bits
 END = b""
 #: Bits of an n-gram's fingerprint, ratio of neighbouring count steps, most steps.
 HASH_BITS, RATIO, STEPS = 48, 1.5, 60
-#: Bound of the filter in bits, bits for each insertion below that bound, words in the exact broadcast table.
+#: Bound of the filter's bits in one broadcast, bits for each insertion, words in the exact broadcast table.
 MOST_FILTER_BITS, BITS_EACH, MOST_FREQUENT = 1 << 28, 12, 150_000
 #: Weight of the one-word model against a context's count.
 PRIOR = 200.0
 COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("segment", pa.int32()), ("code", pa.binary()), ("more", pa.binary())])
+#: Bytes of training text for each segment of the filter, at most.
+SEGMENT_BYTES = 1 << 24
 COUNTS_SQL = "word binary, n bigint, segment int, code binary, more binary"
 SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int64()))])
+LEVELS = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("one", pa.binary()), ("two", pa.binary())])
+LEVELS_SQL = "doc_id bigint, text string, one binary, two binary"
 SCORED_SQL = "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, words array<binary>, times array<bigint>"
 _SHIFT = np.uint64(64 - HASH_BITS)
 
@@ -133,8 +138,8 @@ def count_ngrams(train: DataFrame, segments: int, flush: int = 2_000_000) -> Dat
     return train.select(F.col("text").cast("string")).mapInArrow(run, COUNTS_SQL)
 
 
-def build_filter(coded: DataFrame, segments: int) -> Filter:
-    """The log-frequency filter of the coded counts, built by segment; at most MOST_FILTER_BITS."""
+def filter_segments(coded: DataFrame, segments: int) -> DataFrame:
+    """segment, bits of the log-frequency filter of the coded counts, as large as they need."""
     wide = -(-(1 << HASH_BITS) // segments)
 
     def own(rows: pd.DataFrame) -> pd.DataFrame:
@@ -147,11 +152,54 @@ def build_filter(coded: DataFrame, segments: int) -> Filter:
             counts.append(c)
         every, inverse = np.unique(np.concatenate(values), return_inverse=True)
         total = np.bincount(inverse, weights=np.concatenate(counts))
-        bits = build(every << _SHIFT, step_of(total), BITS_EACH, MOST_FILTER_BITS // segments)
+        bits = build(every << _SHIFT, step_of(total), BITS_EACH, 1 << 62)
         return pd.DataFrame({"segment": rows["segment"].iloc[:1], "bits": [bits]})
 
-    rows = coded.groupBy("segment").applyInPandas(own, "segment int, bits binary").collect()
-    return Filter(segments, {r["segment"]: bytes(r["bits"]) for r in rows})
+    return coded.groupBy("segment").applyInPandas(own, "segment int, bits binary")
+
+
+def blocks_of(built: DataFrame) -> list[tuple[int, int]]:
+    """First and last segment of each block of up to MOST_FILTER_BITS; at least one block."""
+    blocks, held = [], 0
+    for r in sorted(built.select("segment", F.length("bits").alias("n")).collect()):  # a row a segment
+        if blocks and held + 8 * r["n"] <= MOST_FILTER_BITS:
+            blocks[-1] = (blocks[-1][0], r["segment"])
+        else:
+            blocks.append((r["segment"], r["segment"]))
+            held = 0
+        held += 8 * r["n"]
+    return blocks or [(0, 0)]
+
+
+def levels_before(column: pa.Array, ids: list[np.ndarray]) -> np.ndarray:
+    """The levels that earlier passes found, a token each; 0 where there was none."""
+    return np.frombuffer(b"".join([x.as_py() or bytes(len(i)) for x, i in zip(column, ids, strict=True)]), np.uint8)
+
+
+def add_levels(docs: DataFrame, filter_: Filter) -> DataFrame:
+    """docs (LEVELS) with the levels that these segments hold added, a byte for each word and for each pair."""
+    sent = docs.sparkSession.sparkContext.broadcast(filter_)
+
+    def run(batches):
+        filter_, words = sent.value, None
+        for rows in batches:
+            for at in range(0, rows.num_rows, 256):
+                part = rows.slice(at, 256)
+                if words is None or len(words.ids) > 300_000:
+                    words, one = Words(), np.zeros(0, np.int64)
+                ids = [words.number(tokens(x.as_py())) for x in part.column(1)]
+                flat = np.concatenate(ids)
+                words.fresh()
+                one = np.concatenate([one, filter_.level(word_hash(words.hashes[len(one) :]), STEPS)])
+                ends = np.cumsum([len(x) for x in ids])
+                found = [one[flat], filter_.level(pair_hash(words.hashes[np.concatenate(([0], flat[:-1]))], words.hashes[flat]), STEPS)]
+                out = []
+                for column, levels in zip((2, 3), found, strict=True):
+                    both = (levels_before(part.column(column), ids) + levels).astype(np.uint8).tobytes()
+                    out.append([both[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)])
+                yield batch(LEVELS, {"doc_id": part.column(0), "text": part.column(1), "one": out[0], "two": out[1]})
+
+    return docs.mapInArrow(run, LEVELS_SQL)
 
 
 def score(docs: DataFrame, train: DataFrame) -> DataFrame:
@@ -163,16 +211,25 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     text, whose one token is the end. Repeated rows and null keys each give a
     row; without training rows every count is 0; further columns are not read.
 
-    Beyond MOST_FILTER_BITS the filter fills up and more n-grams read too high a
-    count; none is left out.
+    A filter of more than MOST_FILTER_BITS is read in several passes; what they
+    find is kept as two bytes a token.
     """
     spark = docs.sparkSession
-    segments = max(64, 4 * parts(docs))
+    size = train.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("n")).first()["n"]
+    segments = max(64, 4 * parts(docs), -(-size // SEGMENT_BYTES))
     gathered = stored(count_ngrams(train, segments))
     counts = stored(gathered.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     z = totals["n"] + 0.1 * (totals["v"] + 1)
-    filter_ = build_filter(gathered.where("segment is not null"), segments)
+    built = stored(filter_segments(gathered.where("segment is not null"), segments))
+    *earlier, last = [built.where(F.col("segment").between(*b)) for b in blocks_of(built)]
+
+    def block(rows: DataFrame) -> Filter:
+        return Filter(segments, {r["segment"]: bytes(r["bits"]) for r in rows.collect()})
+
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *[F.lit(None).cast("binary").alias(c) for c in ("one", "two")])
+    for rows in earlier:
+        texts = stored(add_levels(texts, block(rows)))
     # the most frequent words whose number is within the bound: all from some power of two on
     level = F.floor(F.log2("c")).cast("int")
     room, least = MOST_FREQUENT, 63
@@ -181,7 +238,7 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
             break
         room, least = room - r["count"], r["level"]
     frequent = {bytes(r["word"]): r["c"] for r in counts.where(level >= least).collect()}
-    sent = spark.sparkContext.broadcast((filter_, frequent))
+    sent = spark.sparkContext.broadcast((block(last), frequent))
 
     def run(batches):
         filter_, frequent = sent.value
@@ -191,19 +248,20 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
             for at in range(0, rows.num_rows, 256):
                 part = rows.slice(at, 256)
                 if words is None or len(words.ids) > 300_000:
-                    words, exact, one = Words(), np.zeros(0, np.int64), np.zeros(0)
+                    words, exact, one = Words(), np.zeros(0, np.int64), np.zeros(0, np.int64)
                 ids = [words.number(tokens(x.as_py())) for x in part.column(1)]
                 flat = np.concatenate(ids)
                 new = words.fresh()
                 exact = np.concatenate([exact, np.fromiter((frequent.get(w, -1) for w in new), np.int64, len(new))])
                 fresh = word_hash(words.hashes[len(one) :])
-                one = np.concatenate([one, value_of[filter_.level(fresh, STEPS)]])
+                one = np.concatenate([one, filter_.level(fresh, STEPS)])
                 sizes = np.array([len(x) for x in ids])
                 ends = np.cumsum(sizes)
                 before = np.concatenate(([0], flat[:-1]))
-                two = value_of[filter_.level(pair_hash(words.hashes[before], words.hashes[flat]), STEPS)]
-                context = one[before]
-                log = np.log10((np.minimum(two, context) + PRIOR * (one[flat] + 0.1) / z) / (context + PRIOR))
+                two = value_of[filter_.level(pair_hash(words.hashes[before], words.hashes[flat]), STEPS) + levels_before(part.column(3), ids)]
+                single = value_of[one[flat] + levels_before(part.column(2), ids)]
+                context = np.concatenate((single[ends[0] - 1 : ends[0]], single[:-1]))  # the end before a text's first word
+                log = np.log10((np.minimum(two, context) + PRIOR * (single + 0.1) / z) / (context + PRIOR))
                 own = exact[flat]
                 known = own >= 0
                 base = np.where(known, np.log10((np.maximum(own, 0) + 0.1) / z), 0.0)
@@ -228,7 +286,7 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
                 )
                 start += part.num_rows
 
-    scored = stored(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, SCORED_SQL))
+    scored = stored(texts.mapInArrow(run, SCORED_SQL))
     rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     rest = rare.join(counts.where(level < least), "word", "left").groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"),

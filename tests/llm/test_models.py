@@ -123,6 +123,17 @@ def test_base_scores(spark, monkeypatch, most):
     assert all(r.score < 0 for r in out)
 
 
+def test_filter_grows_and_is_read_in_blocks(spark, monkeypatch):
+    docs, rows = cases.documents(spark)
+
+    def scores():
+        return cases.order((r.doc_id, r.n_tokens, round(r.score, 9)) for r in lm_scoring.score(docs, docs).collect())
+
+    whole = scores()
+    monkeypatch.setattr(lm_scoring, "MOST_FILTER_BITS", 1 << 13)
+    assert scores() == whole
+
+
 def test_scores_without_rows(spark):
     docs, rows = cases.documents(spark)
     assert lm_scoring.score(cases.empty(spark), docs).count() == 0
