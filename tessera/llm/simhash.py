@@ -170,11 +170,12 @@ def word_fingerprints(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, raw bigint, text_hash bigint, fps array<bigint>")
 
 
-def linked_groups(entries: DataFrame, alike, crowd: int) -> DataFrame:
+def linked_groups(entries: DataFrame, alike, crowd: int, possible: Column | None = None) -> DataFrame:
     """node, root of the groups that the similar ones of all candidates make.
 
     entries: t, fp, id (bigint). Candidates have fingerprints of one t within 2
-    bits, equal ones included; alike(pairs a, b) returns the similar ones. In
+    bits, equal ones included; alike(pairs a, b) returns the similar ones, which
+    all meet the condition `possible` on further columns of x and y, if given. In
     lists up to crowd all are tried. In larger ones those meet at the values
     around their fingerprints. There, what lies outside a place's largest group
     is tried, as a head, against all of the place in other groups: a few heads
@@ -186,7 +187,9 @@ def linked_groups(entries: DataFrame, alike, crowd: int) -> DataFrame:
     mixed = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
     cold = listed.where(F.col("n") <= crowd)
     x, y = cold.alias("x"), cold.alias("y")
-    tried = stored(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.bit_count(mixed) <= MAX_BITS)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.bit_count(mixed) <= MAX_BITS)
+    near = near if possible is None else near & possible
+    tried = stored(x.join(y, near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
     similar = stored(alike(tried))
     hot = listed.where(F.col("n") > crowd).select("t", "fp", "id").distinct().repartition(parts(entries), "t", "id")
     met = hot.select("t", "id", F.explode(_around("fp")).alias("value"))

@@ -199,6 +199,23 @@ def test_fuzzy_lines_and_crowds(spark):
     assert sum(out[i] for i in range(1, 91)) >= 80
 
 
+@pytest.mark.parametrize("most", [1000, 8])
+def test_crowded_lines_are_all_tried(spark, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "LIST", most)
+    rng = random.Random(14)
+    slots = [f"{a}{b}" for a in "abcdef" for b in "klmno"]
+    rows = []
+    for i in range(100):  # 5 of 60 words changed each: like the original, but not like each other
+        words = [*slots]
+        for at in rng.sample(range(30), 5):
+            words[at] = "x" + "".join(rng.choice("abcdefgh") for _ in range(8))
+        rows.append((i, " lorem ".join([*words, ""])))
+    rows.append((100, " lorem ".join([*slots, ""])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(docs).collect()}
+    assert [i for i, n in out.items() if n == 0] == [0]
+
+
 def test_near_duplicates(spark):
     rng = random.Random(10)
     base = [cases.sentence(rng, 150).split() for _ in range(12)]
