@@ -21,15 +21,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import wordhash
+from tessera.llm.bloom import mix
 from tessera.llm.common import batch, parts, stored, table
 from tessera.llm.components import connected
+from tessera.llm.similar import picked, similar_groups
 
 #: Bits that linked fingerprints may differ in; the crowded lists' way is exact for 2.
 MAX_BITS = 2
 #: Any 6 of the 8 byte positions contain one of these sets of 4.
 INDEX = [(*a, *b) for a, b in combinations([(0, 1), (2, 3), (4, 5), (6, 7)], 2)]
-#: Fingerprints of single words that the near-duplicate stage tries (an even number).
-TABLES = 8
+#: 64-bit parts of the fingerprint of single words in the near-duplicate stage.
+TABLES = 16
+MARKS = pa.schema([("doc_id", pa.int64()), ("raw", pa.int64()), ("text_hash", pa.int64()), ("fps", pa.list_(pa.int64()))])
 ROWS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("text_hash", pa.int64()), ("raw", pa.int64())])
 #: Where a row without a doc_id stands among others.
 LAST = (1 << 63) - 1
@@ -49,8 +53,9 @@ def fingerprint(words: list[bytes], width: int) -> bytes:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         hashes = [digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[width - 1 :].tolist(), strict=True)]
-    bits = np.unpackbits(np.frombuffer(b"".join(hashes), np.uint8)).reshape(-1, 64)
-    return np.packbits(2 * bits.sum(axis=0, dtype=np.uint32) > len(hashes)).tobytes()
+    raw = np.frombuffer(b"".join(hashes), np.uint8)
+    votes = sum((np.unpackbits(raw[i : i + (1 << 16)]).reshape(-1, 64).sum(axis=0, dtype=np.int64) for i in range(0, len(raw), 1 << 16)), np.zeros(64, np.int64))
+    return np.packbits(2 * votes > len(hashes)).tobytes()
 
 
 def fingerprints(docs: DataFrame, width: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -90,12 +95,11 @@ def _around(fp: str) -> Column:
     return F.concat(F.array(fp), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col(fp).bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i))))
 
 
-def links(distinct: DataFrame, crowd: int = 64, every: bool = False) -> DataFrame:
+def links(distinct: DataFrame, crowd: int = 64) -> DataFrame:
     """t, a, b: links of the column fp (different values) that connect all of one t that differ in at most 2 bits.
 
     Of lists up to crowd every such pair comes out; of larger ones enough of
-    them that the same fingerprints are connected, or with `every` all (at most
-    2,080 a fingerprint).
+    them that the same fingerprints are connected.
     """
     listed = stored(_listed(distinct.select("t", "fp")))
     cold = listed.where(F.col("n") <= crowd)
@@ -106,9 +110,6 @@ def links(distinct: DataFrame, crowd: int = 64, every: bool = False) -> DataFram
     # dealt out before each becomes 65 rows
     hot = listed.where(F.col("n") > crowd).select("t", "fp").distinct().repartition(parts(distinct), "t", "fp")
     met = hot.select("t", "fp", F.explode(_around("fp")).alias("value"))
-    if every:
-        meets = met.alias("x").join(met.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.fp") < F.col("y.fp"))).select("x.t", F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-        return pairs.unionByName(meets).distinct()
     first = met.groupBy("t", "value").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
     meets = met.join(first, ["t", "value"]).where("fp != a").select("t", "a", F.col("fp").alias("b")).distinct()
     return pairs.unionByName(meets)
@@ -133,134 +134,89 @@ def simhash_components(docs: DataFrame, width: int = 3, key: str = "doc_id", tex
     return base.join(labels, "fp").select(F.col("doc_id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
-    """id, shingles (sorted, distinct 64-bit hashes), marks of rows (id, text); a shorter text is one shingle, none has none.
-
-    marks has 512 bits, each the parity of the shingles with that remainder: two
-    texts' marks differ in at most as many bits as shingles are not in both.
-    """
+def document_marks(rows: DataFrame) -> DataFrame:
+    """doc_id, raw, text_hash, fps of rows (doc_id, text): TABLES fingerprints of single words."""
 
     def run(batches):
         for part in batches:
-            sets, marks = [], []
-            for value in part.column(1):
-                found = (value.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-                parts = [b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))] if found else []
-                sets.append(np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))).view(np.int64))
-                marks.append(np.packbits(np.bincount(sets[-1] & 511, minlength=512) & 1).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))], names=["id", "shingles", "marks"])
+            ids, raws = part.column(0).to_numpy(), part.column(2).to_numpy()
+            for a, b in wordhash.groups(part.column(1)):
+                h, n = wordhash.words_of(wordhash.raw(part.column(1), a, b))
+                fps = np.packbits(2 * wordhash.votes(h, np.repeat(np.arange(b - a), n), b - a, TABLES) > n[:, None], axis=1).view(">i8").astype(np.int64)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(fps.ravel()), TABLES).cast(pa.list_(pa.int64()))
+                yield batch(MARKS, {"doc_id": ids[a:b], "raw": raws[a:b], "text_hash": whole_hashes(h, n), "fps": lists})
 
-    return rows.select("id", "text").mapInArrow(run, "id bigint, shingles array<bigint>, marks array<bigint>")
+    return rows.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, raw bigint, text_hash bigint, fps array<bigint>")
 
 
-def word_fingerprints(rows: DataFrame) -> DataFrame:
-    """doc_id, raw, text_hash, fps of rows (doc_id, text): TABLES fingerprints of single words."""
+def whole_hashes(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of the words of each text, in order; 0 without words."""
+    out = np.zeros(len(n), np.uint64)
+    some = np.flatnonzero(n)
+    if len(some):
+        first = np.cumsum(n) - n
+        up = wordhash.powers(int(n.max()))[0]
+        with np.errstate(over="ignore"):
+            out[some] = mix(np.add.reduceat(h * up[np.arange(len(h)) - np.repeat(first, n)], first[some]) + n[some].astype(np.uint64))
+    return out.view(np.int64)
+
+
+def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
+    """id, payload (sorted, distinct 64-bit hashes) of rows (id, text); a shorter text is one shingle, none has none."""
 
     def run(batches):
         for part in batches:
-            fps, hashes = [], []
-            for value in part.column(1):
-                found = (value.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-                raw = b"".join([xxhash.xxh3_128_digest(w, seed) for w in found for seed in range(TABLES // 2)])
-                votes = np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(-1, 64 * TABLES).sum(axis=0, dtype=np.uint32)
-                fps.append(np.packbits(2 * votes > len(found)).view(">i8").astype(np.int64))
-                hashes.append(int.from_bytes(xxhash.xxh3_64_digest(b" ".join(found)), "big", signed=True))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(hashes, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "raw", "text_hash", "fps"])
-
-    return rows.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, raw bigint, text_hash bigint, fps array<bigint>")
+            for a, b in wordhash.groups(part.column(1)):
+                h, n = wordhash.words_of(wordhash.raw(part.column(1), a, b))
+                ends, sets = np.cumsum(n), []
+                for end, size in zip(ends.tolist(), n.tolist(), strict=True):
+                    own = h[end - size : end]
+                    sets.append(np.unique(wordhash.shingles(own, min(words, size))).view(np.int64) if size else np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), pa.array(sets, pa.list_(pa.int64()))], names=["id", "payload"])
 
+    return rows.select("id", "text").mapInArrow(run, "id bigint, payload array<bigint>")
 
-def linked_groups(entries: DataFrame, alike, crowd: int, possible: Column | None = None) -> DataFrame:
-    """node, root of the groups that the similar ones of all candidates make.
 
-    entries: t, fp, id (bigint). Candidates have fingerprints of one t within 2
-    bits, equal ones included; alike(pairs a, b) returns the similar ones, which
-    all meet the condition `possible` on further columns of x and y, if given. In
-    lists up to crowd all are tried. In larger ones those meet at the values
-    around their fingerprints. There, what lies outside a place's largest group
-    is tried, as a head, against all of the place in other groups: a few heads
-    a place at first, eight times as many in each round, until no candidate is
-    left that is neither tried nor connected. So near copies of one text
-    cost a pass for each head that is needed to connect them, and not a square.
-    """
-    listed = stored(_listed(entries))
-    mixed = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
-    cold = listed.where(F.col("n") <= crowd)
-    x, y = cold.alias("x"), cold.alias("y")
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.bit_count(mixed) <= MAX_BITS)
-    near = near if possible is None else near & possible
-    tried = stored(x.join(y, near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-    similar = stored(alike(tried))
-    hot = listed.where(F.col("n") > crowd).select("t", "fp", "id").distinct().repartition(parts(entries), "t", "id")
-    met = hot.select("t", "id", F.explode(_around("fp")).alias("value"))
-    met = stored(met.join(met.groupBy("t", "value").agg(F.count("*").alias("n")).where("n > 1").select("t", "value"), ["t", "value"]))
-    groups = stored(connected(similar))
-    done, limit = None, 8
-    while True:
-        now = stored(met.join(groups.withColumnRenamed("node", "id"), "id", "left").select("t", "value", "id", F.coalesce("root", "id").alias("root")))
-        sizes = now.groupBy("t", "value", "root").agg(F.count("*").alias("n"))
-        most = sizes.groupBy("t", "value").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("groups")).where("groups > 1").select("t", "value", F.col("most.root").alias("largest"))
-        others = now.join(most, ["t", "value"]).where("root != largest").drop("largest")
-        if done is not None:
-            others = others.join(done, ["t", "value", "id"], "left_anti")
-        others = stored(others)
-        left = others.groupBy("t", "value").agg(F.count("*").alias("n"))
-        # about limit heads a place, by hash; all where there are no more
-        heads = others.join(left, ["t", "value"]).where(F.pmod(F.xxhash64("id", F.lit(limit)), "n") < limit)
-        heads = stored(heads.select("t", "value", "id", "root"))
-        if not others.limit(1).count():
-            return groups
-        x, y = heads.alias("x"), now.alias("y")
-        pairs = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.root") != F.col("y.root"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(pairs)
-        found = stored(alike(pairs))
-        similar = similar.unionByName(found)
-        if found.limit(1).count():
-            groups = stored(connected(similar))
-        own = heads.select("t", "value", "id")
-        done = own if done is None else done.unionByName(own)
-        limit *= 8
-
-
-def near_duplicate_rows(docs: DataFrame, words: int = 5, min_similarity: float = 0.8, most_broadcast: int = 2_000_000, crowd: int = 1000) -> DataFrame:
+def near_duplicate_rows(docs: DataFrame, words: int = 5, min_similarity: float = 0.8, least_shared: int = 56, crowd: int = 32) -> DataFrame:
     """key, raw (hash of the text) of the rows to drop so that one of each near-duplicate group stays.
 
-    Candidates have one of TABLES fingerprints of single words at 2 or fewer
-    differing bits: with single words, where common ones weigh most, similar
-    texts lie within that range far more often than with shingles. A candidate
-    counts if its sets of `words`-word shingles have a Jaccard similarity of
-    min_similarity or more. Texts of the same words are one node; all candidates
-    are tried that are not connected by others. The smallest (doc_id, hash) of a
-    group stays. Null and empty texts are equal to each other.
+    Texts of the same words are one node, with a SimHash of TABLES * 8 bytes over
+    its single words: with single words, where common ones weigh most, similar
+    texts lie far closer than with shingles. The index holds lists of four
+    positional bytes; the positional bytes that a pair of a list shares are
+    tallied, and pairs with least_shared of the 128 or more are verified: the sets
+    of `words`-word shingles must have a Jaccard similarity of min_similarity or
+    more. Pairs that others connect already need not be tried (similar_groups).
+    The smallest (doc_id, hash) of a group stays. Null and empty texts are equal
+    to each other. Texts of other words than each other's never meet, however
+    often a word is repeated.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    base = stored(word_fingerprints(rows))
-    nodes = stored(base.groupBy("text_hash").agg(F.min(F.struct("doc_id", "raw")).alias("first"), F.first("fps").alias("fps")))
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("text_hash")).unionByName(pairs.select(F.col("b").alias("text_hash"))).distinct()
-        wanted = stored(nodes.join(wanted, "text_hash").select("text_hash", F.col("first.raw").alias("raw")).groupBy("raw").agg(F.min("text_hash").alias("id")))
-        some = F.broadcast(wanted) if wanted.count() <= most_broadcast else wanted
-        texts = rows.select("text", F.xxhash64("text").alias("raw")).join(some, "raw").select("id", "text")
-        sets = stored(shingle_sets(texts, words).groupBy("id").agg(F.first("shingles").alias("shingles"), F.first("marks").alias("marks")))
-        # what sizes and marks rule out does not carry its shingles through the join
-        brief = sets.select("id", F.size("shingles").alias("n"), "marks")
-        x, y = (brief.select(F.col("id").alias(c), F.col("n").alias("n" + c), F.col("marks").alias("m" + c)) for c in "ab")
-        apart = sum((F.bit_count(F.col("ma")[i].bitwiseXOR(F.col("mb")[i])) for i in range(8)), F.lit(0))
-        both = F.col("na") + F.col("nb")
-        possible = (F.least("na", "nb") >= min_similarity * F.greatest("na", "nb") - 1e-6) & (apart * (1 + min_similarity) <= (1 - min_similarity) * both + 1e-6)
-        pairs = stored(pairs.join(x, "a").join(y, "b").where(possible).select("a", "b"))
-        sets = sets.select("id", "shingles")
-        both = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        return both.where(common >= min_similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-
-    groups = linked_groups(nodes.select(F.col("text_hash").alias("id"), F.posexplode("fps").alias("t", "fp")), alike, crowd)
-    joined = nodes.join(groups.withColumnRenamed("node", "text_hash"), "text_hash")
+    base = stored(document_marks(rows))
+    nodes = stored(base.groupBy(F.col("text_hash").alias("id")).agg(F.min(F.struct("doc_id", "raw")).alias("first"), F.first("fps").alias("fps")))
+    # two lists from each fingerprint: its upper and its lower four bytes
+    halves = [F.col("fps")[t].bitwiseAND(F.lit(0xFFFFFFFF)) if low else F.shiftrightunsigned(F.col("fps")[t], 32) for t in range(TABLES) for low in (0, 1)]
+    entries = nodes.select(F.explode(F.array(*[half.bitwiseOR(F.lit(i << 32)) for i, half in enumerate(halves)])).alias("key"), "id")
+
+    def near(x: str, y: str) -> Column:
+        mixed = [F.col(f"{x}.fps")[t].bitwiseXOR(F.col(f"{y}.fps")[t]) for t in range(TABLES)]
+        return sum(((_byte(m, p) == 0).cast("int") for m in mixed for p in range(8)), F.lit(0)) >= least_shared
+
+    def payloads(ids: DataFrame) -> DataFrame:
+        wanted = stored(nodes.join(ids, "id").select("id", F.col("first.raw").alias("raw")).groupBy("raw").agg(F.min("id").alias("id")))
+        texts = picked(rows.select("text", F.xxhash64("text").alias("raw")), wanted, "raw", "inner").select("id", "text")
+        return shingle_sets(texts, words).groupBy("id").agg(F.first("payload").alias("payload"))
+
+    def alike(p: Column, q: Column) -> Column:
+        common = F.size(F.array_intersect(p, q))
+        sizes = F.least(F.size(p), F.size(q)) >= min_similarity * F.greatest(F.size(p), F.size(q)) - 1e-6
+        return sizes & (common >= min_similarity * (F.size(p) + F.size(q) - common) - 1e-6)
+
+    groups = similar_groups(entries, nodes.select("id", F.struct("fps", F.col("fps")[0].alias("sim")).alias("brief")), near, payloads, alike, crowd)
+    joined = nodes.join(groups.withColumnRenamed("node", "id"), "id")
     kept = joined.groupBy("root").agg(F.min("first").alias("kept"))
-    keep = joined.join(kept, "root").select("text_hash", "kept")
-    keep = nodes.join(keep, "text_hash", "left").select("text_hash", F.coalesce("kept", "first").alias("kept"))
+    keep = joined.join(kept, "root").select("id", "kept")
+    keep = nodes.select("id", "first").join(keep, "id", "left").select(F.col("id").alias("text_hash"), F.coalesce("kept", "first").alias("kept"))
     return base.select("doc_id", "raw", "text_hash").join(keep, "text_hash").where(F.struct("doc_id", "raw") != F.col("kept")).select(F.col("doc_id").alias("key"), "raw").distinct()
 
 
