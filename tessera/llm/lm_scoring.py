@@ -1,73 +1,57 @@
 """LM scoring (operator 10): a log-frequency Bloom filter of quantised n-gram counts.
 
-Counts of one- and two-word n-grams are gathered by hash range; each range's
-owner builds its segment of the filter, in which an n-gram is inserted once for
-each step of its logarithmic count. The filter grows with the n-grams; its
-segments are a table, and workers get them by broadcast in bounded blocks, one
-pass over the texts for each, and read a count by probing one step after another;
-interpolated probabilities come from those counts. The exact base score needs no filter:
-frequent words come from a bounded broadcast table, the others by a join.
+The texts are dealt into blocks. Each block's distinct word pairs go, as sorted
+compressed hashes with their counts, to the owners of the hash ranges. An owner
+builds its segment of the filter, in which a pair is inserted once for each step
+of its logarithmic count, and answers every block by probing one step after
+another; single words get exact counts the same way. The blocks' texts then meet
+the answers, and interpolated probabilities come from those counts. Filter and
+corpus grow together, so that no segment is broadcast: probes travel instead.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from itertools import islice
+import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import wordhash
 from tessera.llm.bloom import Filter, build, mix, segment_of
 from tessera.llm.common import batch, parts, stored, table
 from tessera.llm.exact_dedup import golomb_decode, golomb_encode, rice_bits
 
-#: The token that ends every text; no word is empty. It is also the context of a text's first word.
-END = b""
-#: Bits of an n-gram's fingerprint, ratio of neighbouring count steps, most steps.
-HASH_BITS, RATIO, STEPS = 48, 1.5, 60
-#: Bound of the filter's bits in one broadcast, bits for each insertion, words in the exact broadcast table.
-MOST_FILTER_BITS, BITS_EACH, MOST_FREQUENT = 1 << 28, 12, 150_000
+#: The hash of the token that ends every text. It is also the context of a text's first word.
+END = np.uint64(0x5851F42D4C957F2D)
+#: Bits of a pair's fingerprint, ratio of neighbouring count steps, most steps, bits for each insertion.
+HASH_BITS, RATIO, STEPS, BITS_EACH = 48, 1.5, 60, 12
 #: Weight of the one-word model against a context's count.
 PRIOR = 200.0
-COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("segment", pa.int32()), ("code", pa.binary()), ("more", pa.binary())])
-#: Bytes of training text for each segment of the filter, at most.
-SEGMENT_BYTES = 1 << 24
-COUNTS_SQL = "word binary, n bigint, segment int, code binary, more binary"
-SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int64()))])
-LEVELS = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("one", pa.binary()), ("two", pa.binary())])
-LEVELS_SQL = "doc_id bigint, text string, one binary, two binary"
-SCORED_SQL = "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, words array<binary>, times array<bigint>"
+#: Bytes of text of a block, and from which a text is cut between words; bytes of text for each segment, at most.
+BLOCK_BYTES, PIECE_BYTES, SEGMENT_BYTES = 1 << 23, 1 << 22, 1 << 24
+PAIRS, WORDS, TEXTS = 0, 1, 2
+SENT = pa.schema([("block", pa.int64()), ("segment", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("code", pa.binary()), ("counts", pa.binary())])
+SENT_SQL = "block bigint, segment int, kind int, n bigint, code binary, counts binary"
+ANSWERS = pa.schema([("block", pa.int64()), ("segment", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("answer", pa.binary())])
+ANSWERS_SQL = "block bigint, segment int, kind int, n bigint, answer binary"
+SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+SCORED_SQL = "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, score double"
 _SHIFT = np.uint64(64 - HASH_BITS)
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+#: What is known of a piece besides its bytes: its row, doc_id (and whether null), size, words that are context only, whether the text ends there, whether it is learned from.
+META = ("row", "doc_id", "null", "size", "lead", "tail", "learn")
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words in ASCII lower case, then the end."""
-    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
+def packed(values: np.ndarray) -> bytes:
+    return pa.compress(values.tobytes(), "zstd", asbytes=True)
 
 
-class Words:
-    """Numbers words as they come, with a hash of each."""
-
-    def __init__(self):
-        self.ids: defaultdict = defaultdict()
-        self.ids.default_factory = self.ids.__len__
-        self.hashes = np.zeros(0, np.uint64)
-        self.ids[END]
-
-    def number(self, found: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.ids.__getitem__, found), np.int64, len(found))
-
-    def fresh(self) -> list[bytes]:
-        """Words since the last call; their hashes are added."""
-        new = list(islice(self.ids, len(self.hashes), None))
-        digest = xxhash.xxh3_64_intdigest
-        self.hashes = np.concatenate([self.hashes, np.fromiter((digest(w) for w in new), np.uint64, len(new))])
-        return new
+def unpacked(data: bytes, n: int, dtype: str) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, n * np.dtype(dtype).itemsize, "zstd", asbytes=True), dtype)
 
 
 def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -75,10 +59,6 @@ def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
         return mix(mix(before) + word) >> _SHIFT << _SHIFT
 
 
-def word_hash(word: np.ndarray) -> np.ndarray:
-    return mix(word) >> _SHIFT << _SHIFT
-
-
 def step_of(counts: np.ndarray) -> np.ndarray:
     """The logarithmic step of counts from 1 on."""
     return np.minimum(1 + np.floor(np.log(counts) / np.log(RATIO) + 1e-9).astype(np.int64), STEPS)
@@ -90,216 +70,203 @@ def step_values() -> np.ndarray:
     return np.array([0.0] + [(a + max(a, b - 1)) / 2 for a, b in zip(edges, edges[1:], strict=False)])
 
 
-def count_ngrams(train: DataFrame, segments: int, flush: int = 2_000_000) -> DataFrame:
-    """Rows of words with counts (word, n) and of coded n-gram counts (segment, code, more)."""
+def cut(text: bytes, most: int):
+    """(bytes, lead, tail): a text in pieces that end between words, each but the first led by the word before it."""
+    at, last = 0, b""
+    while True:
+        gap = _GAP.search(text, at + most) if len(text) - at > most else None
+        part = text[at : gap.start()] if gap else text[at:]
+        yield (last + b" " + part if last else part), int(bool(last)), int(gap is None)
+        if gap is None:
+            return
+        last = (part.rsplit(None, 1) or [last])[-1]
+        at = gap.start()
+
+
+class Tokens:
+    """The tokens of some pieces in order: hash, context's hash, piece."""
+
+    def __init__(self, texts: list[bytes], meta: np.ndarray):
+        h, n = wordhash.words_of(texts)
+        lead, tail = meta[META.index("lead")], meta[META.index("tail")]
+        ends = np.cumsum(n)
+        flat = np.insert(h, ends[tail == 1], END)
+        sizes = n + tail
+        piece = np.repeat(np.arange(len(n)), sizes)
+        before = np.concatenate(([END], flat[:-1]))
+        own = np.ones(len(flat), bool)
+        own[(np.cumsum(sizes) - sizes)[lead == 1]] = False
+        self.word, self.before, self.piece = flat[own], before[own], piece[own]
+        self.pair = pair_hash(self.before, self.word)
+        #: The first token of each piece that has any, and the words to ask for: all, then the first tokens' contexts.
+        self.first = np.flatnonzero(np.diff(self.piece, prepend=-1))
+        self.asked = np.concatenate((self.word, self.before[self.first]))
+
+
+def blocks(rows: DataFrame, segments: int) -> DataFrame:
+    """Rows SENT of rows (doc_id, text, learn): the texts of each block, and its distinct pairs and words with their counts in what is learned from."""
     wide = -(-(1 << HASH_BITS) // segments)
 
-    def run(batches):
-        words, held, size = Words(), [], 0
-
-        def out():
-            ids = np.concatenate(held)
-            counts = np.bincount(ids, minlength=len(words.ids))
-            words.fresh()
-            before = np.concatenate(([0], ids[:-1]))  # word 0 is the end: a text's first word follows the end before it
-            one = word_hash(words.hashes)
-            grams, n = np.unique(np.concatenate([pair_hash(words.hashes[before], words.hashes[ids])]), return_counts=True)
-            seen = np.flatnonzero(counts)
-            grams, n = np.concatenate([grams, one[seen]]), np.concatenate([n, counts[seen]])
-            order = np.argsort(grams)
-            grams, n = grams[order], n[order]
+    def sent(block: int, texts: list[bytes], meta: np.ndarray):
+        tokens = Tokens(texts, meta)
+        learn = meta[META.index("learn")][tokens.piece].astype(np.float64)
+        asked = np.concatenate((learn, np.zeros(len(tokens.first))))
+        out = {f.name: [] for f in SENT}
+
+        def add(*values):
+            for name, value in zip(out, values, strict=True):
+                out[name].append(value)
+
+        for kind, values, weights in ((PAIRS, tokens.pair, learn), (WORDS, tokens.asked, asked)):
+            if not len(values):
+                continue
+            grams, inverse = np.unique(values, return_inverse=True)
+            counts = np.bincount(inverse, weights=weights, minlength=len(grams)).astype("<u4")
             whose = segment_of(grams, segments)
             at = np.flatnonzero(np.diff(whose, prepend=-1))
-            keys = list(words.ids)
-            for a in range(0, len(seen), 50_000):
-                part = seen[a : a + 50_000]
-                yield batch(COUNTS, {"word": [keys[i] for i in part], "n": counts[part], "segment": [None] * len(part), "code": [None] * len(part), "more": [None] * len(part)})
-            rows = {f.name: [] for f in COUNTS}
             for a, b in zip(at, [*at[1:], len(grams)], strict=True):
-                values = grams[a:b] >> _SHIFT
-                base = values[0]
-                many = np.flatnonzero(n[a:b] > 1)
-                more = np.concatenate([many, n[a:b][many]]).astype("<u8").tobytes()
-                for name, x in zip(rows, (None, b - a, int(whose[a]), int(base).to_bytes(8, "big") + golomb_encode(values - base, rice_bits(b - a, wide)), more), strict=True):
-                    rows[name].append(x)
-            yield batch(COUNTS, rows)
-
-        for b in batches:
-            for text in b.column(0):
-                ids = words.number(tokens(text.as_py()))
-                held.append(ids)
-                size += len(ids)
-                if size >= flush:
-                    yield from out()
-                    words, held, size = Words(), [], 0
-        if held:
-            yield from out()
-
-    return train.select(F.col("text").cast("string")).mapInArrow(run, COUNTS_SQL)
-
-
-def filter_segments(coded: DataFrame, segments: int) -> DataFrame:
-    """segment, bits of the log-frequency filter of the coded counts, as large as they need."""
-    wide = -(-(1 << HASH_BITS) // segments)
-
-    def own(rows: pd.DataFrame) -> pd.DataFrame:
-        values, counts = [], []
-        for n, code, more in zip(rows["n"], rows["code"], rows["more"], strict=True):
-            values.append(golomb_decode(code[8:], n, rice_bits(n, wide)) + np.uint64(int.from_bytes(code[:8], "big")))
-            c = np.ones(n, np.int64)
-            many = np.frombuffer(more, "<u8").reshape(2, -1).astype(np.int64)
-            c[many[0]] = many[1]
-            counts.append(c)
-        every, inverse = np.unique(np.concatenate(values), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate(counts))
-        bits = build(every << _SHIFT, step_of(total), BITS_EACH, 1 << 62)
-        return pd.DataFrame({"segment": rows["segment"].iloc[:1], "bits": [bits]})
-
-    return coded.groupBy("segment").applyInPandas(own, "segment int, bits binary")
-
-
-def blocks_of(built: DataFrame) -> list[tuple[int, int]]:
-    """First and last segment of each block of up to MOST_FILTER_BITS; at least one block."""
-    blocks, held = [], 0
-    for r in sorted(built.select("segment", F.length("bits").alias("n")).collect()):  # a row a segment
-        if blocks and held + 8 * r["n"] <= MOST_FILTER_BITS:
-            blocks[-1] = (blocks[-1][0], r["segment"])
-        else:
-            blocks.append((r["segment"], r["segment"]))
-            held = 0
-        held += 8 * r["n"]
-    return blocks or [(0, 0)]
+                if kind == PAIRS:
+                    part = grams[a:b] >> _SHIFT
+                    code = int(part[0]).to_bytes(8, "big") + golomb_encode(part - part[0], rice_bits(b - a, wide))
+                else:
+                    code = grams[a:b].tobytes()
+                add(block, int(whose[a]), kind, int(b - a), code, packed(counts[a:b]))
+        yield batch(SENT, out)
+        out = {f.name: [] for f in SENT}
+        add(block, -1, TEXTS, len(texts), pa.compress(b"".join(texts), "zstd", asbytes=True), meta.astype("<i8").tobytes())
+        yield batch(SENT, out)
 
+    def run(batches):
+        block = row = TaskContext.get().partitionId() << 33
+        texts, meta, held = [], [], 0
+        for part in batches:
+            ids, learn = part.column(0).to_pylist(), part.column(2).to_pylist()
+            for i, value in enumerate(part.column(1)):
+                raw = value.as_buffer().to_pybytes() if value.is_valid else b""
+                for text, lead, tail in cut(raw, PIECE_BYTES):
+                    texts.append(text)
+                    meta.append((row, ids[i] or 0, ids[i] is None, len(text), lead, tail, bool(learn[i])))
+                    held += len(text) + 1
+                    if held >= BLOCK_BYTES:
+                        yield from sent(block, texts, np.array(meta, np.int64).T)
+                        block += 1
+                        texts, meta, held = [], [], 0
+                row += 1
+        if texts:
+            yield from sent(block, texts, np.array(meta, np.int64).T)
+
+    return rows.select("doc_id", "text", "learn").mapInArrow(run, SENT_SQL)
+
+
+def answers(coded: DataFrame, segments: int) -> DataFrame:
+    """Rows ANSWERS to coded (SENT): steps of a block's pairs from the filter, counts of its words; of each segment the sum of words and how many differ."""
+    wide = -(-(1 << HASH_BITS) // segments)
 
-def levels_before(column: pa.Array, ids: list[np.ndarray]) -> np.ndarray:
-    """The levels that earlier passes found, a token each; 0 where there was none."""
-    return np.frombuffer(b"".join([x.as_py() or bytes(len(i)) for x, i in zip(column, ids, strict=True)]), np.uint8)
+    def own(rows: pa.Table) -> pa.Table:
+        out = {f.name: [] for f in ANSWERS}
+        segment = rows.column("segment")[0].as_py()
+
+        def add(*values):
+            for name, value in zip(out, values, strict=True):
+                out[name].append(value)
+
+        for kind in (PAIRS, WORDS):
+            mine = rows.filter(pc.equal(rows.column("kind"), kind))
+            if not mine.num_rows:
+                continue
+            values, counts = [], []
+            sizes = mine.column("n").to_pylist()
+            for n, code, times in zip(sizes, mine.column("code"), mine.column("counts"), strict=True):
+                code = code.as_buffer().to_pybytes()
+                if kind == PAIRS:
+                    values.append((golomb_decode(code[8:], n, rice_bits(n, wide)) + np.uint64(int.from_bytes(code[:8], "big"))) << _SHIFT)
+                else:
+                    values.append(np.frombuffer(code, np.uint64))
+                counts.append(unpacked(times.as_buffer().to_pybytes(), n, "<u4"))
+            every, inverse = np.unique(np.concatenate(values), return_inverse=True)
+            total = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
+            if kind == PAIRS:
+                seen = total > 0
+                bits = build(every[seen], step_of(total[seen]), BITS_EACH, 1 << 62)
+                found = Filter(1, {0: bits}).level(every, STEPS).astype(np.uint8)
+            else:
+                found = total.astype("<i8")
+                add(None, segment, TEXTS, int(total.sum()), int((total > 0).sum()).to_bytes(8, "big"))
+            ends = np.cumsum(sizes)
+            for block, a, b in zip(mine.column("block").to_pylist(), ends - sizes, ends, strict=True):
+                add(block, segment, kind, int(b - a), packed(found[inverse[a:b]]))
+        return pa.Table.from_batches([batch(ANSWERS, out)])
+
+    return coded.groupBy("segment").applyInArrow(own, ANSWERS_SQL)
+
+
+def scored(texts: DataFrame, found: DataFrame, z: float) -> DataFrame:
+    """Rows SCORED of the pieces of each block."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        value_of, rows = step_values(), []
+        right = right.sort_by("segment")
+        for i in range(left.num_rows):
+            meta = np.frombuffer(left.column("counts")[i].as_py(), "<i8").reshape(len(META), -1)
+            sizes = meta[META.index("size")]
+            raw = pa.decompress(left.column("code")[i].as_buffer(), int(sizes.sum()), "zstd", asbytes=True)
+            ends = np.cumsum(sizes)
+            tokens = Tokens([raw[a:b] for a, b in zip(ends - sizes, ends, strict=True)], meta)
+            count = {}
+            for kind, values, dtype in ((PAIRS, tokens.pair, "u1"), (WORDS, tokens.asked, "<i8")):
+                mine = right.filter(pc.equal(right.column("kind"), kind))
+                got = [unpacked(a.as_buffer().to_pybytes(), n, dtype) for a, n in zip(mine.column("answer"), mine.column("n").to_pylist(), strict=True)]
+                grams, inverse = np.unique(values, return_inverse=True)
+                got = np.concatenate(got) if got else np.zeros(0, dtype)
+                if len(got) != len(grams):
+                    raise ValueError("the answers of a block don't fit its texts")
+                count[kind] = (grams, got, inverse)
+            words = count[WORDS][1][count[WORDS][2]]
+            single, two = words[: len(tokens.word)], value_of[count[PAIRS][1][count[PAIRS][2]]]
+            context = np.concatenate((single[:1], single[:-1]))
+            context[tokens.first] = words[len(tokens.word) :]
+            log = np.log10((np.minimum(two, context) + PRIOR * (single + 0.1) / z) / (context + PRIOR))
+            k = meta.shape[1]
+            rows.append(
+                batch(
+                    SCORED,
+                    {
+                        "row": meta[META.index("row")],
+                        "doc_id": pa.array(meta[META.index("doc_id")], pa.int64(), mask=meta[META.index("null")] > 0),
+                        "n_tokens": np.bincount(tokens.piece, minlength=k),
+                        "n_known": np.bincount(tokens.piece, weights=single > 0, minlength=k).astype(np.int64),
+                        "base": np.bincount(tokens.piece, weights=np.log10((single + 0.1) / z), minlength=k),
+                        "score": np.bincount(tokens.piece, weights=log, minlength=k),
+                    },
+                )
+            )
+        return pa.Table.from_batches(rows, SCORED)
 
+    return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, SCORED_SQL)
 
-def add_levels(docs: DataFrame, filter_: Filter) -> DataFrame:
-    """docs (LEVELS) with the levels that these segments hold added, a byte for each word and for each pair."""
-    sent = docs.sparkSession.sparkContext.broadcast(filter_)
 
-    def run(batches):
-        filter_, words = sent.value, None
-        for rows in batches:
-            for at in range(0, rows.num_rows, 256):
-                part = rows.slice(at, 256)
-                if words is None or len(words.ids) > 300_000:
-                    words, one = Words(), np.zeros(0, np.int64)
-                ids = [words.number(tokens(x.as_py())) for x in part.column(1)]
-                flat = np.concatenate(ids)
-                words.fresh()
-                one = np.concatenate([one, filter_.level(word_hash(words.hashes[len(one) :]), STEPS)])
-                ends = np.cumsum([len(x) for x in ids])
-                found = [one[flat], filter_.level(pair_hash(words.hashes[np.concatenate(([0], flat[:-1]))], words.hashes[flat]), STEPS)]
-                out = []
-                for column, levels in zip((2, 3), found, strict=True):
-                    both = (levels_before(part.column(column), ids) + levels).astype(np.uint8).tobytes()
-                    out.append([both[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)])
-                yield batch(LEVELS, {"doc_id": part.column(0), "text": part.column(1), "one": out[0], "two": out[1]})
-
-    return docs.mapInArrow(run, LEVELS_SQL)
-
-
-def score(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
+def score(docs: DataFrame, learn: Column) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs, learned from those where learn is true.
 
     base_score: sum over tokens of log10((c + 0.1) / (N + 0.1 (V + 1))), from
-    exact counts in train. score: the two-word model's log10 probability, with
-    the one-word model as prior, from the filter's counts. Null is the empty
-    text, whose one token is the end. Repeated rows and null keys each give a
-    row; without training rows every count is 0; further columns are not read.
-
-    A filter of more than MOST_FILTER_BITS is read in several passes; what they
-    find is kept as two bytes a token.
+    exact counts (words are told apart by 64-bit hashes). score: the two-word
+    model's log10 probability, with the one-word model as prior: pairs count as
+    the filter says, whose steps are a factor of RATIO apart and never read low.
+    Null is the empty text, whose one token is the end. Repeated rows and null
+    keys each give a row; without rows to learn from every count is 0; long texts
+    are worked on in pieces; further columns are not read.
     """
-    spark = docs.sparkSession
-    size = train.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("n")).first()["n"]
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     segments = max(64, 4 * parts(docs), -(-size // SEGMENT_BYTES))
-    gathered = stored(count_ngrams(train, segments))
-    counts = stored(gathered.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
-    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    gathered = stored(blocks(rows, segments))
+    found = stored(answers(gathered.where(F.col("kind") != TEXTS), segments))
+    number = F.conv(F.hex("answer"), 16, 10).cast("bigint")
+    totals = found.where(F.col("kind") == TEXTS).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(number), F.lit(0)).alias("v")).first()
     z = totals["n"] + 0.1 * (totals["v"] + 1)
-    built = stored(filter_segments(gathered.where("segment is not null"), segments))
-    *earlier, last = [built.where(F.col("segment").between(*b)) for b in blocks_of(built)]
-
-    def block(rows: DataFrame) -> Filter:
-        return Filter(segments, {r["segment"]: bytes(r["bits"]) for r in rows.collect()})
-
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *[F.lit(None).cast("binary").alias(c) for c in ("one", "two")])
-    for rows in earlier:
-        texts = stored(add_levels(texts, block(rows)))
-    # the most frequent words whose number is within the bound: all from some power of two on
-    level = F.floor(F.log2("c")).cast("int")
-    room, least = MOST_FREQUENT, 63
-    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):  # at most 63 rows
-        if r["count"] > room:
-            break
-        room, least = room - r["count"], r["level"]
-    frequent = {bytes(r["word"]): r["c"] for r in counts.where(level >= least).collect()}
-    sent = spark.sparkContext.broadcast((block(last), frequent))
-
-    def run(batches):
-        filter_, frequent = sent.value
-        value_of = step_values()
-        start, words = TaskContext.get().partitionId() << 33, None
-        for rows in batches:
-            for at in range(0, rows.num_rows, 256):
-                part = rows.slice(at, 256)
-                if words is None or len(words.ids) > 300_000:
-                    words, exact, one = Words(), np.zeros(0, np.int64), np.zeros(0, np.int64)
-                ids = [words.number(tokens(x.as_py())) for x in part.column(1)]
-                flat = np.concatenate(ids)
-                new = words.fresh()
-                exact = np.concatenate([exact, np.fromiter((frequent.get(w, -1) for w in new), np.int64, len(new))])
-                fresh = word_hash(words.hashes[len(one) :])
-                one = np.concatenate([one, filter_.level(fresh, STEPS)])
-                sizes = np.array([len(x) for x in ids])
-                ends = np.cumsum(sizes)
-                before = np.concatenate(([0], flat[:-1]))
-                two = value_of[filter_.level(pair_hash(words.hashes[before], words.hashes[flat]), STEPS) + levels_before(part.column(3), ids)]
-                single = value_of[one[flat] + levels_before(part.column(2), ids)]
-                context = np.concatenate((single[ends[0] - 1 : ends[0]], single[:-1]))  # the end before a text's first word
-                log = np.log10((np.minimum(two, context) + PRIOR * (single + 0.1) / z) / (context + PRIOR))
-                own = exact[flat]
-                known = own >= 0
-                base = np.where(known, np.log10((np.maximum(own, 0) + 0.1) / z), 0.0)
-                keys = list(words.ids)
-                rare, times = [], []
-                for a, b in zip(ends - sizes, ends, strict=True):
-                    other, n = np.unique(flat[a:b][~known[a:b]], return_counts=True)
-                    rare.append([keys[i] for i in other])
-                    times.append(n)
-                yield batch(
-                    SCORED,
-                    {
-                        "row": np.arange(start, start + part.num_rows),
-                        "doc_id": part.column(0),
-                        "n_tokens": sizes,
-                        "n_known": np.add.reduceat(known.astype(np.int64), ends - sizes),
-                        "base": np.add.reduceat(base, ends - sizes),
-                        "score": np.add.reduceat(log, ends - sizes),
-                        "words": rare,
-                        "times": times,
-                    },
-                )
-                start += part.num_rows
-
-    scored = stored(texts.mapInArrow(run, SCORED_SQL))
-    rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    rest = rare.join(counts.where(level < least), "word", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / z)).alias("rare_base"),
-    )
-    return scored.join(rest, "row", "left").select(
-        "doc_id",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(totals["n"]).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+    pieces = scored(gathered.where(F.col("kind") == TEXTS), found.where(F.col("kind") != TEXTS), z)
+    sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")]
+    return pieces.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *sums).select("doc_id", "n_tokens", "n_known", F.lit(totals["n"]).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
 def held_out(key: str = "doc_id", mod: int = 10, rest: int = 0):
@@ -308,8 +275,7 @@ def held_out(key: str = "doc_id", mod: int = 10, rest: int = 0):
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    out = score(docs, docs.where(~held_out()))
+    out = score(table(spark, sf_dir, "documents"), ~held_out())
     return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

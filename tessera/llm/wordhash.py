@@ -31,8 +31,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_places(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of bytes above the space."""
-    inner = np.concatenate(([False], u > 32, [False]))
+    """Starts and ends of the runs of bytes other than spaces and line ends."""
+    inner = np.concatenate(([False], (u != 32) & (u != 10), [False]))
     edges = np.flatnonzero(inner[1:] != inner[:-1])
     return edges[::2], edges[1::2]
 

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import bloom, html_text, language_id, lm_scoring
@@ -111,33 +112,58 @@ def brute_base(rows):
     return out
 
 
-@pytest.mark.parametrize("most", [200_000, 5])
-def test_base_scores(spark, monkeypatch, most):
-    monkeypatch.setattr(lm_scoring, "MOST_FREQUENT", most)
+@pytest.mark.parametrize("small", [False, True])
+def test_scores_against_brute_force(spark, monkeypatch, small):
     docs, rows = cases.documents(spark)
-    out = lm_scoring.score(docs, docs.where(~lm_scoring.held_out())).withColumn("held", lm_scoring.held_out()).collect()
+    if small:  # blocks of a few texts, texts in pieces
+        monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 700)
+        monkeypatch.setattr(lm_scoring, "PIECE_BYTES", 90)
+    out = lm_scoring.score(docs, ~lm_scoring.held_out()).withColumn("held", lm_scoring.held_out()).collect()
     got = cases.order((r.doc_id, r.held, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out)
     want = cases.order((*r[:5], round(r[5], 6)) for r in brute_base(rows))
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert [g[5] for g in got] == pytest.approx([w[5] for w in want], rel=1e-6)
-    assert all(r.score < 0 for r in out)
+    exact = {(i, len(cases.words(t))): s for (i, t), s in zip(rows, brute_scores(rows), strict=True)}
+    for r in out:  # the filter may read a pair high, never low
+        s = exact[r.doc_id, r.n_tokens - 1]
+        assert s - 1e-6 <= r.score <= s + 0.02 * abs(s) + 0.1
 
 
-def test_filter_grows_and_is_read_in_blocks(spark, monkeypatch):
-    docs, rows = cases.documents(spark)
+def brute_scores(rows):
+    """The interpolated model from exact counts, quantised as the filter does."""
+    one, two = Counter(), Counter()
+    for i, t in rows:
+        if i is None or zlib.crc32(str(i).encode()) % 10:
+            w = ["", *cases.words(t), ""]
+            one.update(w[1:])
+            two.update(zip(w, w[1:], strict=False))
+    z = sum(one.values()) + 0.1 * (len(one) + 1)
+    value = lm_scoring.step_values()
+    out = []
+    for _, t in rows:
+        w = ["", *cases.words(t), ""]
+        total = 0.0
+        for a, b in zip(w, w[1:], strict=False):
+            pair = value[int(lm_scoring.step_of(np.array([two[a, b]]))[0])] if two[a, b] else 0.0
+            total += math.log10((min(pair, one[a]) + lm_scoring.PRIOR * (one[b] + 0.1) / z) / (one[a] + lm_scoring.PRIOR))
+        out.append(total)
+    return out
 
-    def scores():
-        return cases.order((r.doc_id, r.n_tokens, round(r.score, 9)) for r in lm_scoring.score(docs, docs).collect())
 
-    whole = scores()
-    monkeypatch.setattr(lm_scoring, "MOST_FILTER_BITS", 1 << 13)
-    assert scores() == whole
+@pytest.mark.parametrize("n", [2_000, 200_000])
+def test_filter_keeps_its_error_at_any_size(n):
+    rng = np.random.default_rng(n)
+    h = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    counts = rng.zipf(1.7, n).clip(1, 10**6)
+    bits = bloom.build(h, lm_scoring.step_of(counts), lm_scoring.BITS_EACH, 1 << 62)
+    unseen = bloom.Filter(1, {0: bits}).level(rng.integers(1 << 63, (1 << 64) - 1, 20_000, dtype=np.uint64), lm_scoring.STEPS)
+    assert (unseen > 0).mean() < 0.02
 
 
 def test_scores_without_rows(spark):
     docs, rows = cases.documents(spark)
-    assert lm_scoring.score(cases.empty(spark), docs).count() == 0
-    out = lm_scoring.score(docs, docs.where("false")).collect()
+    assert lm_scoring.score(cases.empty(spark), F.lit(True)).count() == 0
+    out = lm_scoring.score(docs, F.lit(None).cast("boolean")).collect()
     assert len(out) == len(rows) and {r.n_known for r in out} == {0}
 
 
@@ -151,7 +177,7 @@ def test_model_beats_single_words_on_held_out(spark):
             w.append(rng.choice(follow[w[-1]]))
         rows.append((i, " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    out = lm_scoring.score(docs, docs.where(~lm_scoring.held_out())).where(lm_scoring.held_out()).collect()
+    out = lm_scoring.score(docs, ~lm_scoring.held_out()).where(lm_scoring.held_out()).collect()
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
