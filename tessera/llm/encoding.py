@@ -50,22 +50,33 @@ class Encoder:
     def byte_level(self) -> bool:
         return self.fast is not None
 
+    def fast_ids(self, text: str) -> np.ndarray | None:
+        """The ids by the fast library, None where it can't give them.
+
+        It raises ValueError where its pattern would have to go back too far, as
+        in a run of a million spaces.
+        """
+        if not self.fast or PLAIN.search(text):
+            return None
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            return None
+
     def ids(self, text: str) -> np.ndarray:
         if self.pieces:
             return np.array(self.pieces.encode(text, num_threads=1), dtype=np.uint32)
-        if self.fast and not PLAIN.search(text):
-            return self.fast.encode_to_numpy(text, allowed_special="all").astype(np.uint32, copy=False)
+        found = self.fast_ids(text)
+        if found is not None:
+            return found.astype(np.uint32, copy=False)
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of each text of one batch."""
         if self.pieces:
             return [len(x) for x in self.pieces.encode(texts, num_threads=1)]
-        out = [-1] * len(texts)
-        if self.fast:
-            for i, text in enumerate(texts):
-                if not PLAIN.search(text):
-                    out[i] = len(self.fast.encode_to_numpy(text, allowed_special="all"))
+        found = map(self.fast_ids, texts)
+        out = [-1 if x is None else len(x) for x in found]
         rest = [i for i, n in enumerate(out) if n < 0]
         if rest:
             for i, e in zip(rest, self.slow.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):

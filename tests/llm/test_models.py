@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -87,6 +88,98 @@ def test_extract_rows(spark):
     assert html_text.extract(pages.where("false")).count() == 0
 
 
+def tree(rng: random.Random, depth: int) -> tuple:
+    """(tag, attributes, children): children are texts and trees."""
+    children = []
+    for _ in range(rng.randint(1, 4)):
+        children.append(tree(rng, depth - 1) if depth and children and rng.random() < 0.6 else cases.sentence(rng, rng.randint(1, 30)))
+    return rng.choice(["div", "section", "span", "a", "div", "b"]), rng.choice(["", "", ' class="ad-box"', ' id="text"']), children
+
+
+def markup(node) -> str:
+    return node if isinstance(node, str) else f"<{node[0]}{node[1]}>{'<br>'.join(map(markup, node[2]))}</{node[0]}>"
+
+
+def brute_densities(body) -> list[tuple[float, float]]:
+    """The density of each node and the sum of those of its children, by walking the tree again for each figure."""
+
+    def texts(n, linked):
+        for c in n[2]:
+            if isinstance(c, str):
+                yield len(c), linked or n[0] == "a"
+            else:
+                yield from texts(c, linked or n[0] == "a")
+
+    def tags(n):
+        for c in n[2]:
+            if not isinstance(c, str):
+                yield c[0]
+                yield from tags(c)
+
+    share = sum(k for k, linked in texts(body, False) if linked) / sum(k for k, _ in texts(body, False))
+
+    def density(n, linked):
+        c, lc = sum(k for k, _ in texts(n, linked)), sum(k for k, x in texts(n, linked) if x)
+        t, lt = max(1, len(list(tags(n)))), max(1, list(tags(n)).count("a"))
+        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+        ratio = c / max(lc, 1) * t / lt
+        named = html_text.NAMED if "ad-box" in n[1] else 1.0
+        return named * c / t * math.log(ratio) / (math.log(base) or 1.0) if ratio > 1 else 0.0
+
+    def walk(n, linked):
+        inner = [c for c in n[2] if not isinstance(c, str)]
+        yield density(n, linked), sum(density(c, linked or n[0] == "a") for c in inner)
+        for c in inner:
+            yield from walk(c, linked or n[0] == "a")
+
+    return list(walk(body, False))
+
+
+def test_densities_against_brute_force():
+    rng = random.Random(6)
+    for _ in range(60):
+        node = ("body", "", [tree(rng, 4)])
+        page = html_text.Page(markup(node))
+        density, total, _ = html_text.densities(page)
+        want = brute_densities(node)
+        assert [(density[i], total[i]) for i, t in enumerate(page.tag) if t not in ("br", "#page")] == [pytest.approx(w) for w in want]
+        # without article, main or dropped tags the largest sum decides
+        best = max(range(1, len(total)), key=lambda i: (total[i] * page.weight[i], -i))
+        if total[best]:
+            root = html_text.article(page)[0]
+            assert root <= best < page.end[root]
+
+
+PROSE = "<p>" + "Some prose that goes on and on, with words and commas, for a while. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "paragraphs"),
+    [
+        (f'<body><div class="content has-sidebar">{PROSE * 2}</div></body>', 2),
+        (f'<body><div id="page-with-ads">{PROSE}</div></body>', 1),
+        (f'<article class="social-post">{PROSE}</article>', 1),
+        (f"<body><form><div>{PROSE}</div><input></form></body>", 1),
+        (f'<article>{PROSE}<p class="no-share">{PROSE[3:-4]}</p>{PROSE}</article>', 3),
+        (f'<body><div class="sidebar">{PROSE * 3}</div></body>', 3),
+        (f'<body><article>{PROSE * 3}</article><div class="comments">{PROSE * 2}</div></body>', 3),
+        (f'<body><article>{PROSE * 3}<section id="comments">{PROSE * 2}</section></article></body>', 3),
+        (f'<body><div class="menu"><a href=x>x</a></div><div><div>{PROSE * 3}</div></div><div class="sidebar">{PROSE}</div><div>Copyright notice</div></body>', 3),
+        (f"<body><div>{PROSE * 3}</div><form>Sign in here <input></form></body>", 3),
+    ],
+)
+def test_wrappers_names_and_forms(page, paragraphs):
+    text = html_text.main_text(page)
+    assert text.count("Some prose") == 6 * paragraphs and text.count("\n") == paragraphs - 1
+
+
+@pytest.mark.parametrize("page", ["<div>", "<!", "<b>", "<ul><li>", "<table><tr><td>", "<a \"'", "<script>"])
+def test_pages_that_never_end_take_linear_time(page):
+    began = time.process_time()
+    html_text.main_text(page * 40_000 + ("</i>" * 40_000 if page == "<b>" else ""))
+    assert time.process_time() - began < 10
+
+
 def test_filter_never_reads_low():
     rng = np.random.default_rng(5)
     h = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)

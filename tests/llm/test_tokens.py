@@ -124,3 +124,24 @@ def test_best_fit_places_everything():
             for s, each in itertools.groupby(sizes):
                 back[s] += n * len(list(each))
         assert (back == counts).all()
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "a", "-", " \n"])
+def test_long_runs_are_encoded(run):
+    enc = encoding.encoder(encoding.byte_bpe_path())
+    text = "x" + run * (2_000_000 // len(run)) + "y"
+    ids = enc.ids(text)
+    assert enc.counts([text, "x"]) == [len(ids), 1]
+    assert enc.slow.decode(ids.tolist()) == text
+
+
+def test_counts_of_batches_across_arrow_batches(spark):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice("ab 12\n") for _ in range(rng.choice([0, 5, 90, 3000])))) for i in range(300)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = count_tokens(spark.createDataFrame(rows, "doc_id bigint, text string"), batch_bytes=2000, piece_chars=500).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    enc = encoding.encoder(encoding.byte_bpe_path())
+    assert sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in out) == [(i, len(t), len(enc.slow.encode(t, add_special_tokens=False).ids)) for i, t in rows]
