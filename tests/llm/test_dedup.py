@@ -101,7 +101,8 @@ def test_components(spark):
     assert components.connected(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-def test_contamination(spark):
+@pytest.mark.parametrize("bounds", [{}, {"most_bytes": 0}, {"most_broadcast": 0, "most_bytes": 0}])
+def test_contamination(spark, bounds):
     docs, rows = cases.documents(spark)
     rng = random.Random(1)
     items = [(1, " ".join(cases.words(rows[10][1])[3:18])), (20, "One, TWO"), (3, None), (4, ""), (5, cases.sentence(rng, 40)), (11, " ".join(cases.words(rows[10][1])[3:18])), (6, "lon")]
@@ -121,14 +122,18 @@ def test_contamination(spark):
                     hit.update(range(k, k + size))
                     found |= wins[tuple(w[k : k + size])]
         want.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
-    assert cases.order(map(tuple, decontamination.contamination(docs, bench).collect())) == cases.order(want)
+    assert cases.order(map(tuple, decontamination.contamination(docs, bench, **bounds).collect())) == cases.order(want)
+    if bounds:
+        return
     assert sum(x[-1] for x in want) >= 3
     none = decontamination.contamination(docs, bench.where("false")).where("contaminated")
     assert none.count() == 0 and decontamination.contamination(cases.empty(spark), bench).count() == 0
     kept = decontamination.drop_contaminated(docs, bench)
-    bad = {x[0] for x in want if x[-1] and x[0] is not None}
-    assert kept.columns == docs.columns
-    assert cases.order(r.doc_id for r in kept.collect()) == cases.order(i for i, _ in rows if i not in bad)
+    assert kept.columns == docs.columns and None in [x[0] for x in want]
+    assert cases.order((r.doc_id, r.text) for r in kept.collect()) == cases.order(r for r, x in zip(rows, want, strict=True) if not x[-1])
+    contaminated = docs.selectExpr("cast(null as bigint) as doc_id", f"'{cases.sentence(random.Random(1), 30)}' as text").limit(2)
+    bench = contaminated.selectExpr("1 as item_id", "text").limit(1)
+    assert decontamination.drop_contaminated(contaminated, bench).count() == 0  # rows without a doc_id too
 
 
 @pytest.mark.parametrize("crowd", [1000, 2])
