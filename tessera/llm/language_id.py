@@ -25,8 +25,11 @@ from tessera.llm.common import batch, stored, table
 
 #: Runs of letters (and of the few number signs that count as word characters, sorted out below).
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Longer runs of letters are scored in parts of this length; pieces have at most so many characters.
-LONGEST_WORD, LONGEST_PIECE = 40, 12
+GAP = re.compile(r"[\W\d_]")
+#: Letters up to which words are scored side by side, without rescaling; longer ones are learned from in parts of this length.
+LONG_WORD = 40
+#: Characters of text held as words at once.
+PIECE = 1 << 20
 #: Probability of a character that no piece of the vocabulary covers.
 UNKNOWN = 1e-7
 MARK = "▁"
@@ -47,6 +50,7 @@ class Vocabulary:
 
     def __init__(self, pieces: list[str]):
         self.pieces = pieces
+        self.longest = max(map(len, pieces), default=1)
         self.hashes = np.zeros(1 << self.BITS, np.uint64)
         self.numbers = np.full(1 << self.BITS, -1, np.int32)
         self.probes = 1
@@ -85,26 +89,29 @@ def vocabulary(path: str) -> Vocabulary:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-    return Vocabulary(sorted(p for p in pieces if p == p.lower() and len(p) <= LONGEST_PIECE and (p == MARK or p.removeprefix(MARK).isalpha())))
+    return Vocabulary(sorted(p for p in pieces if p == p.lower() and (p == MARK or p.removeprefix(MARK).isalpha())))
 
 
 def words(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
 
+def marked(word: str) -> str:
+    """The word's letters after the word mark; nothing without a letter."""
+    word = word if word.isalpha() else "".join(c for c in word if c.isalpha())
+    return MARK + word if word else ""
+
+
 def parts_of(word: str) -> list[str]:
-    """A marked word in parts of at most LONGEST_WORD letters; none without a letter."""
-    if not word.isalpha():
-        word = "".join(c for c in word if c.isalpha())
-    elif len(word) <= LONGEST_WORD:
-        return [MARK + word]
-    return [(MARK if i == 0 else "") + word[i : i + LONGEST_WORD] for i in range(0, len(word), LONGEST_WORD)]
+    """A marked word in parts of at most LONG_WORD letters, to learn from; none without a letter."""
+    word = marked(word)
+    return [word[i : i + LONG_WORD] for i in range(0, len(word), LONG_WORD)]
 
 
 def lattice(group: list[str], pieces: Vocabulary) -> np.ndarray:
     """[word, start, length - 1] -> piece number or -1, for words of one length."""
     n = len(group[0])
-    most = min(n, LONGEST_PIECE)
+    most = min(n, pieces.longest)
     codes = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(group), n).astype(np.uint64)
     found = np.full((len(group), n, most), -1, np.int32)
     h = np.zeros_like(codes)
@@ -140,15 +147,36 @@ def by_length(items: list[str], most: int = 4096):
             yield found[a : a + most], [items[i] for i in found[a : a + most]]
 
 
+def long_score(word: str, pieces: Vocabulary, probs: np.ndarray, block: int = 4096) -> np.ndarray:
+    """The same for one word of any length: the forward sums are divided by the current one at every letter."""
+    most, log = pieces.longest, np.zeros(probs.shape[1])
+    ahead = np.zeros((most + 1, probs.shape[1]))
+    ahead[0] = 1
+    for a in range(0, len(word), block):
+        part = word[a : a + block + most - 1]
+        found = lattice([part], pieces)[0]
+        n = min(block, len(word) - a)
+        p = np.zeros((n, most, probs.shape[1]))
+        p[:, : found.shape[1]] = probs[found[:n]] * ((found[:n] >= 0) | (np.arange(found.shape[1]) == 0))[:, :, None]
+        for step in p:
+            log += np.log(ahead[0])
+            ahead[1:] = ahead[1:] / ahead[0] + step
+            ahead[:-1] = ahead[1:]
+            ahead[-1] = 0
+    return log + np.log(ahead[0])
+
+
 def word_scores(items: list[str], pieces: Vocabulary, probs: np.ndarray) -> np.ndarray:
     """log probability of each word (all segmentations summed) in each language; zeros without letters."""
     out = np.zeros((len(items), probs.shape[1]))
-    cut = [parts_of(w) for w in items]
-    flat = [p for x in cut for p in x]
-    owner = np.repeat(np.arange(len(items)), [len(x) for x in cut])
-    for index, group in by_length(flat):
+    words = [marked(w) for w in items]
+    short = [i for i, w in enumerate(words) if 0 < len(w) <= LONG_WORD]
+    for index, group in by_length([words[i] for i in short]):
         alpha = forward(lattice(group, pieces), probs)
-        np.add.at(out, owner[index], np.log(alpha[-1] + 1e-300))
+        out[[short[i] for i in index]] = np.log(alpha[-1])
+    for i, w in enumerate(words):
+        if len(w) > LONG_WORD:
+            out[i] = long_score(w, pieces, probs)
     return out
 
 
@@ -235,7 +263,7 @@ def train(labelled: DataFrame, rows_per_language: int = 1500, rounds: int = 3, s
 
 
 class Scorer:
-    """Languages and posteriors of texts; remembers the scores of up to most_cached words."""
+    """Languages, posteriors and log probabilities a letter of texts; remembers the scores of up to most_cached words."""
 
     def __init__(self, pieces: Vocabulary, languages: list[str], probs: np.ndarray, most_cached: int = 150_000):
         self.pieces, self.languages, self.probs, self.most_cached = pieces, languages, probs, most_cached
@@ -243,31 +271,56 @@ class Scorer:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.scores, self.lettered = np.zeros((0, len(self.languages))), np.zeros(0, bool)
-
-    def __call__(self, values) -> tuple[list[str], list[float]]:
-        preds, scores = [], []
-        for at in range(0, len(values), 256):
-            texts = [words((x.as_py() if isinstance(x, pa.Scalar) else x) or "") for x in values[at : at + 256]]
-            if len(self.known) > self.most_cached:
-                self.forget()
-            known = self.known
-            fresh = sorted(set().union(*texts).difference(known))
-            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
-            if self.languages:
-                self.scores = np.vstack([self.scores, word_scores(fresh, self.pieces, self.probs)])
-            self.lettered = np.append(self.lettered, [w.isalpha() or any(map(str.isalpha, w)) for w in fresh]).astype(bool)
-            for found in texts:
-                ids = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
-                if not self.languages or not self.lettered[ids].any():
-                    preds.append("und")
-                    scores.append(0.0)
-                    continue
-                total = self.scores[ids].sum(axis=0)
-                best = int(total.argmax())
-                preds.append(self.languages[best])
-                scores.append(float(1 / np.exp(total - total[best]).sum()))
-        return preds, scores
+        self.scores, self.letters = np.zeros((0, len(self.languages))), np.zeros(0, np.int64)
+
+    def add(self, totals: np.ndarray, letters: np.ndarray, held: list[tuple[int, list[str]]]) -> None:
+        """Adds the scores and letters of words to the totals of their texts."""
+        if len(self.known) > self.most_cached:
+            self.forget()
+        known = self.known
+        fresh = sorted(set().union(*(found for _, found in held)).difference(known))
+        known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+        self.scores = np.vstack([self.scores, word_scores(fresh, self.pieces, self.probs)])
+        self.letters = np.append(self.letters, [max(0, len(marked(w)) - 1) for w in fresh]).astype(np.int64)
+        for i, found in held:
+            ids = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+            totals[i] += self.scores[ids].sum(axis=0)
+            letters[i] += self.letters[ids].sum()
+
+    def __call__(self, values) -> tuple[list[str], list[float], list[float], list[int]]:
+        """The prediction, its posterior, its log probability a letter, and the letters of each text."""
+        n = len(values)
+        totals, letters = np.zeros((n, len(self.languages))), np.zeros(n, np.int64)
+        held, size = [], 0
+        for i, value in enumerate(values):
+            for part in pieces_of((value.as_py() if isinstance(value, pa.Scalar) else value) or ""):
+                held.append((i, words(part)))
+                size += len(part)
+                if size >= PIECE:
+                    self.add(totals, letters, held)
+                    held, size = [], 0
+        if held:
+            self.add(totals, letters, held)
+        if not self.languages:
+            return ["und"] * n, [0.0] * n, [0.0] * n, letters.tolist()
+        best = totals.argmax(axis=1)
+        top = totals[np.arange(n), best]
+        some = letters > 0
+        posterior = np.where(some, 1 / np.exp(totals - top[:, None]).sum(axis=1), 0.0)
+        preds = [self.languages[b] if s else "und" for b, s in zip(best, some, strict=True)]
+        return preds, posterior.tolist(), (top / np.maximum(letters, 1)).tolist(), letters.tolist()
+
+
+def pieces_of(text: str):
+    """The text in pieces of about PIECE characters that end before something other than a letter."""
+    at = 0
+    while len(text) - at > PIECE:
+        gap = GAP.search(text, at + PIECE)
+        if not gap:
+            break
+        yield text[at : gap.start()]
+        at = gap.start()
+    yield text[at:]
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
@@ -286,37 +339,43 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     def run(batches):
         scorer = Scorer(vocabulary(path), languages, sent.value)
         for b in batches:
-            preds, values = scorer(b.column(1))
+            preds, values, _, _ = scorer(b.column(1))
             yield batch(OUT, {"doc_id": b.column(0), "lang_pred": preds, "score": values})
 
     out = docs.select(F.col(key).cast("bigint"), F.col(text).cast("string")).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
     return out.withColumnRenamed("doc_id", key)
 
 
-def drop_unidentified(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the rows whose language is `und`; all columns as they are.
+def drop_unidentified(docs: DataFrame, model: Model, least_score: float = 0.5, least_fit: float = -7.0, long: int = 50) -> DataFrame:
+    """docs without the rows that no language of the model fits; all columns as they are.
 
-    Only texts without a letter are rejected: any other document has a language,
-    however unsure a short one may be.
+    A text without a letter is rejected. So is one of `long` letters or more if
+    the posterior of its best language is below least_score, or if that language
+    gives its letters a mean log probability below least_fit: text of the
+    languages learned has about -2 to -4, letters that no piece covers about -16.
+    Shorter texts are too unsure to reject. Where no language could be learned,
+    all rows stay.
     """
+    if not model.languages:
+        return docs
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("string").alias("text"))
-    label = labeller(model)
-    kept = rows.where(label("text") != "und")
+    kept = rows.where(accepter(model, least_score, least_fit, long)("text"))
     return kept.select(*[F.col("row")[c].alias(c) for c in names])
 
 
-def labeller(model: Model, path: str | None = None):
-    """The predicted language as a function of a text column."""
+def accepter(model: Model, least_score: float, least_fit: float, long: int, path: str | None = None):
+    """Whether some language fits, as a function of a text column."""
     path = path or vocabulary_path()
     languages, probs = model.languages, model.probs
 
-    def label(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def accept(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(vocabulary(path), languages, probs)
         for texts in batches:
-            yield pd.Series(scorer(texts.tolist())[0], dtype=object)
+            _, scores, fits, letters = (np.array(x) for x in scorer(texts.tolist()))
+            yield pd.Series((letters > 0) & ((letters < long) | ((scores >= least_score) & (fits >= least_fit))))
 
-    return F.pandas_udf(label, T.StringType())
+    return F.pandas_udf(accept, T.BooleanType())
 
 
 def held_out(key: str = "doc_id", mod: int = 4, rest: int = 2):

@@ -7,6 +7,7 @@ import random
 import time
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -26,7 +27,7 @@ def test_forward_sums_all_segmentations():
         if not word:
             return 1.0
         out = 0.0
-        for k in range(1, min(len(word), language_id.LONGEST_PIECE) + 1):
+        for k in range(1, min(len(word), pieces.longest) + 1):
             i = known.get(word[:k], -1)
             if i >= 0 or k == 1:
                 out += probs[i, column] * total(word[k:], column)
@@ -38,6 +39,45 @@ def test_forward_sums_all_segmentations():
         assert row == pytest.approx([math.log(total("▁" + w, c)) for c in (0, 1)])
 
 
+def test_long_words_are_scored_whole():
+    pieces = language_id.vocabulary(language_id.vocabulary_path())
+    probs = np.random.default_rng(1).random((len(pieces) + 1, 2)) / 100
+    word = "wonderlichsteinhausesprit"
+    assert language_id.long_score("▁" + word, pieces, probs, block=7) == pytest.approx(language_id.word_scores([word], pieces, probs)[0])
+    # all segmentations of 90 letters, in exact fractions of the same probabilities
+    text, known = "▁" + word * 4, {p: i for i, p in enumerate(pieces.pieces)}
+    for c in (0, 1):
+        alpha = [Fraction(1)] + [Fraction(0)] * len(text)
+        for end in range(1, len(text) + 1):
+            for k in range(1, min(end, pieces.longest) + 1):
+                i = known.get(text[end - k : end], -1)
+                if i >= 0 or k == 1:
+                    alpha[end] += alpha[end - k] * Fraction(probs[i, c])
+        exact = math.log(alpha[-1].numerator) - math.log(alpha[-1].denominator)
+        assert language_id.word_scores([text[1:]], pieces, probs)[0, c] == pytest.approx(exact)
+    assert np.isfinite(language_id.word_scores(["ab" * 20_000], pieces, probs)).all()
+
+
+def test_scores_of_texts_in_pieces(monkeypatch):
+    pieces = language_id.vocabulary(language_id.vocabulary_path())
+    probs = np.random.default_rng(1).random((len(pieces) + 1, 2)) / 100
+    texts = ["the house and das haus " * 50, "12 !?", "", "x" * 300, "naïve é"]
+    whole = language_id.Scorer(pieces, ["a", "b"], probs)(texts)
+    monkeypatch.setattr(language_id, "PIECE", 64)
+    assert [list(map(str, x)) for x in language_id.Scorer(pieces, ["a", "b"], probs, 3)(texts)[::3]] == [list(map(str, x)) for x in whole[::3]]
+    assert language_id.Scorer(pieces, ["a", "b"], probs, 3)(texts)[2] == pytest.approx(whole[2])
+
+
+def test_rejects_what_no_language_fits(spark):
+    rng = random.Random(3)
+    rows = [(i, f"{cases.sentence(rng, 40)}", "aa") for i in range(40)] + [(50, "Ελληνικά κείμενο " * 20, None), (51, "12 34", None), (52, "ок", None), (53, None, None), (54, cases.sentence(rng, 9), None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = {r.doc_id for r in language_id.drop_unidentified(docs, language_id.train(docs)).collect()}
+    assert kept == {*range(40), 52, 54}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert language_id.drop_unidentified(unlabelled, language_id.train(unlabelled)).count() == len(rows)
+
+
 def test_expected_counts_add_up():
     pieces = language_id.vocabulary(language_id.vocabulary_path())
     probs = np.full((len(pieces) + 1, 1), 1e-3)
