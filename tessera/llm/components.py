@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import discard, stored
 
 
 def _stars(links: DataFrame) -> bool:
@@ -31,7 +31,8 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 1
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x"))
-        links = stored(small.select("x.u", F.col("x.m").alias("v")).where("u != v").distinct())
+        before, links = links, stored(small.select("x.u", F.col("x.m").alias("v")).where("u != v").distinct())
+        discard(before)
     else:
         raise RuntimeError("components did not settle")
     stars = links.select(F.col("u").alias("node"), F.col("v").alias("root"))

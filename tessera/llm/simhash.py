@@ -177,7 +177,7 @@ def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("id", "text").mapInArrow(run, "id bigint, payload array<bigint>")
 
 
-def near_duplicate_rows(docs: DataFrame, words: int = 5, min_similarity: float = 0.8, least_shared: int = 56, crowd: int = 32) -> DataFrame:
+def near_duplicate_rows(docs: DataFrame, words: int = 5, min_similarity: float = 0.8, least_shared: int = 56, crowd: int = 4) -> DataFrame:
     """key, raw (hash of the text) of the rows to drop so that one of each near-duplicate group stays.
 
     Texts of the same words are one node, with a SimHash of TABLES * 8 bytes over
