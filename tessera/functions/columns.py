@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.storage import settled
+from tessera.functions.storage import discard, settled
 
 
 def uniform(key: Column, seed: int | str) -> Column:
@@ -24,10 +26,6 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def euclidean_distance(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x))
-
-
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
@@ -37,10 +35,39 @@ def file_name(image_id: Column) -> Column:
     return F.concat(F.lpad(image_id.cast("string"), 7, "0"), F.lit(".jpg"))
 
 
+def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float | None]:
+    """The values at these shares of the sorted column, between two neighbours in proportion; None without values.
+
+    Rows are dealt by range and sorted there; counts of the partitions tell where
+    the wanted places are, and only those values come to the driver.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")).withColumn("_tie", F.monotonically_increasing_id())
+    placed = values.repartitionByRange(n, "v", "_tie").sortWithinPartitions("v", "_tie")
+    placed = settled(placed.select("v", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")))
+    counts = sorted((r["_pid"], r["count"]) for r in placed.groupBy("_pid").count().collect())  # a row a partition
+    total = sum(c for _, c in counts)
+    if not total:
+        return [None] * len(shares)
+    wanted = {int(q) + up for q in (s * (total - 1) for s in shares) for up in (0, 1) if int(q) + up < total}
+    places, before = [], 0
+    for pid, count in counts:
+        places += [(pid, i - before, i) for i in wanted if before <= i < before + count]
+        before += count
+    where = df.sparkSession.createDataFrame(places, "_pid int, _at bigint, _i bigint")
+    found = {r["_i"]: r["v"] for r in placed.join(F.broadcast(where), ["_pid", "_at"]).select("_i", "v").collect()}  # two a share
+    discard(placed)
+    out = []
+    for q in (s * (total - 1) for s in shares):
+        low = found[int(q)]
+        out.append(low + (found.get(int(q) + 1, low) - low) * (q - int(q)))
+    return out
+
+
 def percentile_clip(df: DataFrame, column: str, percent: float = 99.0) -> DataFrame:
     """column divided by its exact percentile and clipped to [0, 1]."""
-    top = df.agg(F.percentile(column, percent / 100).alias("top"))
-    return df.crossJoin(F.broadcast(top)).withColumn(column, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(column) / F.col("top")))).drop("top")
+    top = exact_quantiles(df, column, [percent / 100])[0]
+    return df.withColumn(column, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(column) / F.lit(top))))
 
 
 def dense_ids(df: DataFrame, *order: str | Column, name: str = "dense_id", start: int = 0) -> DataFrame:

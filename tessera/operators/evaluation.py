@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.functions.storage import settled
 from tessera.operators.postings import label_positions
 from tessera.operators.ranking import target_ranks, two_image_scores
 
@@ -32,18 +33,27 @@ def config_scores(postings: DataFrame, queries: DataFrame, thresholds: list[floa
     return sums.select(config.alias("config"), "query_id", "image_id", "score")
 
 
-def rank_targets(postings: DataFrame, queries: DataFrame, targets: DataFrame, thresholds: list[float], lengths: list[int], weights: DataFrame | None = None) -> DataFrame:
-    """config, query_id, target_id, rank: one rank for each configuration and query, null if the target has no score."""
-    found = config_scores(postings, queries, thresholds, lengths, weights)
+def rank_targets(postings: DataFrame, queries: DataFrame, targets: DataFrame, thresholds: list[float], lengths: list[int], weights: DataFrame | None = None, digits: int | None = None) -> DataFrame:
+    """config, query_id, target_id, rank: one rank for each configuration and query, null if the target has no score.
+
+    With digits, scores are compared to so many digits, so that equal sums tie
+    whatever their order.
+    """
+    found = _rounded(config_scores(postings, queries, thresholds, lengths, weights), digits)
     kinds = ["plain"] + (["idf"] if weights is not None else [])
     names = [f"{k} t{float(t)} n{n}" for k in kinds for t in thresholds for n in lengths]
     wanted = targets.select("query_id", "target_id").withColumn("config", F.explode(F.array(*map(F.lit, names))))
     return target_ranks(found, wanted, ["config", "query_id"])
 
 
-def rank_two_images(first: DataFrame, second: DataFrame, targets: DataFrame, width: int, partition_by: str | None = None) -> DataFrame:
-    """query_id, target_id, rank of the first image under the two-image score."""
-    return target_ranks(two_image_scores(first, second, width, partition_by), targets)
+def rank_two_images(first: DataFrame, second: DataFrame, targets: DataFrame, width: int, partition_by: str | None = None, digits: int | None = None) -> DataFrame:
+    """query_id, target_id, rank of the first image under the two-image score, compared to so many digits if given."""
+    return target_ranks(_rounded(two_image_scores(first, second, width, partition_by), digits), targets)
+
+
+def _rounded(scores: DataFrame, digits: int | None) -> DataFrame:
+    """Scores written once, for the target's score and the count of better ones."""
+    return settled(scores if digits is None else scores.withColumn("score", F.round("score", digits)))
 
 
 def rank_curve(ranks: DataFrame) -> DataFrame:
@@ -66,11 +76,18 @@ def position_distribution(positions: DataFrame) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select("position", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
-def hit_histograms(positions: DataFrame) -> DataFrame:
-    """position, hits, top_hits: all chosen labels, and each image's best."""
-    best = positions.groupBy("image_id").agg(F.min("position").alias("position")).groupBy("position").agg(F.count("*").alias("top_hits"))
-    every = positions.groupBy("position").agg(F.count("*").alias("hits"))
-    return every.join(best, "position", "left").select("position", "hits", F.coalesce("top_hits", F.lit(0)).alias("top_hits"))
+def hit_histograms(positions: DataFrame, drawn: DataFrame | None = None) -> DataFrame:
+    """position, hits, top_hits: all chosen labels, and each image's best; with drawn positions (image_id, position) also hits_rand and top_hits_rand."""
+
+    def counts(rows: DataFrame, hits: str, top: str) -> DataFrame:
+        best = rows.groupBy("image_id").agg(F.min("position").alias("position")).select("position", F.lit(0).alias("h"), F.lit(1).alias("t"))
+        both = rows.select("position", F.lit(1).alias("h"), F.lit(0).alias("t")).unionByName(best)
+        return both.groupBy("position").agg(F.sum("h").alias(hits), F.sum("t").alias(top))
+
+    out = counts(positions, "hits", "top_hits")
+    if drawn is None:
+        return out
+    return out.join(counts(drawn, "hits_rand", "top_hits_rand"), "position", "full").na.fill(0, ["hits", "top_hits", "hits_rand", "top_hits_rand"])
 
 
 def exponential_fit(ranks: DataFrame) -> DataFrame:

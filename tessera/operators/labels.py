@@ -21,18 +21,17 @@ def closure(edges: DataFrame, start: DataFrame, down: bool = True, most_steps: i
     """start_id, node, depth (shortest): everything reachable from the nodes of start (start_id), themselves included.
 
     One join a step over the new pairs only; pairs seen are dropped, so shared
-    nodes and cycles end. Each step is written, which cuts the lineage.
+    nodes and cycles end. Each step writes its new pairs and nothing else.
     """
     here, there = ("parent", "child") if down else ("child", "parent")
     step = edges.select(F.col(here).alias("node"), F.col(there).alias("next")).distinct()
-    seen = settled(start.select("start_id", F.col("start_id").alias("node")).distinct().withColumn("depth", F.lit(0)))
-    new = seen
+    new = seen = settled(start.select("start_id", F.col("start_id").alias("node")).distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, most_steps + 1):
         met = new.join(step, "node").select("start_id", F.col("next").alias("node")).distinct()
         new = settled(met.join(seen, ["start_id", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             return seen
-        seen = settled(seen.unionByName(new))
+        seen = seen.unionByName(new)
     raise RuntimeError("the label graph is deeper than most_steps")
 
 

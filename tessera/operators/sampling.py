@@ -62,8 +62,8 @@ def prefixes(drawn: DataFrame, lengths: list[int]) -> DataFrame:
 
 
 def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
-    """rows in an order that depends on key and seed only."""
-    return rows.withColumn("_u", uniform(F.col(key), seed)).orderBy("_u", key).drop("_u")
+    """rows with place, their number (from 0) in an order that depends on key and seed only."""
+    return dense_ids(rows.withColumn("_u", uniform(F.col(key), seed)), "_u", key, name="place").drop("_u")
 
 
 def first_per_class(rows: DataFrame, class_column: str, order: str, n: int) -> DataFrame:

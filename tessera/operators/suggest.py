@@ -82,10 +82,10 @@ def suggest_children(labels: DataFrame, ids: DataFrame, text: str) -> DataFrame:
 
 def find_patterns(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """text_id, pattern, start (from 0) of all hits, overlapping ones too, of patterns (pattern) in texts (text_id, text)."""
-    met = texts.join(patterns.where("pattern != ''").distinct(), F.contains("text", "pattern"))
+    met = texts.withColumn("_row", F.monotonically_increasing_id()).join(patterns.where("pattern != ''").distinct(), F.contains("text", "pattern"))
     # cut before each hit; the lengths up to a piece are its start, and a cut at 0 leaves no empty piece
     pieces = F.split("text", F.concat(F.lit(r"(?=\Q"), F.col("pattern"), F.lit(r"\E)")), -1)
-    rows = met.select("text_id", "pattern", F.startswith("text", "pattern").alias("at_once"), F.posexplode(F.transform(pieces, F.length)).alias("piece", "n"))
-    before = F.sum("n").over(W.partitionBy("text_id", "pattern").orderBy("piece").rowsBetween(W.unboundedPreceding, -1))
+    rows = met.select("_row", "text_id", "pattern", F.startswith("text", "pattern").alias("at_once"), F.posexplode(F.transform(pieces, F.length)).alias("piece", "n"))
+    before = F.sum("n").over(W.partitionBy("_row", "pattern").orderBy("piece").rowsBetween(W.unboundedPreceding, -1))
     starts = rows.withColumn("start", F.coalesce(before, F.lit(0)).cast("int")).where("piece > 0 or at_once")
     return starts.select("text_id", "pattern", "start")

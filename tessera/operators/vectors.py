@@ -8,14 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.functions.columns import cosine_distance, dense_ids, euclidean_distance
-from tessera.functions.storage import settled
+from tessera.functions.columns import cosine_distance, dense_ids, dot, exact_quantiles
+from tessera.functions.storage import discard, settled
 
-#: Query vectors that a scan takes along at a time, in numbers of floats; more go in further scans.
-QUERY_FLOATS = 4_000_000
+#: Queries of a block; parts that a block of queries is sent to where all blocks are too many to broadcast; blocks up to which they are.
+QUERIES, SALTS, MOST_BLOCKS = 512, 64, 64
 #: Digits to which distances are compared, so that equal vectors tie whatever the order of sums.
 DIGITS = 9
-DISTANCES = {"cosine": cosine_distance, "euclidean": euclidean_distance}
 
 
 def class_means(vectors: DataFrame) -> DataFrame:
@@ -37,90 +36,78 @@ def query_vectors(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return sums.groupBy("query_id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("f")).select("query_id", "n", F.transform("f", lambda s: s["x"]).alias("unit"))
 
 
-def _blocks(sums: DataFrame):
-    """The query sums as (ids, n, matrix), at most QUERY_FLOATS numbers at a time."""
-    rows, held = [], 0
-    for r in sums.toLocalIterator():
-        rows.append(r)
-        held += len(r["unit"])
-        if held >= QUERY_FLOATS:
-            yield _matrix(rows)
-            rows, held = [], 0
-    if rows:
-        yield _matrix(rows)
+def _scan(sums: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """query_id, target_id, own, nearer, least, tops: a row for each query and block of vectors.
 
+    sums: query_id, n, unit, target_id, own. Queries are packed into blocks, and
+    so are vectors; each block of queries meets all blocks of vectors by a join,
+    broadcast if the blocks are few. A task multiplies two blocks as matrices.
+    tops are the k nearest (distance, image_id) of the block.
+    """
+    numbered = dense_ids(sums, "query_id", name="_n").withColumn("block", F.floor(F.col("_n") / QUERIES).cast("int"))
+    blocks = settled(numbered.groupBy("block").agg(F.collect_list(F.struct("query_id", "n", "unit", "target_id", "own")).alias("queries")))
+    count = blocks.count()
+
+    def pack(frames):
+        for frame in frames:
+            if len(frame):
+                yield pd.DataFrame({"ids": [frame["image_id"].to_numpy()], "features": [np.concatenate(frame["features"].to_numpy()).astype(float)]})
+
+    packed = vectors.select("image_id", "features").mapInPandas(pack, "ids array<bigint>, features array<double>")
+    packed = packed.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, count - 1)))))
+    if count <= MOST_BLOCKS:
+        met = packed.join(F.broadcast(blocks), "block")
+    else:
+        met = packed.join(blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["block", "salt"])
+
+    def multiply(frames):
+        for frame in frames:
+            for images, flat, queries in zip(frame["ids"], frame["features"], frame["queries"], strict=True):
+                x = flat.reshape(len(images), -1)
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                ids = [q["query_id"] for q in queries]
+                goals = np.array([-1 if q["target_id"] is None else q["target_id"] for q in queries])
+                own = np.array([np.nan if q["own"] is None else q["own"] for q in queries])
+                away = np.round(np.array([q["n"] for q in queries], float)[:, None] - np.array([q["unit"] for q in queries], float) @ x.T, DIGITS)
+                nearer = (away < own[:, None]) | ((away == own[:, None]) & (images[None, :] < goals[:, None]))
+                nearer &= images[None, :] != goals[:, None]
+                order = np.lexsort((np.broadcast_to(images, away.shape), away), axis=1)[:, :k]
+                tops = [[{"distance": d, "image_id": i} for d, i in zip(row[at], images[at], strict=True)] for row, at in zip(away, order, strict=True)]
+                yield pd.DataFrame({"query_id": ids, "target_id": [q["target_id"] for q in queries], "own": own, "nearer": nearer.sum(axis=1), "least": away.min(axis=1), "tops": tops})
 
-def _matrix(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.array([r["query_id"] for r in rows]), np.array([r["n"] for r in rows], float), np.array([r["unit"] for r in rows], float)
+    return met.select("ids", "features", "queries").mapInPandas(multiply, "query_id bigint, target_id bigint, own double, nearer bigint, least double, tops array<struct<distance:double,image_id:bigint>>")
 
 
-def _units(frame: pd.DataFrame) -> np.ndarray:
-    x = np.array(frame["features"].tolist(), float)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def _first(scanned: DataFrame, k: int) -> DataFrame:
+    rows = scanned.select("query_id", F.explode("tops").alias("t")).select("query_id", "t.image_id", "t.distance")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "image_id"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """query_id, image_id, distance, rank: the k images with the smallest sum of cosine distances to each query's vectors.
 
-    A stated query set against all vectors, as matrix products of blocks; a task
-    returns k rows a query and batch at most, which are ranked after a shuffle.
+    A stated query set against all vectors, in blocks; k rows a query and block
+    are ranked after a shuffle.
     """
-    out = None
-    for block in _blocks(query_vectors(queries, vectors)):
-        sent = vectors.sparkSession.sparkContext.broadcast(block)
-
-        def scan(frames, sent=sent):
-            ids, n, units = sent.value
-            for frame in frames:
-                images = frame["image_id"].to_numpy()
-                away = np.round(n[:, None] - units @ _units(frame).T, DIGITS)
-                order = np.lexsort((np.broadcast_to(images, away.shape), away), axis=1)[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "image_id": images[order].ravel(), "distance": np.take_along_axis(away, order, 1).ravel()})
-
-        part = vectors.select("image_id", "features").mapInPandas(scan, "query_id bigint, image_id bigint, distance double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = vectors.sparkSession.createDataFrame([], "query_id bigint, image_id bigint, distance double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "image_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    none = F.lit(None)
+    return _first(_scan(query_vectors(queries, vectors).select("query_id", "n", "unit", none.cast("bigint").alias("target_id"), none.cast("double").alias("own")), vectors, k), k)
 
 
 def knn_rank(queries: DataFrame, vectors: DataFrame, targets: DataFrame, top: int = 0) -> tuple[DataFrame, DataFrame | None]:
-    """(query_id, target_id, rank, gap) of the targets, and with top the first rows of each ranking.
+    """(query_id, target_id, rank, gap) of the targets, and with top the first rows of each ranking, from one scan of the vectors.
 
     Ranks are counted: the target's distance goes along with the query, and each
     task returns, for each query, how many of its images are nearer and the
     smallest distance. gap is the target's distance less the smallest.
     """
-    sums = settled(query_vectors(queries, vectors))
-    own = settled(targets.join(vectors.withColumnRenamed("image_id", "target_id"), "target_id").select("query_id", "target_id", "features"))
-    wanted = {r["query_id"]: r for r in own.toLocalIterator()}  # the stated query set, one row each
-    counts = None
-    for ids, n, units in _blocks(sums):
-        keep = [i for i, q in enumerate(ids) if q in wanted]
-        if not keep:
-            continue
-        goals = np.array([wanted[ids[i]]["target_id"] for i in keep])
-        x = np.array([wanted[ids[i]]["features"] for i in keep], float)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        dist = np.round(n[keep] - (units[keep] * x).sum(axis=1), DIGITS)
-        sent = vectors.sparkSession.sparkContext.broadcast((ids[keep], n[keep], units[keep], goals, dist))
-
-        def scan(frames, sent=sent):
-            ids, n, units, goals, dist = sent.value
-            for frame in frames:
-                images = frame["image_id"].to_numpy()
-                away = np.round(n[:, None] - units @ _units(frame).T, DIGITS)
-                nearer = (away < dist[:, None]) | ((away == dist[:, None]) & (images[None, :] < goals[:, None]))
-                nearer &= images[None, :] != goals[:, None]
-                yield pd.DataFrame({"query_id": ids, "target_id": goals, "own": dist, "nearer": nearer.sum(axis=1), "least": away.min(axis=1)})
-
-        part = vectors.select("image_id", "features").mapInPandas(scan, "query_id bigint, target_id bigint, own double, nearer bigint, least double")
-        counts = part if counts is None else counts.unionByName(part)
-    if counts is None:
-        counts = vectors.sparkSession.createDataFrame([], "query_id bigint, target_id bigint, own double, nearer bigint, least double")
-    ranks = counts.groupBy("query_id", "target_id").agg((F.sum("nearer") + 1).alias("rank"), F.greatest(F.lit(0.0), F.round(F.first("own") - F.min("least"), DIGITS - 1)).alias("gap"))
-    return ranks, (nearest(queries, vectors, top) if top else None)
+    goal = vectors.select(F.col("image_id").alias("target_id"), F.transform("features", lambda x: x.cast("double")).alias("f"))
+    product = dot(F.col("unit"), F.col("f")) / F.sqrt(dot(F.col("f"), F.col("f")))
+    sums = query_vectors(queries, vectors).join(targets.select("query_id", "target_id"), "query_id").join(goal, "target_id")
+    sums = sums.select("query_id", "n", "unit", "target_id", F.round(F.col("n") - product, DIGITS).alias("own"))
+    scanned = settled(_scan(sums, vectors, top))
+    ranks = scanned.groupBy("query_id", "target_id").agg((F.sum("nearer") + 1).alias("rank"), F.greatest(F.lit(0.0), F.round(F.first("own") - F.min("least"), DIGITS - 1)).alias("gap"))
+    return ranks, (_first(scanned, top) if top else None)
 
 
 def closest_shown(ranking: DataFrame, targets: DataFrame, vectors: DataFrame, disp_size: int, n_closest: int) -> DataFrame:
@@ -144,8 +131,10 @@ def relevance_feedback(ranking: DataFrame, targets: DataFrame, vectors: DataFram
     for at in range(1, rounds + 1):
         chosen = settled(closest_shown(shown, active, vectors, disp_size, n_closest))
         ranks, first = knn_rank(chosen, vectors, active, top=disp_size)
-        ranks = settled(ranks.withColumn("round", F.lit(at)))
+        ranks, before = settled(ranks.withColumn("round", F.lit(at))), shown
         shown = settled(first)
+        if at > 1:
+            discard(before)
         out = ranks if out is None else out.unionByName(ranks)
         active = settled(active.join(ranks.where("gap > 0").select("query_id"), "query_id", "left_semi"))
     if out is None:
@@ -166,15 +155,24 @@ def feedback_grid(ranking: DataFrame, targets: DataFrame, vectors: DataFrame, gr
     return targets.select("query_id").crossJoin(F.broadcast(rows)).join(found, ["config", "query_id", "round"], "left")
 
 
-def pairwise_distances(vectors: DataFrame, metric: str = "cosine", block: int = 512) -> DataFrame:
-    """a, b, distance of all pairs a < b of a sample of vectors (image_id, features).
+def pairwise_distances(vectors: DataFrame, metric: str = "cosine", block: int = 512, others: DataFrame | None = None) -> DataFrame:
+    """a, b, distance of all pairs a < b of a sample of vectors (image_id, features), or with others of all pairs a in the sample, b in others, a <> b.
 
-    Blocks of vectors meet each other once and are multiplied as matrices; a task
-    holds two blocks. Quadratic in the sample by definition.
+    Blocks of vectors meet once, by a join on the numbers of both, and are
+    multiplied as matrices; a task holds two blocks. A stated set against all
+    rows, or quadratic in the sample, by definition.
     """
-    numbered = dense_ids(vectors.select("image_id", "features"), "image_id", name="_n").withColumn("_block", F.floor(F.col("_n") / block).cast("int"))
-    packed = settled(numbered.groupBy("_block").agg(F.collect_list(F.struct("image_id", "features")).alias("rows")))
-    pairs = packed.alias("x").join(packed.alias("y"), F.col("x._block") <= F.col("y._block")).select(F.col("x.rows").alias("x"), F.col("y.rows").alias("y"))
+
+    def packed(rows: DataFrame) -> DataFrame:
+        numbered = dense_ids(rows.select("image_id", "features"), "image_id", name="_n").withColumn("_block", F.floor(F.col("_n") / block).cast("int"))
+        return settled(numbered.groupBy("_block").agg(F.collect_list(F.struct("image_id", "features")).alias("rows")))
+
+    one = packed(vectors)
+    two = one if others is None else packed(others)
+    last = F.lit(max(0, two.count() - 1))
+    first = F.col("_block") if others is None else F.lit(0)
+    pairs = one.select(F.col("rows").alias("x"), F.explode(F.sequence(first, last)).alias("_other")).join(two.select(F.col("_block").alias("_other"), F.col("rows").alias("y")), "_other").select("x", "y")
+    every = others is not None
 
     def multiply(frames):
         for frame in frames:
@@ -184,8 +182,8 @@ def pairwise_distances(vectors: DataFrame, metric: str = "cosine", block: int =
                 if metric == "cosine":
                     d = 1 - (x @ y.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(y, axis=1)[None, :]
                 else:
-                    d = np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2))
-                i, j = np.nonzero(a[:, None] < b[None, :])
+                    d = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None, :] - 2 * x @ y.T, 0))
+                i, j = np.nonzero(a[:, None] != b[None, :] if every else a[:, None] < b[None, :])
                 yield pd.DataFrame({"a": a[i], "b": b[j], "distance": d[i, j]})
 
     return pairs.mapInPandas(multiply, "a bigint, b bigint, distance double")
@@ -196,10 +194,9 @@ def distance_summary(distances: DataFrame) -> DataFrame:
 
 
 def quantiles(distances: DataFrame, steps: int = 100) -> DataFrame:
-    """share, distance: the empirical distribution at equal steps, without a global sort to the driver."""
+    """share, distance: the empirical distribution at equal steps, read off ranges and their counts."""
     shares = [i / steps for i in range(steps + 1)]
-    found = distances.agg(F.percentile("distance", F.array(*map(F.lit, shares))).alias("q"))
-    return found.select(F.posexplode("q").alias("i", "distance")).select((F.col("i") / steps).alias("share"), "distance")
+    return distances.sparkSession.createDataFrame(list(zip(shares, exact_quantiles(distances, "distance", shares), strict=True)), "share double, distance double")
 
 
 def histogram(values: DataFrame, column: str, bins: int = 200) -> DataFrame:

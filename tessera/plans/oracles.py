@@ -70,6 +70,29 @@ two AS (SELECT query_id, image_id, sum(prob) AS score FROM query JOIN postings U
 PAIR = f"""{TWO},
 pair AS (SELECT a.query_id, a.image_id, round(a.score * max(b.score), 6) AS score FROM one a JOIN two b ON a.query_id = b.query_id AND b.image_id BETWEEN a.image_id AND a.image_id + 4 GROUP BY a.query_id, a.image_id, a.score)"""
 
+def feedback(rounds: int, shown: int, closest: int, config: str) -> str:
+    """Tables ranks1.. of (query_id, round, rank, gap) under a prefix: choose from what is shown, rank all by what is chosen, stop at gap 0."""
+    p = config
+    out = [f"""{p}show0 AS (SELECT query_id, image_id FROM start WHERE rank <= {shown}), {p}act1 AS (SELECT image_id AS query_id FROM u WHERE image_id % 100 = 0)"""]
+    for i in range(1, rounds + 1):
+        out.append(f"""{p}pick{i} AS (SELECT query_id, image_id FROM (SELECT s.query_id, s.image_id, row_number() OVER (PARTITION BY s.query_id ORDER BY round(1 - list_cosine_similarity(x.f, t.f), 9), s.image_id) AS place
+    FROM {p}show{i - 1} s JOIN {p}act{i} USING (query_id) JOIN v x ON x.image_id = s.image_id JOIN v t ON t.image_id = s.query_id) WHERE place <= {closest}),
+  {p}away{i} AS (SELECT k.query_id, u.image_id, round(sum(1 - list_inner_product(q.f, u.f)), 9) AS distance FROM {p}pick{i} k JOIN u q ON q.image_id = k.image_id, u GROUP BY ALL),
+  {p}all{i} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, image_id) AS rank, min(distance) OVER (PARTITION BY query_id) AS least FROM {p}away{i}),
+  {p}ranks{i} AS (SELECT query_id, {i} AS round, rank, greatest(0, round(distance - least, 8)) AS gap FROM {p}all{i} WHERE image_id = query_id),
+  {p}show{i} AS (SELECT query_id, image_id FROM {p}all{i} WHERE rank <= {shown}), {p}act{i + 1} AS (SELECT query_id FROM {p}ranks{i} WHERE gap > 0)""")
+    every = " UNION ALL ".join(f"SELECT * FROM {p}ranks{i}" for i in range(1, rounds + 1))
+    out.append(f"""{p}done AS ({every}),
+  {p}last AS (SELECT query_id, max(round) AS last, arg_max(rank, round) AS rank, arg_max(gap, round) AS gap FROM {p}done GROUP BY ALL),
+  {p}full AS (SELECT * FROM {p}done UNION ALL SELECT query_id, r, rank, gap FROM (SELECT *, unnest(range(last + 1, {rounds + 1})) AS r FROM {p}last))""")
+    return ",\n".join(out)
+
+
+START = f"""{VECTORS},
+start AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, image_id) AS rank FROM (
+  SELECT t.image_id AS query_id, u.image_id, round(1 - list_inner_product(q.f, u.f), 9) AS distance
+  FROM u t JOIN u q ON q.image_id = (t.image_id * 7 + 13) % (SELECT count(*) FROM u), u WHERE t.image_id % 100 = 0))"""
+
 ORACLES = {
     "rank_frames": f"""WITH {POSTINGS}, {QUERY}, {IDF},
       sizes AS (SELECT query_id, count(DISTINCT clause_no) AS k FROM query GROUP BY ALL),
@@ -117,8 +140,9 @@ ORACLES = {
     "query_log": """SELECT l_orderkey AS target_id, CAST(count(*) AS INT) AS n_terms, CAST(sum(f) AS INT) AS n_children FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber % 2 AS f FROM lineitem) GROUP BY ALL""",
     "detections_json": f"""WITH {BOXES} SELECT lpad(CAST(image_id AS VARCHAR), 7, '0') || '.jpg' AS file, count(*) AS boxes, round(sum(score), 6) AS prob, round(sum(x2), 6) AS w FROM box GROUP BY ALL""",
     "class_eligibility": """SELECT 'n' || lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS synset, count(*) AS images FROM lineitem GROUP BY l_partkey HAVING count(*) BETWEEN 25 AND 35""",
-    "sharded": """WITH r AS (SELECT p_brand, CAST(floor((row_number() OVER (ORDER BY p_brand, p_partkey) - 1) / ceil((SELECT count(*) FROM part) / 7)) AS BIGINT) AS shard FROM part)
-      SELECT shard, count(*) AS n, min(p_brand) AS first, max(p_brand) AS last FROM r GROUP BY ALL""",
+    "sharded": """WITH r AS (SELECT p_brand, CAST(floor((row_number() OVER (ORDER BY p_brand, p_partkey) - 1) / ceil((SELECT count(*) FROM part) / 7)) AS BIGINT) AS shard FROM part),
+      x AS (SELECT * FROM r UNION ALL SELECT p_brand, -1 FROM r WHERE shard = 3)
+      SELECT shard, count(*) AS n, min(p_brand) AS first, max(p_brand) AS last FROM x GROUP BY ALL""",
     "saved_ranks": f"""WITH {EVALUATION} SELECT query_id, rank, config FROM ranks WHERE config IN ('plain t0.0 n1', 'plain t0.0 n2')""",
     "dense_ids": """SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) - 1 AS image_id FROM orders""",
     "threshold_scores": f"""WITH {VECTORS} SELECT image_id, label_id, round(prob, 6) AS prob FROM (SELECT image_id, unnest(range(len(f))) AS label_id, unnest(list_transform(f, lambda x: x * x)) AS prob FROM v) WHERE prob >= 0.01""",
@@ -138,12 +162,13 @@ ORACLES = {
       SELECT label_i, label_j, round((xy / n - si.s / n * (sj.s / n)) * 1e6, 4) AS cov FROM c JOIN s si ON si.label_id = label_i JOIN s sj ON sj.label_id = label_j, n""",
     "idf": f"""WITH {POSTINGS}, s AS (SELECT label_id, sum(prob) AS c FROM postings GROUP BY ALL), m AS (SELECT max(c) AS m FROM s)
       SELECT label_id, round(ln(m / c) + 1, 6) AS idf, 'app' AS mode FROM s, m UNION ALL SELECT label_id, round(ln(m / (c + 1e-5) + 1), 6), 'smoothed' FROM s, m UNION ALL SELECT label_id, round(ln(m / c + 1), 6), 'paper' FROM s, m""",
-    "image_distribution": f"""WITH {POSTINGS} SELECT label_id, image_id, round(prob / sum(prob) OVER (PARTITION BY image_id), 9) AS prob FROM postings WHERE prob >= 0.2""",
+    "image_distribution": f"""WITH {POSTINGS} SELECT label_id, image_id, round(prob / sum(prob) OVER (PARTITION BY image_id), 9) AS prob FROM postings""",
     "label_positions": f"""WITH {POSTINGS} SELECT image_id, label_id, CAST(position AS INT) AS position FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY prob DESC, label_id) AS position FROM postings) WHERE position <= 5""",
     "target_ranks": f"""WITH {SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, image_id) AS rank FROM scores)
       SELECT q.query_id, q.query_id AS target_id, rank FROM (SELECT DISTINCT query_id FROM query) q LEFT JOIN r ON r.query_id = q.query_id AND r.image_id = q.query_id""",
     "result_status": f"""WITH {SCORES} SELECT q.query_id, count(image_id) AS results, CASE WHEN count(image_id) = 0 THEN 'empty' ELSE 'found' END AS status FROM (SELECT DISTINCT query_id FROM query) q LEFT JOIN scores USING (query_id) GROUP BY ALL""",
-    "query_lengths": f"""WITH {QUERY} SELECT count(*) AS queries, round(avg(n), 6) AS mean_labels, max(n) AS longest FROM (SELECT query_id, count(*) AS n FROM query GROUP BY ALL)""",
+    "query_lengths": """SELECT count(*) AS queries, round(avg(n), 6) AS mean_labels, max(n) AS longest FROM (
+      SELECT query_id, count(*) AS n FROM (SELECT DISTINCT l_orderkey AS query_id, l_linenumber % 2, l_partkey FROM lineitem) GROUP BY ALL)""",
     "two_images": f"""WITH {PAIR} SELECT query_id, image_id, score FROM pair""",
     "rank_two_images": f"""WITH {PAIR}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_id) AS rank FROM pair)
       SELECT q.query_id, q.query_id AS target_id, rank FROM (SELECT DISTINCT query_id FROM query) q LEFT JOIN r ON r.query_id = q.query_id AND r.image_id = q.query_id""",
@@ -163,8 +188,16 @@ ORACLES = {
       SELECT config, rank, round(sofar / total * 100, 6) AS percent FROM c WHERE rank IS NOT NULL""",
     "exponential_fit": f"""WITH {EVALUATION} SELECT config, round(count(*) / sum(rank), 6) AS rate FROM ranks WHERE rank IS NOT NULL GROUP BY ALL""",
     "position_distribution": f"""WITH {POSITIONS} SELECT CAST(position AS INT) AS position, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM positions GROUP BY ALL""",
-    "hit_histograms": f"""WITH {POSITIONS}, best AS (SELECT position, count(*) AS n FROM (SELECT image_id, min(position) AS position FROM positions GROUP BY ALL) GROUP BY ALL)
-      SELECT CAST(p.position AS INT) AS position, p.n AS hits, coalesce(best.n, 0) AS top_hits FROM (SELECT position, count(*) AS n FROM positions GROUP BY ALL) p LEFT JOIN best ON best.position = p.position""",
+    "hit_histograms": f"""WITH {POSITIONS}, rounded AS (SELECT label_id, image_id, round(prob, 6) AS prob FROM postings),
+      {drawn("d", "rounded", "prob", "image_id || ':' || label_id", "7").replace("draw <= 3", "draw <= 5")},
+      rplaced AS (SELECT image_id, label_id, row_number() OVER (PARTITION BY image_id ORDER BY prob DESC, label_id) AS position FROM rounded),
+      rand AS (SELECT * FROM rplaced SEMI JOIN d USING (image_id, label_id)),
+      h AS (SELECT position, count(*) AS n FROM positions GROUP BY ALL), hr AS (SELECT position, count(*) AS n FROM rand GROUP BY ALL),
+      t AS (SELECT position, count(*) AS n FROM (SELECT image_id, min(position) AS position FROM positions GROUP BY ALL) GROUP BY ALL),
+      tr AS (SELECT position, count(*) AS n FROM (SELECT image_id, min(position) AS position FROM rand GROUP BY ALL) GROUP BY ALL),
+      p AS (SELECT position FROM h UNION SELECT position FROM hr)
+      SELECT CAST(p.position AS INT) AS position, coalesce(h.n, 0) AS hits, coalesce(t.n, 0) AS top_hits, coalesce(hr.n, 0) AS hits_rand, coalesce(tr.n, 0) AS top_hits_rand
+      FROM p LEFT JOIN h USING (position) LEFT JOIN t USING (position) LEFT JOIN hr USING (position) LEFT JOIN tr USING (position)""",
     "accuracy": f"""WITH {POSTINGS}, p AS (SELECT image_id, label_id, row_number() OVER (PARTITION BY image_id ORDER BY prob DESC, label_id) AS position, min(label_id) OVER (PARTITION BY image_id) AS truth FROM postings)
       SELECT k, round(avg(CASE WHEN position <= k THEN 100.0 ELSE 0 END), 6) AS percent FROM p, (VALUES (1), (2), (5)) a(k) WHERE label_id = truth GROUP BY ALL""",
     "patch_accuracy": """WITH n AS (SELECT l_orderkey, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY ALL),
@@ -199,9 +232,9 @@ ORACLES = {
     "knn_rank": f"""WITH {VECTORS}, d AS (SELECT q.image_id // 100 * 100 AS query_id, u.image_id, round(sum(1 - list_inner_product(q.f, u.f)), 9) AS distance FROM u q, u WHERE q.image_id % 100 IN (0, 1) GROUP BY ALL),
       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, image_id) AS rank, min(distance) OVER (PARTITION BY query_id) AS least FROM d)
       SELECT query_id, image_id AS target_id, rank, round(distance - least, 6) AS gap FROM r WHERE image_id = query_id + 2""",
-    "pairwise": f"""WITH {MEANS} SELECT CAST(a.class_id AS BIGINT) AS a, CAST(b.class_id AS BIGINT) AS b, round(list_distance(a.f, b.f), 6) AS distance FROM cls a JOIN cls b ON a.class_id < b.class_id""",
-    "distance_summary": f"""WITH {MEANS}, d AS (SELECT 1 - list_cosine_similarity(a.f, b.f) AS d FROM cls a JOIN cls b ON a.class_id < b.class_id) SELECT round(min(d), 6) AS least, round(max(d), 6) AS most, count(*) AS pairs FROM d""",
-    "distance_quantiles": f"""WITH {MEANS}, d AS (SELECT 1 - list_cosine_similarity(a.f, b.f) AS d FROM cls a JOIN cls b ON a.class_id < b.class_id),
+    "pairwise": f"""WITH {VECTORS} SELECT a.image_id AS a, b.image_id AS b, round(list_distance(a.f, b.f), 6) AS distance FROM v a JOIN v b ON a.image_id <> b.image_id WHERE a.image_id % 100 = 0""",
+    "distance_summary": f"""WITH {VECTORS}, d AS (SELECT 1 - list_cosine_similarity(a.f, b.f) AS d FROM v a JOIN v b ON a.image_id <> b.image_id WHERE a.image_id % 100 = 0) SELECT round(min(d), 6) AS least, round(max(d), 6) AS most, count(*) AS pairs FROM d""",
+    "distance_quantiles": f"""WITH {VECTORS}, d AS (SELECT 1 - list_cosine_similarity(a.f, b.f) AS d FROM v a JOIN v b ON a.image_id <> b.image_id WHERE a.image_id % 100 = 0),
       q AS (SELECT quantile_cont(d, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS q FROM d)
       SELECT i / 10 AS share, round(distance, 6) AS distance FROM (SELECT unnest(range(11)) AS i, unnest(q) AS distance FROM q)""",
     "histogram": """WITH e AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, count(*) AS n FROM orders), w AS (SELECT *, (hi - lo) / 200 AS w FROM e)
@@ -240,4 +273,31 @@ ORACLES = {
       SELECT CAST(query_id AS BIGINT) AS query_id, image_id, round(CAST(-sum(d) AS DOUBLE), 6) AS score FROM e GROUP BY ALL""",
     "score_images": f"""WITH {VECTORS} SELECT image_id, round(list_sum(f), 6) AS total, CAST(list_position(f, list_max(f)) - 1 AS BIGINT) AS best FROM v""",
     "percentile_clip": """SELECT o_orderkey, round(greatest(0.0, least(1.0, o_totalprice / (SELECT quantile_cont(o_totalprice, 0.99) FROM orders))), 6) AS o_totalprice FROM orders""",
+    "closest_shown": f"""WITH {START}, {feedback(1, 50, 3, "a")} SELECT query_id, image_id FROM apick1""",
+    "relevance_feedback": f"""WITH {START}, {feedback(3, 50, 3, "a")} SELECT query_id, query_id AS target_id, CAST(round AS INT) AS round, rank, round(gap, 6) AS gap FROM afull""",
+    "feedback_grid": f"""WITH {START}, {feedback(2, 20, 1, "a")}, {feedback(2, 50, 3, "b")}
+      SELECT '20:1 ' || round || 'x' AS config, query_id, CAST(round AS INT) AS round, rank FROM afull UNION ALL SELECT '50:3 ' || round || 'x', query_id, round, rank FROM bfull""",
+    "non_maximum_suppression": f"""WITH RECURSIVE {BOXES},
+      r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, x1, y1, x2, y2) AS i, count(*) OVER (PARTITION BY image_id) AS n FROM box),
+      fold AS (SELECT image_id, i, n, [{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'score': score}}] AS kept FROM r WHERE i = 1
+        UNION ALL SELECT r.image_id, r.i, r.n, CASE WHEN len(list_filter(kept, lambda a: greatest(0, least(a.x2, r.x2) - greatest(a.x1, r.x1)) * greatest(0, least(a.y2, r.y2) - greatest(a.y1, r.y1))
+          > 0.1 * ((a.x2 - a.x1) * (a.y2 - a.y1) + (r.x2 - r.x1) * (r.y2 - r.y1) - greatest(0, least(a.x2, r.x2) - greatest(a.x1, r.x1)) * greatest(0, least(a.y2, r.y2) - greatest(a.y1, r.y1))))) = 0
+          THEN list_append(kept, {{'x1': r.x1, 'y1': r.y1, 'x2': r.x2, 'y2': r.y2, 'score': r.score}}) ELSE kept END FROM fold JOIN r ON r.image_id = fold.image_id AND r.i = fold.i + 1)
+      SELECT image_id, b.x1 AS x1, b.y1 AS y1, b.x2 AS x2, b.y2 AS y2, b.score AS score FROM (SELECT image_id, unnest(kept) AS b FROM fold WHERE i = n)""",
+    "find_patterns": """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(length(text))) AS i FROM documents),
+      g AS (SELECT doc_id, i, c || lead(c, 1, '') OVER w || lead(c, 2, '') OVER w || lead(c, 3, '') OVER w AS g FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+      p AS (SELECT unnest(['the', 'th', 'tion', 'anan', 'é']) AS pattern)
+      SELECT doc_id AS text_id, pattern, count(*) AS hits, CAST(min(i) AS INT) AS first, CAST(sum(i) AS BIGINT) AS total FROM g JOIN p ON starts_with(g, pattern) GROUP BY ALL""",
+    "annotations_table": f"""WITH {POSTINGS} SELECT image_id, CAST(count(*) AS INT) AS n_labels, round(CAST(CAST(max(prob) AS FLOAT) AS DOUBLE), 5) AS best FROM postings GROUP BY ALL""",
+    "scores_table": """SELECT vec_id AS image_id, round(list_sum(list_transform(embedding, lambda x: CAST(CAST(x AS FLOAT) * CAST(x AS FLOAT) AS DOUBLE))), 4) AS sum_scores,
+      round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS sum_features FROM embeddings""",
+    "label_sums_table": f"""WITH {POSTINGS} SELECT label_id, round(sum(prob), 6) AS sum_prob FROM postings GROUP BY ALL""",
+    "synset_ids_file": """SELECT p_partkey AS synset_id FROM part WHERE p_partkey % 7 <> 0""",
+    "category_mapping_file": """SELECT '/p/part_' || p_partkey AS category, printf('n%08d', p_size) AS synset FROM part""",
+    "listed_files": """SELECT CAST(p_size AS BIGINT) AS p_size, CAST(sum(length(CAST(p_partkey AS VARCHAR)) + 1) AS BIGINT) AS bytes, row_number() OVER (ORDER BY CAST(p_size AS VARCHAR) || '/') - 1 AS image_id FROM part GROUP BY p_size""",
+    "rank_curves_file": """SELECT round(c_custkey * 1 / 1000, 3) AS Rank1, round(c_custkey * 2 / 1000, 3) AS Rank2, round(c_custkey * 3 / 1000, 3) AS Rank3, round(c_custkey * 4 / 1000, 3) AS Rank4, round(c_acctbal / 10000, 4) AS Percentage FROM customer""",
+    "model_labels": """SELECT p_partkey AS label_id, p_partkey + 1000000 AS synset_id, p_name AS names FROM part""",
+    "ordered_labels": """SELECT l_orderkey AS query_id, 2 - l_linenumber % 2 AS clause_no, l_partkey AS label_id, min(l_linenumber) AS first_position FROM lineitem GROUP BY ALL""",
+    "postings_by_label": f"""WITH {POSTINGS} SELECT label_id, image_id, round(prob, 6) AS prob FROM postings WHERE label_id IN (7, 50, 101)""",
+    "shuffled": f"""SELECT o_orderkey, row_number() OVER (ORDER BY {uniform("o_orderkey", "7")}, o_orderkey) - 1 AS place FROM orders""",
 }

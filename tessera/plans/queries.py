@@ -56,7 +56,7 @@ def brand_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 def expand_query(spark: SparkSession, d: str) -> DataFrame:
-    """Every brand and part as a query: brand q, then an AND with part q, children on and off."""
+    """A search for every hundredth part: the part, then an AND with its brand, children on and off."""
     part = D.read(spark, d, "part")
     brand = F.regexp_extract("p_brand", r"(\d+)", 1).cast("bigint") + 2000
     rows = part.select(F.col("p_partkey").alias("query_id"), F.explode(F.array(F.struct(F.lit(1).alias("position"), (F.col("p_partkey") + 1_000_000).alias("synset_id"), F.lit(False).alias("is_and"), F.lit(True).alias("use_children")), F.struct(F.lit(2).alias("position"), brand.alias("synset_id"), F.lit(True).alias("is_and"), F.lit(False).alias("use_children")))).alias("x")).select("query_id", "x.*")
@@ -167,7 +167,10 @@ def class_eligibility(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, d: str) -> DataFrame:
-    out = T.write_sharded(D.read(spark, d, "part").select("p_partkey", "p_brand"), ["p_brand", "p_partkey"], 7, scratch(spark))
+    """All shards, and the fourth read alone."""
+    path = scratch(spark)
+    out = T.write_sharded(D.read(spark, d, "part").select("p_partkey", "p_brand"), ["p_brand", "p_partkey"], 7, path)
+    out = out.unionByName(T.read_shard(spark, path, 3).withColumn("shard", F.lit(-1).cast("bigint")))
     return out.groupBy("shard").agg(F.count("*").alias("n"), F.min("p_brand").alias("first"), F.max("p_brand").alias("last"))
 
 
@@ -232,7 +235,7 @@ def idf(spark: SparkSession, d: str) -> DataFrame:
 
 
 def image_distribution(spark: SparkSession, d: str) -> DataFrame:
-    return r9(P.image_distribution(D.postings(spark, d).where("prob >= 0.2")), "prob")
+    return r9(P.image_distribution(D.postings(spark, d)), "prob")
 
 
 def label_positions(spark: SparkSession, d: str) -> DataFrame:
@@ -252,7 +255,9 @@ def result_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def query_lengths(spark: SparkSession, d: str) -> DataFrame:
-    return r6(L.query_lengths(D.queries(spark, d)), "mean_labels")
+    """Every order is a query, its parts are the labels."""
+    rows = D.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), (2 - F.col("l_linenumber") % 2).alias("clause_no"), F.col("l_partkey").alias("label_id"))
+    return r6(L.query_lengths(rows.distinct()), "mean_labels")
 
 
 def two_images(spark: SparkSession, d: str) -> DataFrame:
@@ -267,9 +272,7 @@ def rank_two_images(spark: SparkSession, d: str) -> DataFrame:
     q = D.queries(spark, d)
     p = settled(D.postings(spark, d))
     one = lambda c: R.scores(p, q.drop("target_id").where(F.col("clause_no") == c))
-    targets = q.select("query_id", "target_id").distinct()
-    scored = settled(r6(R.two_image_scores(one(1), one(2), 5), "score"))
-    return R.target_ranks(scored, targets)
+    return E.rank_two_images(one(1), one(2), q.select("query_id", "target_id").distinct(), 5, digits=6)
 
 
 def sliding_max(spark: SparkSession, d: str) -> DataFrame:
@@ -308,9 +311,7 @@ def _evaluation(spark: SparkSession, d: str) -> DataFrame:
     p = settled(D.postings(spark, d))
     q = D.one_clause(spark, d)
     targets = q.select("query_id", F.col("query_id").alias("target_id")).distinct()
-    found = settled(r6(E.config_scores(p, q, THRESHOLDS, LENGTHS, P.idf(P.label_sums(p))), "score"))
-    names = [f"{k} t{t} n{n}" for k in ("plain", "idf") for t in THRESHOLDS for n in LENGTHS]
-    return R.target_ranks(found, targets.withColumn("config", F.explode(F.array(*map(F.lit, names)))), ["config", "query_id"])
+    return E.rank_targets(p, q, targets, THRESHOLDS, LENGTHS, P.idf(P.label_sums(p)), digits=6)
 
 
 def rank_targets(spark: SparkSession, d: str) -> DataFrame:
@@ -336,7 +337,11 @@ def position_distribution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hit_histograms(spark: SparkSession, d: str) -> DataFrame:
-    return E.hit_histograms(_positions(spark, d))
+    """Returned lines' parts, beside five labels of each order drawn by their scores."""
+    p = settled(r6(D.postings(spark, d), "prob"))
+    drawn = S.draw_labels(p, 5, 7).select("image_id", "label_id")
+    out = E.hit_histograms(_positions(spark, d), E.chosen_positions(p, drawn))
+    return out.select(F.col("position").cast("int"), "hits", "top_hits", "hits_rand", "top_hits_rand")
 
 
 def accuracy(spark: SparkSession, d: str) -> DataFrame:
@@ -430,20 +435,22 @@ def feedback_grid(spark: SparkSession, d: str) -> DataFrame:
     return V.feedback_grid(ranking, targets, f, [(20, 1), (50, 3)], 2)
 
 
+def _pairs(spark: SparkSession, d: str, metric: str) -> DataFrame:
+    """Every hundredth vector against all others."""
+    f = D.features(spark, d).select("image_id", "features")
+    return V.pairwise_distances(f.where(F.col("image_id") % D.EVERY == 0), metric, others=f)
+
+
 def pairwise(spark: SparkSession, d: str) -> DataFrame:
-    f = D.features(spark, d)
-    means = V.class_means(f).withColumnRenamed("class_id", "image_id")
-    return r6(V.pairwise_distances(means, "euclidean", block=4), "distance")
+    return r6(_pairs(spark, d, "euclidean"), "distance")
 
 
 def distance_summary(spark: SparkSession, d: str) -> DataFrame:
-    means = V.class_means(D.features(spark, d)).withColumnRenamed("class_id", "image_id")
-    return r6(V.distance_summary(V.pairwise_distances(means, "cosine", block=4)), "least", "most")
+    return r6(V.distance_summary(_pairs(spark, d, "cosine")), "least", "most")
 
 
 def distance_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    means = V.class_means(D.features(spark, d)).withColumnRenamed("class_id", "image_id")
-    return r6(V.quantiles(V.pairwise_distances(means, "cosine", block=4), 10), "distance")
+    return r6(V.quantiles(_pairs(spark, d, "cosine"), 10), "distance")
 
 
 def histogram(spark: SparkSession, d: str) -> DataFrame:
@@ -559,6 +566,91 @@ def percentile_clip(spark: SparkSession, d: str) -> DataFrame:
     return r6(C.percentile_clip(D.read(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 99.0), "o_totalprice")
 
 
+def annotations_table(spark: SparkSession, d: str) -> DataFrame:
+    """Annotations, written and read with their fixed schema."""
+    path = scratch(spark)
+    T.write_table(P.annotations(D.postings(spark, d)).select("image_id", F.transform("labels", lambda x: F.struct(x["label_id"].cast("int").alias("label_id"), x["prob"].cast("float").alias("prob"))).alias("labels")), path)
+    out = T.read_table(spark, path, T.ANNOTATIONS)
+    return out.select("image_id", F.size("labels").alias("n_labels"), F.round(F.array_max(F.transform("labels", lambda x: x["prob"].cast("double"))), 5).alias("best"))
+
+
+def scores_table(spark: SparkSession, d: str) -> DataFrame:
+    """Squared features as dense scores, and the features, written and read with their fixed schemas."""
+    one, two = scratch(spark), scratch(spark)
+    f = D.features(spark, d)
+    T.write_table(f.select("image_id", F.transform("features", lambda x: (x * x).cast("float")).alias("scores")), one)
+    T.write_table(f.select("image_id", F.transform("features", lambda x: x.cast("float")).alias("features")), two)
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double")), 4)
+    scores = T.read_table(spark, one, T.SCORES).select("image_id", total("scores").alias("sum_scores"))
+    return scores.join(T.read_table(spark, two, T.FEATURES).select("image_id", total("features").alias("sum_features")), "image_id")
+
+
+def label_sums_table(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark)
+    T.write_table(P.label_sums(D.postings(spark, d)), path)
+    return r6(T.read_table(spark, path, T.LABEL_SUMS), "sum_prob")
+
+
+def synset_ids_file(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as synset lines, every seventh spoilt, written as text and read again."""
+    path = scratch(spark)
+    line = F.format_string("n%08d", "p_partkey")
+    D.read(spark, d, "part").select(F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("#"), line)).otherwise(line).alias("value")).write.text(path)
+    return T.read_synset_ids(spark, path)
+
+
+def category_mapping_file(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as categories with a synset, written as lines and read again."""
+    path = scratch(spark)
+    D.read(spark, d, "part").select(F.format_string("/p/part_%d:n%08d", "p_partkey", "p_size").alias("value")).write.text(path)
+    return T.read_category_mapping(spark, path)
+
+
+def listed_files(spark: SparkSession, d: str) -> DataFrame:
+    """A text file for each size of parts, listed with numbers and lengths."""
+    path = scratch(spark)
+    part = D.read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("value"), "p_size")
+    part.repartition("p_size").write.partitionBy("p_size").text(path)
+    out = T.non_empty(T.list_files(spark, path))
+    return out.select(F.regexp_extract("path", r"p_size=(\d+)", 1).cast("bigint").alias("p_size"), F.col("length").alias("bytes"), "image_id")
+
+
+def rank_curves_file(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as points of four curves, written as CSV and read again."""
+    path = scratch(spark)
+    c = D.read(spark, d, "customer")
+    c.select(*[F.round(F.col("c_custkey") * (i + 1) / 1000, 3).alias(f"Rank{i + 1}") for i in range(4)], F.round(F.col("c_acctbal") / 10000, 4).alias("Percentage")).write.option("header", True).csv(path)
+    return T.read_rank_curves(spark, path)
+
+
+def model_labels(spark: SparkSession, d: str) -> DataFrame:
+    out = L.model_labels_only(D.labels(spark, d))
+    return out.select("label_id", "synset_id", F.concat_ws(",", "names").alias("names"))
+
+
+def ordered_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as parts of their order's query, odd and even ones as clauses."""
+    items = D.read(spark, d, "lineitem")
+    out = L.ordered_labels(items.select(F.col("l_orderkey").alias("query_id"), (2 - F.col("l_linenumber") % 2).alias("clause_no"), F.col("l_partkey").alias("label_id"), F.col("l_linenumber").alias("position")))
+    return out.select("query_id", "clause_no", "label_id", "first_position")
+
+
+def postings_by_label(spark: SparkSession, d: str) -> DataFrame:
+    """Lists written by label, and those of three labels read alone."""
+    path = scratch(spark)
+    T.write_postings(D.postings(spark, d), path)
+    return r6(T.read_postings(spark, path, [7, 50, 101]), "prob")
+
+
+def shuffled(spark: SparkSession, d: str) -> DataFrame:
+    return S.shuffled(D.read(spark, d, "orders").select("o_orderkey"), "o_orderkey", 7)
+
+
+def closest_shown(spark: SparkSession, d: str) -> DataFrame:
+    f, targets, ranking = _start(spark, d)
+    return V.closest_shown(ranking, targets, f, 50, 3)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -569,5 +661,7 @@ QUERIES = {
         exponential_average, box_average, monotone_average, suggest, suggest_children, find_patterns, class_means, nearest, knn_rank, relevance_feedback, feedback_grid, pairwise,
         distance_summary, distance_quantiles, histogram, clusters, cluster_members, sample_ids, draw_labels, draw_positions, draw_mixed, query_prefixes, split_classes,
         first_per_class, filter_boxes, decode_boxes, non_maximum_suppression, occupancy, known_item_scores, ad_hoc_scores, overall_scores, sketch_scores, score_images, percentile_clip,
+        annotations_table, scores_table, label_sums_table, synset_ids_file, category_mapping_file, listed_files, rank_curves_file, model_labels, ordered_labels, postings_by_label,
+        shuffled, closest_shown,
     )
 }

@@ -162,10 +162,14 @@ def restore_ranks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("query_id bigint, rank bigint, config string").parquet(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
 def once(spark: SparkSession, path: str, make) -> DataFrame:
     """The table at path; made by make() and written first if it is not there."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    if not _exists(spark, path + "/_SUCCESS"):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -177,6 +181,19 @@ def with_shards(df: DataFrame, order: Sequence[str], shards: int) -> DataFrame:
     return numbered.withColumn("shard", F.floor(F.col("_row") / max(size, 1)).cast("bigint")).drop("_row")
 
 
+def shard_path(path: str, shard: int) -> str:
+    return f"{path}/shard={shard}"
+
+
 def write_sharded(df: DataFrame, order: Sequence[str], shards: int, path: str) -> DataFrame:
-    """One folder a shard; a complete earlier result is used again."""
-    return once(df.sparkSession, path, lambda: with_shards(df, order, shards))
+    """One folder a shard, each readable alone; an earlier result is used again if all its shards are there."""
+    spark = df.sparkSession
+    filled = -(-df.count() // max(1, -(-df.count() // shards)))  # the last shards of few rows are empty
+    if not all(_exists(spark, p) for p in [path + "/_SUCCESS", *(shard_path(path, i) for i in range(filled))]):
+        with_shards(df, order, shards).write.partitionBy("shard").mode("overwrite").parquet(path)
+    return spark.read.schema(df.select("*", F.lit(0).cast("bigint").alias("shard")).schema).parquet(path)
+
+
+def read_shard(spark: SparkSession, path: str, shard: int) -> DataFrame:
+    """The rows of one shard; no other folder is opened."""
+    return spark.read.parquet(shard_path(path, shard))

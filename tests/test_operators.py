@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import shutil
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.operators import boxes, evaluation, labels, postings, ranking, sampling, scan, suggest, vectors
-from tessera.plans import queries
+from tessera.plans import fixtures, queries
 from tessera.sources import tables
 
 
@@ -154,14 +155,18 @@ def test_occupancy_and_suppression(spark):
             for column in range(cell(x1, 1280, 32), cell(x2, 1280, 32) + 1):
                 want[i, row] = want.get((i, row), 0) | 1 << (31 - column)
     assert {(r.image_id, r.word_no): r.bits for r in boxes.occupancy(df).collect()} == want
-    kept = boxes.non_maximum_suppression(df, 0.1).toPandas()
-    for _, one in kept.groupby("image_id"):
-        b = one[["x1", "y1", "x2", "y2"]].to_numpy()
-        for i in range(len(b)):
-            for j in range(i):
-                w = max(0, min(b[i][2], b[j][2]) - max(b[i][0], b[j][0])) * max(0, min(b[i][3], b[j][3]) - max(b[i][1], b[j][1]))
-                area = lambda q: (q[2] - q[0]) * (q[3] - q[1])
-                assert w / (area(b[i]) + area(b[j]) - w) <= 0.1
+    df = spark.createDataFrame(rows + rows[:2] + [(1, 5.0, 5.0, 5.0, 5.0, 0.5)] * 2, df.schema)  # equal boxes, and ones without area
+    want = []
+    for image in range(3):
+        kept: list = []
+        for b in sorted((r for r in rows + rows[:2] + [(1, 5.0, 5.0, 5.0, 5.0, 0.5)] * 2 if r[0] == image), key=lambda r: (-r[5], *r[1:5])):
+            area = lambda q: (q[3] - q[1]) * (q[4] - q[2])
+            both = lambda p, q: max(0, min(p[3], q[3]) - max(p[1], q[1])) * max(0, min(p[4], q[4]) - max(p[2], q[2]))
+            if all((u := area(k) + area(b) - both(k, b)) <= 0 or both(k, b) <= 0.1 * u for k in kept):
+                kept.append(b)
+        want += kept
+    for most in (1000, 3, 0):  # in one fold, mixed, in rounds
+        assert sorted(map(tuple, boxes.non_maximum_suppression(df, 0.1, most).collect())) == sorted(want)
 
 
 def test_vectors_against_numpy(spark):
@@ -178,12 +183,63 @@ def test_vectors_against_numpy(spark):
         r = ranks.where(F.col("query_id") == qid).first()
         assert r["rank"] == order.index(target) + 1 and r.gap == pytest.approx(away[target] - away.min(), abs=1e-6)
         assert [t.image_id for t in top.where(F.col("query_id") == qid).orderBy("rank").collect()] == order[:5]
+    some = df.where("image_id % 20 = 0")
+    against = vectors.pairwise_distances(some, "cosine", block=7, others=df).toPandas()
+    assert len(against) == 3 * 59
+    for a, b, d in against.sample(40, random_state=1).itertuples(index=False):
+        assert d == pytest.approx(1 - u[a] @ u[b])
+    shares = [0.0, 0.1, 0.37, 0.5, 1.0]
+    assert C.exact_quantiles(vectors.pairwise_distances(df, block=7), "distance", shares) == pytest.approx(np.quantile([1 - u[a] @ u[b] for a in range(60) for b in range(a + 1, 60)], shares))
+    assert C.exact_quantiles(df.where("false").withColumn("x", F.lit(1)), "x", [0.5]) == [None]
     pairs = vectors.pairwise_distances(df, "euclidean", block=7).toPandas()
     assert len(pairs) == 60 * 59 // 2
     for a, b, d in pairs.sample(50, random_state=1).itertuples(index=False):
         assert a < b and d == pytest.approx(np.linalg.norm(x[a] - x[b]))
 
 
+@pytest.mark.parametrize("blocks", [64, 0])
+def test_queries_in_many_blocks(spark, monkeypatch, blocks):
+    monkeypatch.setattr(vectors, "QUERIES", 3)
+    monkeypatch.setattr(vectors, "MOST_BLOCKS", blocks)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(50, 4))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "image_id bigint, features array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    q = df.where("image_id < 10").select(F.col("image_id").alias("query_id"), "image_id")
+    got = {(r.query_id, r["rank"]): r.image_id for r in vectors.nearest(q, df, 4).collect()}
+    want = {(i, k + 1): j for i in range(10) for k, j in enumerate(np.lexsort((np.arange(50), np.round(1 - u @ u[i], 9)))[:4].tolist())}
+    assert got == want
+    assert vectors.nearest(q.where("false"), df, 4).count() == 0
+
+
+def test_clusters_against_numpy(spark, sf):
+    """Every class lies with the nearest of the clusters' means, and on the axes of most variance."""
+    means = vectors.class_means(fixtures.features(spark, sf))
+    x = np.array([r.features for r in means.orderBy("class_id").collect()])
+    got = vectors.clusters(means, k=3, seed=42).orderBy("class_id").toPandas()
+    labels = got["cluster"].to_numpy()
+    centres = np.array([x[labels == c].mean(axis=0) for c in sorted(set(labels))])
+    assert (np.array(sorted(set(labels)))[((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)] == labels).all()
+    _, _, axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.abs((x - x.mean(axis=0)) @ axes[:2].T) == pytest.approx(np.abs(got[["x", "y"]].to_numpy()), abs=1e-6)
+    members = vectors.cluster_members(vectors.clusters(means, k=3, seed=42)).collect()
+    assert sorted(i for r in members for i in r.classes) == sorted(got["class_id"])
+
+
+def test_find_patterns_of_repeated_ids(spark):
+    texts = spark.createDataFrame([(1, "anananan"), (1, "xan"), (2, "é an")], "text_id bigint, text string")
+    got = sorted(map(tuple, suggest.find_patterns(texts, spark.createDataFrame([("anan",), ("an",)], "pattern string")).collect()))
+    assert got == sorted([(1, "anan", 0), (1, "anan", 2), (1, "anan", 4), (1, "an", 0), (1, "an", 2), (1, "an", 4), (1, "an", 6), (1, "an", 1), (2, "an", 2)])
+
+
+def test_pruned_postings(spark, tmp_path):
+    rows = spark.range(10_000).select((F.col("id") % 50).alias("label_id"), F.col("id").alias("image_id"), F.lit(0.5).alias("prob"))
+    tables.write_postings(rows, f"{tmp_path}/p")
+    some = tables.read_postings(spark, f"{tmp_path}/p", [7, 9])
+    assert some.count() == 400
+    assert "PushedFilters: [In(label_id, [7,9])]" in some._jdf.queryExecution().toString()
+
+
 def test_feedback_fills_rounds(spark, sf):
     rows = queries.relevance_feedback(spark, sf).toPandas()
     assert (rows.groupby("query_id").size() == 3).all()
@@ -213,8 +269,11 @@ def test_sharded_and_saved(spark, tmp_path):
     df = spark.range(10).select(F.col("id").alias("v"))
     out = tables.write_sharded(df, ["v"], 3, f"{tmp_path}/s")
     assert {r.v: r.shard for r in out.collect()} == {i: i // 4 for i in range(10)}
+    assert {r.v for r in tables.read_shard(spark, f"{tmp_path}/s", 2).collect()} == {8, 9}
     again = tables.write_sharded(spark.range(3).select(F.col("id").alias("v")), ["v"], 3, f"{tmp_path}/s")
     assert again.count() == 10
+    shutil.rmtree(f"{tmp_path}/s/shard=1")
+    assert tables.write_sharded(df, ["v"], 3, f"{tmp_path}/s").count() == 10  # a shard is missing: made again
     for config, rank in (("a", 1), ("b", 2), ("a", 3)):
         tables.save_ranks(spark.createDataFrame([(config, 1, rank)], "config string, query_id bigint, rank bigint"), f"{tmp_path}/r")
     assert {(r.config, r["rank"]) for r in tables.restore_ranks(spark, f"{tmp_path}/r").collect()} == {("a", 3), ("b", 2)}
