@@ -9,7 +9,7 @@
    their successors are sorted directly, the rest are induced by scanning the
    buckets; adjacent common prefixes of `length` bytes give equal windows, and
    the smallest doc_id of each.
-3. Anchors of more than `crowd` documents are not grouped: their windows meet by
+3. Anchors of more than `crowd` stretches are not grouped: their windows meet by
    an aggregation that collapses copies before the shuffle.
 A false positive of a filter only sends a stretch further than needed.
 """
@@ -92,42 +92,46 @@ def utf8(value: pa.Scalar) -> bytes:
 
 
 def shared_anchors(docs: DataFrame, length: int, crowd: int) -> tuple[Filter, Filter]:
-    """Filters of the anchors of more than one document, and of more than crowd."""
+    """Filters of the anchors of more than one document, and of those with more than crowd stretches of up to STRETCH windows."""
     owners = 4 * parts(docs)
     span = -(-(1 << ANCHOR_BITS) // owners)
     shift = np.uint64(64 - ANCHOR_BITS)
 
     def send(batches):
-        held = []
+        held, stretches = [], []
         for b in batches:
             for text in b.column(0):
-                held.append(np.unique(anchors(utf8(text), length)[1]) >> shift)
+                starts, h = anchors(utf8(text), length)
+                own, inverse = np.unique(h >> shift, return_inverse=True)
+                held.append(own)
+                stretches.append(np.bincount(inverse, weights=-(-np.diff(starts) // STRETCH), minlength=len(own)))
         if not held:
             return
-        values, counts = np.unique(np.concatenate(held), return_counts=True)
+        values, inverse, counts = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+        pieces = np.bincount(inverse, weights=np.concatenate(stretches)).astype(np.int64)
         whose = (values // np.uint64(span)).astype(np.int64)
         at = np.flatnonzero(np.diff(whose, prepend=-1))
         for a, b in zip(at, [*at[1:], len(values)], strict=True):
             owner = int(whose[a])
             code = golomb_encode(values[a:b] - np.uint64(owner * span), rice_bits(b - a, span))
-            many = np.flatnonzero(counts[a:b] > 1)
-            more = np.concatenate([many, counts[a:b][many]]).astype("<u4").tobytes()
+            many = np.flatnonzero((counts[a:b] > 1) | (pieces[a:b] > 1))
+            more = np.concatenate([many, counts[a:b][many], pieces[a:b][many]]).astype("<u4").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([owner], pa.int32()), pa.array([b - a], pa.int32()), pa.array([code]), pa.array([more])], names=["owner", "n", "code", "more"])
 
     def own(rows):
         values, counts = [], []
         for n, code, more in zip(rows["n"], rows["code"], rows["more"], strict=True):
             values.append(golomb_decode(code, n, rice_bits(n, span)))
-            c = np.ones(n, np.int64)
-            many = np.frombuffer(more, "<u4").reshape(2, -1)
-            c[many[0]] = many[1]
+            c = np.ones((2, n), np.int64)
+            many = np.frombuffer(more, "<u4").reshape(3, -1)
+            c[:, many[0]] = many[1:]
             counts.append(c)
         every, inverse = np.unique(np.concatenate(values), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate(counts))
+        total, pieces = (np.bincount(inverse, weights=c) for c in np.concatenate(counts, axis=1))
         h = every + np.uint64(int(rows["owner"].iloc[0]) * span) << shift
         import pandas as pd
 
-        out = [(level, part, build(x, 1, 16, MOST_FILTER_BITS // (2 * owners))) for level, least in (("shared", 1), ("hot", crowd)) for part, x in by_segment(h[total > least], owners)]
+        out = [(level, part, build(x, 1, 16, MOST_FILTER_BITS // (2 * owners))) for level, which in (("shared", total > 1), ("hot", (total > 1) & (pieces > crowd))) for part, x in by_segment(h[which], owners)]
         return pd.DataFrame(out, columns=["kind", "segment", "bits"])
 
     sent = docs.where("doc_id is not null").select("text").mapInArrow(send, "owner int, n int, code binary, more binary")
