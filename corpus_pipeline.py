@@ -18,12 +18,12 @@ from tessera.llm.simhash import drop_near_duplicates
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that have no language (`und`: null, or no letter)."""
+    """Without documents that no language fits: no letter, or 50 letters and more that the best language makes improbable."""
     return drop_unidentified(docs, train(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without lines that an earlier place has; documents that lost every line go."""
+    """Without lines that an earlier place has, the same or similar; documents that lost every line go."""
     out = dedup_lines(docs).where((F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0))
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*[f"`{c}`" for c in docs.columns])
 
@@ -34,7 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that share ten consecutive words with the benchmark."""
+    """Without documents that share ten consecutive words with the benchmark, those without a doc_id included."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
