@@ -334,6 +334,17 @@ def test_near_duplicates_against_brute_force(spark):
     assert gone <= wanted and len(gone) >= 0.95 * len(wanted) > 80
 
 
+def test_near_duplicates_of_long_and_repetitive_texts(spark):
+    rng = random.Random(3)
+    long = [f"w{rng.randrange(5000)}" for _ in range(400_000)]
+    changed = [*long]
+    for at in range(0, len(changed), 90):
+        changed[at] = f"other{at}"
+    rows = [(1, " ".join(long)), (2, " ".join(changed)), (3, "a " * 500_000), (4, "a " * 500_001), (5, "b " * 10), (6, "x" * 3_000_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.key for r in simhash.near_duplicate_rows(docs).collect()} == {2, 4}
+
+
 def test_votes_and_word_hashes():
     rng = random.Random(5)
     texts = [cases.sentence(rng, n).encode() for n in (0, 1, 3, 700, 0, 40)] + [b" Aa\tb\x0b\xc3\xa9 ", b"", b"x" * 700_000 + b" y"]

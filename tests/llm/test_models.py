@@ -86,6 +86,28 @@ def test_expected_counts_add_up():
     assert (got * lengths).sum() == pytest.approx(3 * 4)
 
 
+def test_expected_counts_against_all_segmentations():
+    pieces = language_id.vocabulary(language_id.vocabulary_path())
+    probs = np.random.default_rng(2).random((len(pieces) + 1, 1)) / 100
+    known = {p: i for i, p in enumerate(pieces.pieces)}
+
+    def segmentations(word: str):
+        if not word:
+            yield []
+        for k in range(1, min(len(word), pieces.longest) + 1):
+            i = known.get(word[:k], -1)
+            if i >= 0 or k == 1:
+                yield from ([i, *rest] for rest in segmentations(word[k:]))
+
+    want = np.zeros(len(pieces) + 1)
+    for word, n in (("▁hausen", 3.0), ("▁straße", 2.0), ("▁ñx", 1.0)):
+        every = [(ids, math.prod(probs[i, 0] for i in ids)) for ids in segmentations(word)]
+        for ids, p in every:
+            np.add.at(want, ids, n * p / sum(q for _, q in every))
+    got = sum(language_id.expected([w], np.array([n]), pieces, probs) for w, n in (("▁hausen", 3.0), ("▁straße", 2.0), ("▁ñx", 1.0)))
+    assert got == pytest.approx(want[:-1])
+
+
 def test_identify_on_given_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
