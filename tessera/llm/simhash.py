@@ -33,7 +33,9 @@ MAX_BITS = 2
 INDEX = [(*a, *b) for a, b in combinations([(0, 1), (2, 3), (4, 5), (6, 7)], 2)]
 #: 64-bit parts of the fingerprint of single words in the near-duplicate stage.
 TABLES = 16
-MARKS = pa.schema([("doc_id", pa.int64()), ("raw", pa.int64()), ("text_hash", pa.int64()), ("fps", pa.list_(pa.int64()))])
+MARKS = pa.schema([("doc_id", pa.int64()), ("raw", pa.int64()), ("text_hash", pa.int64()), ("fps", pa.list_(pa.int64())), ("mins", pa.list_(pa.int64()))])
+#: 64-bit parts of the second fingerprint, of shingles: eight bytes each, every one of the smallest hash under another order.
+MINS = 4
 ROWS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("text_hash", pa.int64()), ("raw", pa.int64())])
 #: Where a row without a doc_id stands among others.
 LAST = (1 << 63) - 1
@@ -134,8 +136,8 @@ def simhash_components(docs: DataFrame, width: int = 3, key: str = "doc_id", tex
     return base.join(labels, "fp").select(F.col("doc_id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def document_marks(rows: DataFrame) -> DataFrame:
-    """doc_id, raw, text_hash, fps of rows (doc_id, text): TABLES fingerprints of single words."""
+def document_marks(rows: DataFrame, width: int) -> DataFrame:
+    """doc_id, raw, text_hash, fps, mins of rows (doc_id, text): TABLES fingerprints of single words, MINS of shingles."""
 
     def run(batches):
         for part in batches:
@@ -143,10 +145,28 @@ def document_marks(rows: DataFrame) -> DataFrame:
             for a, b in wordhash.groups(part.column(1)):
                 h, n = wordhash.words_of(wordhash.raw(part.column(1), a, b))
                 fps = np.packbits(2 * wordhash.votes(h, np.repeat(np.arange(b - a), n), b - a, TABLES) > n[:, None], axis=1).view(">i8").astype(np.int64)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(fps.ravel()), TABLES).cast(pa.list_(pa.int64()))
-                yield batch(MARKS, {"doc_id": ids[a:b], "raw": raws[a:b], "text_hash": whole_hashes(h, n), "fps": lists})
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (fps, least_bytes(h, n, width))]
+                yield batch(MARKS, {"doc_id": ids[a:b], "raw": raws[a:b], "text_hash": whole_hashes(h, n), "fps": lists[0], "mins": lists[1]})
 
-    return rows.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, raw bigint, text_hash bigint, fps array<bigint>")
+    return rows.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, raw bigint, text_hash bigint, fps array<bigint>, mins array<bigint>")
+
+
+def least_bytes(h: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
+    """[text, MINS]: bytes of the smallest shingle hashes under 8 * MINS orders; a shorter text is one shingle."""
+    out = np.zeros((len(n), 8 * MINS), np.uint8)
+    some = np.flatnonzero(n)
+    if not len(some):
+        return out.view(np.int64)
+    first = (np.cumsum(n) - n)[some]
+    runs = np.concatenate([wordhash.shingles(h, width), np.zeros(width - 1, np.uint64)])[: len(h)] if len(h) >= width else h.copy()
+    for i in np.flatnonzero(n[some] < width):  # a short text's only shingle stands at its first word
+        runs[first[i]] = wordhash.shingles(h[first[i] : first[i] + n[some[i]]], int(n[some[i]]))[0]
+    inside = np.arange(len(h)) - np.repeat(first, n[some]) <= np.repeat(np.maximum(n[some] - width, 0), n[some])
+    with np.errstate(over="ignore"):
+        for i in range(8 * MINS):
+            ordered = np.where(inside, mix(runs + np.uint64(i + 1) * np.uint64(0x9FB21C651E98DF25)), np.uint64(0xFFFFFFFFFFFFFFFF))
+            out[some, i] = (np.minimum.reduceat(ordered, first) & np.uint64(255)).astype(np.uint8)
+    return out.view(np.int64)
 
 
 def whole_hashes(h: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -162,7 +182,11 @@ def whole_hashes(h: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
-    """id, payload (sorted, distinct 64-bit hashes) of rows (id, text); a shorter text is one shingle, none has none."""
+    """id, payload (sorted, distinct 32-bit hashes) of rows (id, text); a shorter text is one shingle, none has none.
+
+    Two of n shingles in about n / 2^33 of the cases share a hash, which moves a
+    similarity by less than 0.0003 up to a million shingles.
+    """
 
     def run(batches):
         for part in batches:
@@ -171,36 +195,41 @@ def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
                 ends, sets = np.cumsum(n), []
                 for end, size in zip(ends.tolist(), n.tolist(), strict=True):
                     own = h[end - size : end]
-                    sets.append(np.unique(wordhash.shingles(own, min(words, size))).view(np.int64) if size else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), pa.array(sets, pa.list_(pa.int64()))], names=["id", "payload"])
+                    sets.append(np.unique(wordhash.shingles(own, min(words, size)).astype(np.uint32)).view(np.int32) if size else np.zeros(0, np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), pa.array(sets, pa.list_(pa.int32()))], names=["id", "payload"])
 
-    return rows.select("id", "text").mapInArrow(run, "id bigint, payload array<bigint>")
+    return rows.select("id", "text").mapInArrow(run, "id bigint, payload array<int>")
 
 
-def near_duplicate_rows(docs: DataFrame, words: int = 5, min_similarity: float = 0.8, least_shared: int = 56, crowd: int = 4) -> DataFrame:
+def near_duplicate_rows(docs: DataFrame, words: int = 5, min_similarity: float = 0.8, least_shared: int = 56, least_mins: int = 16, crowd: int = 4) -> DataFrame:
     """key, raw (hash of the text) of the rows to drop so that one of each near-duplicate group stays.
 
     Texts of the same words are one node, with a SimHash of TABLES * 8 bytes over
     its single words: with single words, where common ones weigh most, similar
     texts lie far closer than with shingles. The index holds lists of four
     positional bytes; the positional bytes that a pair of a list shares are
-    tallied, and pairs with least_shared of the 128 or more are verified: the sets
-    of `words`-word shingles must have a Jaccard similarity of min_similarity or
-    more. Pairs that others connect already need not be tried (similar_groups).
+    tallied, and pairs with least_shared of the 128 or more are kept. So are those
+    that share least_mins or more of 32 positional bytes of the smallest shingle
+    hashes (26 are expected at a similarity of 0.8, with a deviation of 2.3). The
+    rest are verified: the sets of `words`-word shingles must have a Jaccard
+    similarity of min_similarity or more. Pairs that others connect already need not be tried (similar_groups).
     The smallest (doc_id, hash) of a group stays. Null and empty texts are equal
     to each other. Texts of other words than each other's never meet, however
     often a word is repeated.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    base = stored(document_marks(rows))
-    nodes = stored(base.groupBy(F.col("text_hash").alias("id")).agg(F.min(F.struct("doc_id", "raw")).alias("first"), F.first("fps").alias("fps")))
+    base = stored(document_marks(rows, words))
+    nodes = stored(base.groupBy(F.col("text_hash").alias("id")).agg(F.min(F.struct("doc_id", "raw")).alias("first"), F.first("fps").alias("fps"), F.first("mins").alias("mins")))
     # two lists from each fingerprint: its upper and its lower four bytes
     halves = [F.col("fps")[t].bitwiseAND(F.lit(0xFFFFFFFF)) if low else F.shiftrightunsigned(F.col("fps")[t], 32) for t in range(TABLES) for low in (0, 1)]
     entries = nodes.select(F.explode(F.array(*[half.bitwiseOR(F.lit(i << 32)) for i, half in enumerate(halves)])).alias("key"), "id")
 
     def near(x: str, y: str) -> Column:
-        mixed = [F.col(f"{x}.fps")[t].bitwiseXOR(F.col(f"{y}.fps")[t]) for t in range(TABLES)]
-        return sum(((_byte(m, p) == 0).cast("int") for m in mixed for p in range(8)), F.lit(0)) >= least_shared
+        def shared(c: str, parts: int) -> Column:
+            mixed = [F.col(f"{x}.{c}")[t].bitwiseXOR(F.col(f"{y}.{c}")[t]) for t in range(parts)]
+            return sum(((_byte(m, p) == 0).cast("int") for m in mixed for p in range(8)), F.lit(0))
+
+        return (shared("mins", MINS) >= least_mins) & (shared("fps", TABLES) >= least_shared)
 
     def payloads(ids: DataFrame) -> DataFrame:
         wanted = stored(nodes.join(ids, "id").select("id", F.col("first.raw").alias("raw")).groupBy("raw").agg(F.min("id").alias("id")))
@@ -212,7 +241,7 @@ def near_duplicate_rows(docs: DataFrame, words: int = 5, min_similarity: float =
         sizes = F.least(F.size(p), F.size(q)) >= min_similarity * F.greatest(F.size(p), F.size(q)) - 1e-6
         return sizes & (common >= min_similarity * (F.size(p) + F.size(q) - common) - 1e-6)
 
-    groups = similar_groups(entries, nodes.select("id", F.struct("fps", F.col("fps")[0].alias("sim")).alias("brief")), near, payloads, alike, crowd)
+    groups = similar_groups(entries, nodes.select("id", F.struct("fps", "mins", F.col("fps")[0].alias("sim")).alias("brief")), near, payloads, alike, crowd)
     joined = nodes.join(groups.withColumnRenamed("node", "id"), "id")
     kept = joined.groupBy("root").agg(F.min("first").alias("kept"))
     keep = joined.join(kept, "root").select("id", "kept")
