@@ -208,7 +208,7 @@ def brute_lines(rows) -> dict:
     return out
 
 
-@pytest.mark.parametrize("crowd", [32, 2])
+@pytest.mark.parametrize("crowd", [2])
 def test_line_dedup(spark, crowd):
     docs, rows = cases.documents(spark)
     out = line_dedup.dedup_lines(docs, crowd=crowd)
@@ -226,7 +226,7 @@ def test_line_dedup(spark, crowd):
     assert line_dedup.dedup_lines(cases.empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("crowd", [32, 4])
+@pytest.mark.parametrize("crowd", [4])
 def test_fuzzy_lines_against_brute_force(spark, crowd):
     rng = random.Random(9)
     rows = []
@@ -297,8 +297,7 @@ def test_near_duplicates(spark):
     assert simhash.drop_near_duplicates(docs.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("crowd", [1000, 8])
-@pytest.mark.parametrize("original", [0, 150, 10_000])
+@pytest.mark.parametrize(("crowd", "original"), [(1000, 0), (8, 150), (4, 10_000)])
 def test_near_copies_of_one_original_are_all_tried(spark, crowd, original):
     rng = random.Random(12)
     text = cases.sentence(rng, 330).split()
@@ -336,11 +335,11 @@ def test_near_duplicates_against_brute_force(spark):
 
 def test_near_duplicates_of_long_and_repetitive_texts(spark):
     rng = random.Random(3)
-    long = [f"w{rng.randrange(5000)}" for _ in range(400_000)]
+    long = [f"w{rng.randrange(5000)}" for _ in range(100_000)]
     changed = [*long]
     for at in range(0, len(changed), 90):
         changed[at] = f"other{at}"
-    rows = [(1, " ".join(long)), (2, " ".join(changed)), (3, "a " * 500_000), (4, "a " * 500_001), (5, "b " * 10), (6, "x" * 3_000_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(changed)), (3, "a " * 200_000), (4, "a " * 200_001), (5, "b " * 10), (6, "x" * 1_500_000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {r.key for r in simhash.near_duplicate_rows(docs).collect()} == {2, 4}
 
