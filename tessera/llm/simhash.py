@@ -201,18 +201,19 @@ def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("id", "text").mapInArrow(run, "id bigint, payload array<int>")
 
 
-def near_duplicate_rows(docs: DataFrame, words: int = 5, min_similarity: float = 0.8, least_shared: int = 56, least_mins: int = 16, crowd: int = 4) -> DataFrame:
+def near_duplicate_rows(docs: DataFrame, words: int = 5, min_similarity: float = 0.8, most_bits: int = 110, least_mins: int = 16, crowd: int = 4) -> DataFrame:
     """key, raw (hash of the text) of the rows to drop so that one of each near-duplicate group stays.
 
     Texts of the same words are one node, with a SimHash of TABLES * 8 bytes over
     its single words: with single words, where common ones weigh most, similar
     texts lie far closer than with shingles. The index holds lists of four
-    positional bytes; the positional bytes that a pair of a list shares are
-    tallied, and pairs with least_shared of the 128 or more are kept. So are those
-    that share least_mins or more of 32 positional bytes of the smallest shingle
-    hashes (26 are expected at a similarity of 0.8, with a deviation of 2.3). The
-    rest are verified: the sets of `words`-word shingles must have a Jaccard
-    similarity of min_similarity or more. Pairs that others connect already need not be tried (similar_groups).
+    positional bytes. Of the pairs of a list, those are kept that differ in at most
+    most_bits of the 1024 bits (about 70 are expected at a similarity of 0.8, fewer
+    with frequent words), and whose tally of shared positional bytes of the
+    smallest shingle hashes is least_mins or more of 32 (26 are expected at 0.8,
+    with a deviation of 2.3). The rest are verified: the sets of `words`-word
+    shingles must have a Jaccard similarity of min_similarity or more. Pairs that
+    others connect already need not be tried (similar_groups).
     The smallest (doc_id, hash) of a group stays. Null and empty texts are equal
     to each other. Texts of other words than each other's never meet, however
     often a word is repeated.
@@ -225,11 +226,11 @@ def near_duplicate_rows(docs: DataFrame, words: int = 5, min_similarity: float =
     entries = nodes.select(F.explode(F.array(*[half.bitwiseOR(F.lit(i << 32)) for i, half in enumerate(halves)])).alias("key"), "id")
 
     def near(x: str, y: str) -> Column:
-        def shared(c: str, parts: int) -> Column:
-            mixed = [F.col(f"{x}.{c}")[t].bitwiseXOR(F.col(f"{y}.{c}")[t]) for t in range(parts)]
-            return sum(((_byte(m, p) == 0).cast("int") for m in mixed for p in range(8)), F.lit(0))
+        def mixed(c: str, parts: int) -> list[Column]:
+            return [F.col(f"{x}.{c}")[t].bitwiseXOR(F.col(f"{y}.{c}")[t]) for t in range(parts)]
 
-        return (shared("mins", MINS) >= least_mins) & (shared("fps", TABLES) >= least_shared)
+        shared = sum(((_byte(m, p) == 0).cast("int") for m in mixed("mins", MINS) for p in range(8)), F.lit(0))
+        return (shared >= least_mins) & (sum((F.bit_count(m) for m in mixed("fps", TABLES)), F.lit(0)) <= most_bits)
 
     def payloads(ids: DataFrame) -> DataFrame:
         wanted = stored(nodes.join(ids, "id").select("id", F.col("first.raw").alias("raw")).groupBy("raw").agg(F.min("id").alias("id")))
