@@ -215,8 +215,7 @@ def near_duplicate_rows(docs: DataFrame, words: int = 5, min_similarity: float =
     shingles must have a Jaccard similarity of min_similarity or more. Pairs that
     others connect already need not be tried (similar_groups).
     The smallest (doc_id, hash) of a group stays. Null and empty texts are equal
-    to each other. Texts of other words than each other's never meet, however
-    often a word is repeated.
+    to each other.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = stored(document_marks(rows, words))
