@@ -204,25 +204,27 @@ def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
 def near_duplicate_rows(docs: DataFrame, words: int = 5, min_similarity: float = 0.8, most_bits: int = 110, least_mins: int = 16, crowd: int = 4) -> DataFrame:
     """key, raw (hash of the text) of the rows to drop so that one of each near-duplicate group stays.
 
-    Texts of the same words are one node, with a SimHash of TABLES * 8 bytes over
-    its single words: with single words, where common ones weigh most, similar
-    texts lie far closer than with shingles. The index holds lists of four
-    positional bytes. Of the pairs of a list, those are kept that differ in at most
-    most_bits of the 1024 bits (about 70 are expected at a similarity of 0.8, fewer
-    with frequent words), and whose tally of shared positional bytes of the
-    smallest shingle hashes is least_mins or more of 32 (26 are expected at 0.8,
-    with a deviation of 2.3). The rest are verified: the sets of `words`-word
-    shingles must have a Jaccard similarity of min_similarity or more. Pairs that
-    others connect already need not be tried (similar_groups).
+    Texts of the same words are one node. Its second fingerprint has 32 positional
+    bytes, of the smallest shingle hashes under 32 orders: at a similarity of 0.8
+    each is shared with a probability of 0.8. The index holds lists of four
+    positional bytes, eight a node, of which such a pair shares one with a
+    probability of 0.985; pairs of a list are tallied over all bytes and kept from
+    least_mins on (26 are expected, with a deviation of 2.3). The SimHash, over
+    single words in TABLES * 8 bytes, must differ in at most most_bits of its bits
+    (about 70 are expected, fewer with frequent words), and finds the centre of
+    long lists. It doesn't make the lists itself: texts that repeat one word have
+    equal SimHashes however unlike their shingles are. The rest are verified: the
+    sets of `words`-word shingles must have a Jaccard similarity of min_similarity
+    or more. Pairs that others connect already need not be tried (similar_groups).
     The smallest (doc_id, hash) of a group stays. Null and empty texts are equal
     to each other.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = stored(document_marks(rows, words))
     nodes = stored(base.groupBy(F.col("text_hash").alias("id")).agg(F.min(F.struct("doc_id", "raw")).alias("first"), F.first("fps").alias("fps"), F.first("mins").alias("mins")))
-    # two lists from each fingerprint: its upper and its lower four bytes
-    halves = [F.col("fps")[t].bitwiseAND(F.lit(0xFFFFFFFF)) if low else F.shiftrightunsigned(F.col("fps")[t], 32) for t in range(TABLES) for low in (0, 1)]
-    entries = nodes.select(F.explode(F.array(*[half.bitwiseOR(F.lit(i << 32)) for i, half in enumerate(halves)])).alias("key"), "id")
+    # two lists from each part: its upper and its lower four bytes
+    halves = [F.col("mins")[t].bitwiseAND(F.lit(0xFFFFFFFF)) if low else F.shiftrightunsigned(F.col("mins")[t], 32) for t in range(MINS) for low in (0, 1)]
+    entries = nodes.where("id != 0").select(F.explode(F.array(*[half.bitwiseOR(F.lit(i << 32)) for i, half in enumerate(halves)])).alias("key"), "id")
 
     def near(x: str, y: str) -> Column:
         def mixed(c: str, parts: int) -> list[Column]:
