@@ -29,6 +29,8 @@ from tessera.llm.common import batch, stored, table
 LEVELS = (4, 16)
 #: Rows and anchors that are packed together; bytes of anchors that are sent to all tasks at once.
 ROWS, ANCHORS, SENT_BYTES = 4096, 256, 64 << 20
+#: Pairs are scored one by one if fewer than one in so many is left, else as a product of matrices.
+SPARSE = 50
 #: A score that is no score, below all others.
 NONE = -(1 << 62)
 #: Sums of products below this are exact in double.
@@ -102,31 +104,38 @@ class Block:
         return Block(*fields, wanted=wanted)
 
 
-def bounds(one: Block, two: Block, i: np.ndarray | None, j: np.ndarray | None, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of the scores of all pairs, or of the pairs (i, j)."""
-    if not one.width or not two.width or one.width != two.width:  # other lengths: no summary fits, everything is scored
-        shape = (len(one.ids), len(two.ids)) if i is None else len(i)
+def bounds(one: Block, two: Block, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the scores of all pairs of two blocks."""
+    if not one.width or one.width != two.width:  # other lengths: no summary fits, everything is scored
+        shape = (len(one.ids), len(two.ids))
         return np.full(shape, -np.inf), np.full(shape, np.inf)
     (m, d), (n, e) = one.levels[level], two.levels[level]
-    if i is None:
-        middle, reach = m @ n.T, d @ e.T
-    else:
-        middle, reach = np.einsum("ij,ij->i", m[i], n[j]), np.einsum("ij,ij->i", d[i], e[j])
-    slack = 1e-9 * (np.abs(middle) + reach) + 1e-6  # of the rounding
-    return middle - reach - slack, middle + reach + slack
+    middle, reach = m @ n.T, d @ e.T
+    reach *= 1 + 1e-9  # of the rounding
+    reach += 1e-9 * one.most * two.most * one.width + 1e-6
+    return middle - reach, middle + reach
 
 
-def scores(one: Block, two: Block, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Exact inner products of the pairs (i, j); components that one vector lacks count as zero."""
+def scores(one: Block, two: Block, wanted: np.ndarray) -> np.ndarray:
+    """Exact inner products of the wanted pairs, NONE elsewhere; components that one vector lacks count as zero."""
     width = min(one.width, two.width)
-    if one.most * two.most * width < EXACT:
-        out = np.empty(len(i), np.int64)
-        for a in range(0, len(i), 1 << 14):
-            p, q = one.x[i[a : a + (1 << 14)], :width], two.x[j[a : a + (1 << 14)], :width]
-            out[a : a + (1 << 14)] = np.einsum("ij,ij->i", p, q)
-        return out
-    whole = [sum(int(p) * int(q) for p, q in zip(one.x[a, :width], two.x[b, :width], strict=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
-    return np.array(whole, np.int64)
+    x, y = one.x[:, :width], two.x[:, :width]
+    out = np.full(wanted.shape, NONE, np.int64)
+    i, j = np.nonzero(wanted)
+    if one.most * two.most * width >= EXACT:
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            out[a, b] = sum(int(p) * int(q) for p, q in zip(x[a], y[b], strict=True))
+    elif len(i) * SPARSE > out.size:
+        np.copyto(out, x @ y.T, where=wanted, casting="unsafe")
+    else:
+        out[i, j] = np.einsum("ij,ij->i", x[i], y[j])
+    return out
+
+
+def kth_largest(values: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row; the smallest where there are fewer columns."""
+    n = values.shape[1]
+    return np.partition(values, n - k, axis=1)[:, n - k] if n >= k else np.full(len(values), NONE if values.dtype.kind == "i" else -np.inf)
 
 
 class Best:
@@ -139,11 +148,13 @@ class Best:
         """What a further score must reach."""
         return self.score[:, -1]
 
-    def add(self, row: np.ndarray, ids: np.ndarray, found: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, found: np.ndarray) -> None:
+        """found: a score for each row and id, or NONE."""
         k = self.score.shape[1]
+        row, j = np.nonzero((found > NONE) & (found >= np.maximum(kth_largest(found, k), self.least())[:, None]))
+        ids, found = ids[j], found[row, j]
         touched = np.unique(row)
-        kept = np.repeat(touched, k)
-        row, ids, found = np.concatenate([kept, row]), np.concatenate([self.id[touched].ravel(), ids]), np.concatenate([self.score[touched].ravel(), found])
+        row, ids, found = np.concatenate([np.repeat(touched, k), row]), np.concatenate([self.id[touched].ravel(), ids]), np.concatenate([self.score[touched].ravel(), found])
         order = np.lexsort((ids, -found, row))
         row, ids, found = row[order], ids[order], found[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
@@ -151,57 +162,40 @@ class Best:
         self.score[row[first], place[first]], self.id[row[first], place[first]] = found[first], ids[first]
 
 
-def kth_largest(row: np.ndarray, values: np.ndarray, rows: int, k: int) -> np.ndarray:
-    """The k-th largest value of each row; -inf where there are fewer."""
-    order = np.lexsort((-values, row))
-    row, values = row[order], values[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    out = np.full(rows, -np.inf)
-    at = place == k - 1
-    out[row[at]] = values[at]
-    return out
-
-
-def refined(one: Block, two: Block, i: np.ndarray, j: np.ndarray, low: np.ndarray, up: np.ndarray, k: int, best: Best, floor: np.ndarray, ceiling: np.ndarray) -> None:
-    """Adds to best the rows' k best scores in [floor, ceiling], of the pairs (i, j) with the coarsest level's bounds low and up.
+def refined(one: Block, two: Block, may: np.ndarray, best: list[Best], k: int, floors: list[np.ndarray], ceilings: list[np.ndarray]) -> None:
+    """Adds to each of best the rows' k best scores in [floor, ceiling], of the pairs that may be.
 
-    A pair goes if it can't be in its range, or if k others of its row that are in
-    the range for certain are better for certain.
+    A pair is scored if the bounds leave one place it can take: in the place's
+    range, and not behind k others that are in the range for certain and better for
+    certain. The finest segments come last.
     """
+    masks = [may & (f <= c)[:, None] for f, c in zip(floors, ceilings, strict=True)]
     for level in range(len(LEVELS)):
-        if level:
-            low, up = bounds(one, two, i, j, level)
-        may = (up >= floor[i]) & (low <= ceiling[i])
-        i, j, low, up = i[may], j[may], low[may], up[may]
-        sure = (low >= floor[i]) & (up <= ceiling[i])
-        least = np.maximum(kth_largest(i[sure], low[sure], len(one.ids), k), best.least())
-        may = up >= least[i]
-        i, j = i[may], j[may]
-    found = scores(one, two, i, j)
-    fits = (found >= floor[i]) & (found <= ceiling[i])
-    best.add(i[fits], two.ids[j[fits]], found[fits])
+        low, up = bounds(one, two, level)
+        for p, (state, floor, ceiling) in enumerate(zip(best, floors, ceilings, strict=True)):
+            masks[p] &= (up >= np.maximum(floor, state.least())[:, None]) & (low <= ceiling[:, None])
+            if level + 1 == len(LEVELS):
+                sure = masks[p] & (low >= floor[:, None]) & (up <= ceiling[:, None])
+                if sure.any():
+                    masks[p] &= up >= kth_largest(np.where(sure, low, -np.inf), k)[:, None]
+    found = scores(one, two, np.logical_or.reduce(masks))
+    for mask, state, floor, ceiling in zip(masks, best, floors, ceilings, strict=True):
+        state.add(two.ids, np.where(mask & (found >= floor[:, None]) & (found <= ceiling[:, None]), found, NONE))
 
 
 def positives_of(anchors: Block, rows: Block, best: list[Best], k: int) -> None:
     same = (anchors.labels[:, None] == rows.labels[None, :]) & (anchors.ids[:, None] != rows.ids[None, :])
-    i, j = np.nonzero(same)
-    low, up = bounds(anchors, rows, None, None, 0)
     every = np.full(len(anchors.ids), np.inf)
-    refined(anchors, rows, i, j, low[i, j], up[i, j], k, best[0], -every, every)
+    refined(anchors, rows, same, best, k, [-every], [every])
 
 
 def negatives_of(anchors: Block, rows: Block, best: list[Best], k: int, least: int, most: int) -> None:
     other = anchors.labels[:, None] != rows.labels[None, :]
-    low, up = bounds(anchors, rows, None, None, 0)
-    for place, state in enumerate(best):
-        goal = anchors.goals[:, place]
-        # the whole numbers s with least * goal <= 100 * s <= most * goal; none without a goal
-        floor, ceiling = -(-least * goal // 100), most * goal // 100
-        none = goal == NONE
-        floor, ceiling = np.where(none, 1, floor), np.where(none, 0, ceiling)
-        may = other & (floor <= ceiling)[:, None] & (up >= np.maximum(floor, state.least())[:, None]) & (low <= ceiling[:, None])
-        i, j = np.nonzero(may)
-        refined(anchors, rows, i, j, low[i, j], up[i, j], k, state, floor, ceiling)
+    goals = [anchors.goals[:, place] for place in range(len(best))]
+    # the whole numbers s with least * goal <= 100 * s <= most * goal; none without a goal
+    floors = [np.where(g == NONE, 1, -(-least * g // 100)) for g in goals]
+    ceilings = [np.where(g == NONE, 0, most * g // 100) for g in goals]
+    refined(anchors, rows, other, best, k, floors, ceilings)
 
 
 def scanned(rows: DataFrame, anchors: DataFrame, places: int, k: int, wanted: int, work: Callable[[Block, Block, list[Best]], None]) -> DataFrame:

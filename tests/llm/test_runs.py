@@ -138,10 +138,10 @@ def test_summaries_bound_scores():
     one, two = (hard_negatives.Block(np.arange(len(v)), np.zeros(len(v)), v, hard_negatives.summaries(v)) for v in (x, y))
     reach = []
     for level in range(len(hard_negatives.LEVELS)):
-        low, up = hard_negatives.bounds(one, two, None, None, level)
+        low, up = hard_negatives.bounds(one, two, level)
         assert (low <= x @ y.T).all() and (x @ y.T <= up).all()
         reach.append((up - low).mean())
     assert reach[0] > reach[1]  # narrower segments bound better
     # components whose products are not exact in double
     huge = hard_negatives.Block(np.arange(2), np.zeros(2), np.array([[3.0 * 2**27, 1.0], [1.0, 2.0**27]]), np.zeros((2, 8)))
-    assert hard_negatives.scores(huge, huge, np.array([0]), np.array([0])).tolist() == [9 * 2**54 + 1]
+    assert hard_negatives.scores(huge, huge, np.array([[True, False], [False, False]]))[0, 0] == 9 * 2**54 + 1
