@@ -9,8 +9,9 @@ from tessera.llm.common import discard, stored
 
 
 def _stars(links: DataFrame) -> bool:
-    """Whether every link (u, v) leads to the end: no v has a link of its own."""
-    return links.join(links.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
+    """Whether every link (u, v) leads to the end: no u has two, and no v has a link of its own."""
+    more = links.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
+    return more.isEmpty() and links.join(links.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 100) -> DataFrame:
