@@ -87,23 +87,31 @@ def result_status(queries: DataFrame, scored: DataFrame) -> DataFrame:
     return per.join(counts, "query_id", "left").select("query_id", F.coalesce("results", F.lit(0)).alias("results"), status.alias("status"))
 
 
-def window_best(scored: DataFrame, width: int, keys: list[str], partition_by: str | None = None) -> DataFrame:
-    """keys, image_id, best: the largest score among images image_id to image_id + width - 1.
-
-    Each score is copied to the `width` places that see it and the places take
-    their maximum, so that no window runs over all images. With partition_by,
-    runs of images end with its value (a video).
+def window_best(first: DataFrame, second: DataFrame, width: int, keys: list[str], partition_by: str | None = None) -> DataFrame:
+    """first (keys, image_id, ...) with best: the largest second score among images image_id to image_id + width - 1; rows without any go.
+
+    Images are cut into blocks of `width`. A window that begins in a block ends in
+    it or the next, so its best is the larger of a maximum over the rest of its
+    block and one over the beginning of the next. A score goes to both blocks,
+    whatever the width, and no window runs over more than a block. With
+    partition_by, runs of images end with its value (a video).
     """
-    also = [partition_by] if partition_by else []
-    seen = scored.select(*keys, *also, F.explode(F.sequence(F.col("image_id") - (width - 1), F.col("image_id"))).alias("image_id"), "score")
-    return seen.groupBy(*keys, *also, "image_id").agg(F.max("score").alias("best"))
+    keys = [*keys, *([partition_by] if partition_by else [])]
+    block = F.floor(F.col("image_id") / width)
+    own = first.select(*keys, F.struct(*[F.col(c) for c in first.columns]).alias("row"), block.alias("block"), F.col("image_id").alias("at"), F.lit(None).cast("double").alias("after"), F.lit(None).cast("double").alias("before"))
+    none, score = F.lit(None).cast("double"), F.col("score").cast("double")
+    seen = second.where("score is not null").select(*keys, "image_id", F.explode(F.array(F.struct(block.alias("block"), F.col("image_id").alias("at"), score.alias("after"), none.alias("before")), F.struct((block - 1).alias("block"), (F.col("image_id") - (width - 1)).alias("at"), none.alias("after"), score.alias("before")))).alias("x"))
+    rows = own.unionByName(seen.select(*keys, "x.*"), allowMissingColumns=True)
+    by = W.partitionBy(*keys, "block")
+    after = F.max("after").over(by.orderBy(F.desc("at")).rangeBetween(W.unboundedPreceding, 0))
+    before = F.max("before").over(by.orderBy("at").rangeBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("best", F.greatest(after, before)).where("row is not null and best is not null").select("row.*", "best")
 
 
 def two_image_scores(first: DataFrame, second: DataFrame, width: int, partition_by: str | None = None) -> DataFrame:
     """query_id, image_id, score: an image's score times the best second score in its window."""
-    keys = ["query_id"] + ([partition_by] if partition_by else [])
-    best = window_best(second, width, ["query_id"], partition_by)
-    return first.join(best, [*keys, "image_id"]).select("query_id", "image_id", (F.col("score") * F.col("best")).alias("score")).where("score > 0")
+    best = window_best(first, second, width, ["query_id"], partition_by)
+    return best.select("query_id", "image_id", (F.col("score") * F.col("best")).alias("score")).where("score > 0")
 
 
 def sliding_max(values: DataFrame, width: int, partition_by: list[str], order: str, value: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 WHOLE, COMMA, ALONE, START, WORD = 10, 5, 4, 2, 1
 #: Marks around a hit (fixed values).
 OPEN, CLOSE = "$~START~$", "$~END~$"
+#: Letters of the stretches that labels are found by.
+GRAM = 3
 
 
 def last_term(text: Column) -> Column:
@@ -59,15 +61,43 @@ def columns(labels: DataFrame, term: Column) -> DataFrame:
     return out.withColumn("relevance", relevance).withColumn("marked", highlight(F.col("name"), F.col("term")))
 
 
+def grams(text: Column, longest: int = GRAM) -> Column:
+    """The different stretches of 1 to `longest` characters of a text."""
+    def of(n: int) -> Column:
+        return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[of(n) for n in range(1, longest + 1)]))
+
+
+def gram_index(labels: DataFrame) -> DataFrame:
+    """gram, synset_id: stretches of up to three characters, in lower case, of the names and descriptions (synset_id, names, description)."""
+    name, description = F.lower(F.concat_ws(", ", "names")), F.lower(F.coalesce("description", F.lit("")))
+    return labels.select("synset_id", F.explode(F.array_union(grams(name), grams(description))).alias("gram"))
+
+
+def gram_matches(labels: DataFrame, terms: DataFrame) -> DataFrame:
+    """wanted and the columns of labels whose name or description holds it, whatever the case, for terms (wanted).
+
+    Labels that have all three-letter stretches of a term are candidates, found by
+    equal stretches, and are verified. A shorter term is one stretch itself.
+    """
+    low = F.lower("wanted")
+    parts = F.when(F.length(low) < GRAM, F.array(low)).otherwise(F.filter(grams(low), lambda g: F.length(g) == GRAM))
+    asked = terms.select("wanted", parts.alias("parts")).select("wanted", F.size("parts").alias("n"), F.explode("parts").alias("gram"))
+    met = asked.join(gram_index(labels), "gram").groupBy("wanted", "n", "synset_id").agg(F.count_distinct("gram").alias("common"))
+    some = met.where("common = n").select("wanted", "synset_id")
+    named = labels.join(some, "synset_id").withColumn("_name", F.concat_ws(", ", "names"))
+    return named.where(match(F.col("_name"), F.coalesce("description", F.lit("")), F.col("wanted")))
+
+
 def suggest(labels: DataFrame, texts: DataFrame, top: int = 50) -> DataFrame:
     """text, synset_id, name, relevance, name_hits, description_hits, bonus, marked, rank for texts (text).
 
-    Texts are a stated set; each is compared with every label row once, inside
-    the join, and only hits come out of it. A negative top has no limit.
+    Texts are a stated set; labels are found by the stretches of letters that they
+    share with a text (gram_matches). A negative top has no limit.
     """
     terms = texts.select("text", last_term(F.col("text")).alias("wanted")).where("wanted != ''").distinct()
-    named = labels.withColumn("_name", F.concat_ws(", ", "names"))
-    found = named.join(terms, match(F.col("_name"), F.col("description"), F.col("wanted")))
+    found = gram_matches(labels, terms.select("wanted").distinct()).join(terms, "wanted")
     rated = columns(found, F.col("wanted"))
     rank = F.row_number().over(W.partitionBy("text").orderBy(F.desc("relevance"), "synset_id"))
     out = rated.withColumn("rank", rank).select("text", "synset_id", "name", "relevance", "name_hits", "description_hits", "bonus", "marked", "rank")
@@ -78,14 +108,3 @@ def suggest_children(labels: DataFrame, ids: DataFrame, text: str) -> DataFrame:
     """The same columns for given labels (synset_id), neither filtered nor sorted."""
     own = labels.join(ids.select("synset_id").distinct(), "synset_id", "left_semi")
     return columns(own, F.lit(text)).select("synset_id", "name", "relevance", "name_hits", "description_hits", "bonus", "marked")
-
-
-def find_patterns(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """text_id, pattern, start (from 0) of all hits, overlapping ones too, of patterns (pattern) in texts (text_id, text)."""
-    met = texts.withColumn("_row", F.monotonically_increasing_id()).join(patterns.where("pattern != ''").distinct(), F.contains("text", "pattern"))
-    # cut before each hit; the lengths up to a piece are its start, and a cut at 0 leaves no empty piece
-    pieces = F.split("text", F.concat(F.lit(r"(?=\Q"), F.col("pattern"), F.lit(r"\E)")), -1)
-    rows = met.select("_row", "text_id", "pattern", F.startswith("text", "pattern").alias("at_once"), F.posexplode(F.transform(pieces, F.length)).alias("piece", "n"))
-    before = F.sum("n").over(W.partitionBy("_row", "pattern").orderBy("piece").rowsBetween(W.unboundedPreceding, -1))
-    starts = rows.withColumn("start", F.coalesce(before, F.lit(0)).cast("int")).where("piece > 0 or at_once")
-    return starts.select("text_id", "pattern", "start")

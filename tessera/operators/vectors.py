@@ -1,4 +1,4 @@
-"""Feature vectors: distances, ranking by similarity, feedback rounds, clusters."""
+"""Feature vectors: distances, ranking by similarity, feedback rounds."""
 
 from __future__ import annotations
 
@@ -199,6 +199,18 @@ def quantiles(distances: DataFrame, steps: int = 100) -> DataFrame:
     return distances.sparkSession.createDataFrame(list(zip(shares, exact_quantiles(distances, "distance", shares), strict=True)), "share double, distance double")
 
 
+def sketched_quantiles(distances: DataFrame, steps: int = 100, k: int = 400) -> DataFrame:
+    """share, distance: as quantiles(), from one mergeable sketch of bounded size (KLL) instead of an order of all rows.
+
+    Every task makes a sketch and sends only that. A value's rank is off by less
+    than 3 / k of the rows (k = 400: 0.75 %) with a probability of over 0.99.
+    """
+    shares = F.array(*[F.lit(i / steps) for i in range(steps + 1)])
+    sketch = distances.where(F.col("distance").isNotNull()).agg(F.kll_sketch_agg_double(F.col("distance").cast("double"), F.lit(k)).alias("s"), F.count("*").alias("n"))
+    found = sketch.where("n > 0").select(F.posexplode(F.kll_sketch_get_quantile_double("s", shares)).alias("i", "distance"))
+    return found.select((F.col("i") / steps).alias("share"), "distance")
+
+
 def histogram(values: DataFrame, column: str, bins: int = 200) -> DataFrame:
     """bin, low, n, density over equal widths from the smallest to the largest value."""
     ends = values.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"), F.count(column).alias("all"))
@@ -208,20 +220,3 @@ def histogram(values: DataFrame, column: str, bins: int = 200) -> DataFrame:
     counts = rows.groupBy("bin", "lo", "width", "all").agg(F.count("*").alias("n"))
     return counts.select("bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("low"), "n", F.when(F.col("width") > 0, F.col("n") / (F.col("all") * F.col("width"))).alias("density"))
 
-
-def clusters(means: DataFrame, k: int = 50, seed: int = 42) -> DataFrame:
-    """class_id, cluster, x, y: k-means over class means, and their place on the first two principal axes (centred)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    rows = means.select("class_id", array_to_vector(F.transform("features", lambda x: x.cast("double"))).alias("v"))
-    centred = StandardScaler(inputCol="v", outputCol="c", withMean=True, withStd=False).fit(rows).transform(rows)
-    model = KMeans(featuresCol="v", predictionCol="cluster", k=k, seed=seed).fit(rows)
-    flat = PCA(k=2, inputCol="c", outputCol="p").fit(centred).transform(model.transform(centred))
-    return flat.withColumn("p", vector_to_array("p")).select("class_id", "cluster", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
-
-
-def cluster_members(clustered: DataFrame) -> DataFrame:
-    """cluster, classes (sorted)."""
-    return clustered.groupBy("cluster").agg(F.array_sort(F.collect_list("class_id")).alias("classes"))

@@ -86,3 +86,15 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     ts = F.col("ts")
     return e.select((F.col("user_id") % 7).alias("team"), F.datediff(ts, F.lit("2024-01-01").cast("date")).alias("task"), (F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)).cast("double").alias("t"), (F.col("event_id") % 40).alias("cluster"), (F.col("event_type") == "purchase").alias("correct"))
+
+
+def supplier_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order is an image, its suppliers are labels with long lists, their share of the quantity is the score."""
+    items = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"))
+    return items.select(F.col("l_suppkey").alias("label_id"), F.col("l_orderkey").alias("image_id"), (F.col("q") / F.sum("q").over(W.partitionBy("l_orderkey"))).alias("prob"))
+
+
+def supplier_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, clause_no, label_id: for each order whose id EVERY divides, its first two lines' suppliers as one clause."""
+    items = read(spark, sf_dir, "lineitem").where((F.col("l_orderkey") % EVERY == 0) & (F.col("l_linenumber") <= 2))
+    return items.select(F.col("l_orderkey").alias("query_id"), F.lit(1).alias("clause_no"), F.col("l_suppkey").alias("label_id")).distinct()

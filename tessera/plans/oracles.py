@@ -93,6 +93,37 @@ start AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance,
   SELECT t.image_id AS query_id, u.image_id, round(1 - list_inner_product(q.f, u.f), 9) AS distance
   FROM u t JOIN u q ON q.image_id = (t.image_id * 7 + 13) % (SELECT count(*) FROM u), u WHERE t.image_id % 100 = 0))"""
 
+SUPPLIERS = """postings AS (
+  SELECT l_suppkey AS label_id, l_orderkey AS image_id, q / sum(q) OVER (PARTITION BY l_orderkey) AS prob
+  FROM (SELECT l_orderkey, l_suppkey, sum(l_quantity) AS q FROM lineitem GROUP BY ALL)),
+query AS (SELECT DISTINCT l_orderkey AS query_id, l_suppkey AS label_id FROM lineitem WHERE l_orderkey % 100 = 0 AND l_linenumber <= 2)"""
+
+
+def lloyd(rounds: int) -> str:
+    """Tables c0.. (cluster, centre) and a (image_id, f, cluster): rounds from the first four vectors."""
+    near = lambda i: f"SELECT image_id, any_value(f) AS f, min({{'d': round(list_sum(list_transform(list_zip(f, centre), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9), 'c': cluster}}).c AS cluster FROM v, c{i} GROUP BY image_id"
+    out = ["c0 AS (SELECT image_id AS cluster, f AS centre FROM v WHERE image_id < 4)"]
+    for i in range(rounds):
+        out.append(f"""a{i} AS ({near(i)}),
+  m{i} AS (SELECT cluster, list(x ORDER BY pos) AS centre FROM (SELECT cluster, pos, avg(x) AS x FROM (SELECT cluster, unnest(f) AS x, unnest(range(len(f))) AS pos FROM a{i}) GROUP BY ALL) GROUP BY cluster),
+  c{i + 1} AS (SELECT * FROM m{i} UNION ALL SELECT * FROM c{i} ANTI JOIN m{i} USING (cluster))""")
+    return ",\n".join([*out, f"a AS ({near(rounds)})"])
+
+
+def axes(rounds: int) -> str:
+    """Tables one, two (pos, x): two axes after rounds of orthogonal iteration on the covariance of v."""
+    unit = lambda t: f"SELECT pos, x / sqrt(sum(x * x) OVER ()) AS x FROM {t}"
+    times = lambda t: f"SELECT i AS pos, sum(c * x) AS x FROM cov JOIN {t} ON {t}.pos = j GROUP BY i"
+    signed = lambda t: f"SELECT pos, x * (SELECT sign(x) FROM {t} ORDER BY round(abs(x), 9) DESC, pos LIMIT 1) AS x FROM {t}"
+    out = ["""e AS (SELECT image_id, unnest(f) AS x, unnest(range(len(f))) AS pos FROM v), mu AS (SELECT pos, avg(x) AS m FROM e GROUP BY ALL),
+  cov AS (SELECT xy.i, xy.j, s / (SELECT count(*) FROM v) - a.m * b.m AS c FROM (SELECT p.pos AS i, q.pos AS j, sum(p.x * q.x) AS s FROM e p JOIN e q USING (image_id) GROUP BY ALL) xy JOIN mu a ON a.pos = xy.i JOIN mu b ON b.pos = xy.j),
+  u0 AS (SELECT pos, 1.0::DOUBLE AS x FROM mu), w0 AS (SELECT pos, CASE WHEN pos % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0 END AS x FROM mu)"""]
+    for i in range(1, rounds + 1):
+        out.append(f"""ur{i} AS ({times(f"u{i - 1}")}), u{i} AS ({unit(f"ur{i}")}), wr{i} AS ({times(f"w{i - 1}")}),
+  wo{i} AS (SELECT r.pos, r.x - (SELECT sum(p.x * q.x) FROM wr{i} p JOIN u{i} q USING (pos)) * u.x AS x FROM wr{i} r JOIN u{i} u USING (pos)), w{i} AS ({unit(f"wo{i}")})""")
+    return ",\n".join([*out, f"one AS ({signed(f'u{rounds}')}), two AS ({signed(f'w{rounds}')})"])
+
+
 ORACLES = {
     "rank_frames": f"""WITH {POSTINGS}, {QUERY}, {IDF},
       sizes AS (SELECT query_id, count(DISTINCT clause_no) AS k FROM query GROUP BY ALL),
@@ -294,10 +325,34 @@ ORACLES = {
     "label_sums_table": f"""WITH {POSTINGS} SELECT label_id, round(sum(prob), 6) AS sum_prob FROM postings GROUP BY ALL""",
     "synset_ids_file": """SELECT p_partkey AS synset_id FROM part WHERE p_partkey % 7 <> 0""",
     "category_mapping_file": """SELECT '/p/part_' || p_partkey AS category, printf('n%08d', p_size) AS synset FROM part""",
-    "listed_files": """SELECT CAST(p_size AS BIGINT) AS p_size, CAST(sum(length(CAST(p_partkey AS VARCHAR)) + 1) AS BIGINT) AS bytes, row_number() OVER (ORDER BY CAST(p_size AS VARCHAR) || '/') - 1 AS image_id FROM part GROUP BY p_size""",
+    "listed_files": """SELECT * FROM (SELECT CAST(p_size AS BIGINT) AS p_size, CAST(sum(length(CAST(p_partkey AS VARCHAR)) + 1) AS BIGINT) AS bytes, row_number() OVER (ORDER BY CAST(p_size AS VARCHAR) || '/') - 1 AS image_id FROM part WHERE p_size NOT IN (3, 4) GROUP BY p_size)""",
     "rank_curves_file": """SELECT round(c_custkey * 1 / 1000, 3) AS Rank1, round(c_custkey * 2 / 1000, 3) AS Rank2, round(c_custkey * 3 / 1000, 3) AS Rank3, round(c_custkey * 4 / 1000, 3) AS Rank4, round(c_acctbal / 10000, 4) AS Percentage FROM customer""",
     "model_labels": """SELECT p_partkey AS label_id, p_partkey + 1000000 AS synset_id, p_name AS names FROM part""",
     "ordered_labels": """SELECT l_orderkey AS query_id, 2 - l_linenumber % 2 AS clause_no, l_partkey AS label_id, min(l_linenumber) AS first_position FROM lineitem GROUP BY ALL""",
     "postings_by_label": f"""WITH {POSTINGS} SELECT label_id, image_id, round(prob, 6) AS prob FROM postings WHERE label_id IN (7, 50, 101)""",
     "shuffled": f"""SELECT o_orderkey, row_number() OVER (ORDER BY {uniform("o_orderkey", "7")}, o_orderkey) - 1 AS place FROM orders""",
+    "top_page": f"""WITH {SUPPLIERS}, {IDF},
+      s AS (SELECT query_id, image_id, sum(prob * idf) AS score FROM query JOIN postings USING (label_id) JOIN idf USING (label_id) GROUP BY ALL),
+      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_id) AS rank FROM s)
+      SELECT query_id, image_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 70""",
+    "lists_sought": f"""WITH {POSTINGS} SELECT label_id, image_id, round(prob, 6) AS prob FROM postings JOIN part ON p_partkey = label_id WHERE p_brand = 'Brand#7'""",
+    "nearest_by_cells": f"""WITH {VECTORS}, d AS (SELECT q.image_id AS query_id, u.image_id, round(1 - list_inner_product(q.f, u.f), 9) AS distance FROM u q, u WHERE q.image_id % 100 = 0),
+      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, image_id) AS rank FROM d)
+      SELECT query_id, image_id, round(distance, 6) + 0.0 AS distance, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10""",
+    "find_words": """WITH w AS (SELECT DISTINCT lower(w) AS pattern FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE length(w) BETWEEN 5 AND 6),
+      p AS (SELECT doc_id, lower(text) AS t, unnest(range(length(text))) AS i FROM documents),
+      g AS (SELECT doc_id, i, substr(t, i + 1, 5) AS g FROM p UNION ALL SELECT doc_id, i, substr(t, i + 1, 6) FROM p)
+      SELECT pattern, count(*) AS hits, count(DISTINCT doc_id) AS texts, CAST(sum(i) AS BIGINT) AS total FROM g JOIN w ON g = pattern AND length(g) = length(pattern) GROUP BY ALL""",
+    "two_images_wide": f"""WITH {TWO} SELECT a.query_id, a.image_id, round(a.score * max(b.score), 6) AS score FROM one a JOIN two b ON a.query_id = b.query_id AND b.image_id BETWEEN a.image_id AND a.image_id + 499 GROUP BY a.query_id, a.image_id, a.score""",
+    "box_corners": """SELECT l_orderkey, l_linenumber, round(l_partkey % 1280 - l_quantity / 2, 6) AS x1, round(l_suppkey % 720 - l_tax * 100 / 2, 6) AS y1, round(l_partkey % 1280 + l_quantity / 2, 6) AS x2, round(l_suppkey % 720 + l_tax * 100 / 2, 6) AS y2 FROM lineitem""",
+    "sketched_quantiles": """SELECT i / 10 AS share, true AS within FROM range(11) r(i)""",
+    "dense_cooccurrence": f"""WITH {VECTORS}, e AS (SELECT image_id, unnest(range(len(f))) AS l, unnest(list_transform(f, lambda x: x * x)) AS s FROM v)
+      SELECT a.l AS label_i, b.l AS label_j, round(sum(a.s * b.s), 9) AS sum_xy FROM e a JOIN e b ON a.image_id = b.image_id AND a.l <= b.l GROUP BY ALL""",
+    "lloyd_clusters": f"""WITH {VECTORS}, {lloyd(3)} SELECT image_id, cluster FROM a""",
+    "cluster_members": f"""WITH {VECTORS}, {lloyd(3)} SELECT cluster, string_agg(CAST(image_id AS VARCHAR), ',' ORDER BY image_id) AS members FROM a GROUP BY ALL""",
+    "axes_places": f"""WITH {VECTORS}, {lloyd(3)}, {axes(5)},
+      r AS (SELECT 'vector' AS kind, image_id AS id, f FROM v UNION ALL SELECT 'centre', cluster, centre FROM c3),
+      p AS (SELECT kind, id, unnest(f) AS x, unnest(range(len(f))) AS pos FROM r)
+      SELECT kind, id, round(sum((p.x - m) * one.x), 6) AS x, round(sum((p.x - m) * two.x), 6) AS y FROM p JOIN mu USING (pos) JOIN one USING (pos) JOIN two USING (pos) GROUP BY kind, id""",
 }
+ORACLES["samples_once"] = ORACLES["sample_ids"]

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from tessera.functions import columns as C
 from tessera.functions.storage import scratch, settled
 from tessera.operators import boxes as B
+from tessera.operators import cells as N
 from tessera.operators import contest as X
 from tessera.operators import evaluation as E
+from tessera.operators import grouping as K
+from tessera.operators import impacts as I
 from tessera.operators import labels as L
+from tessera.operators import patterns as A
 from tessera.operators import postings as P
 from tessera.operators import ranking as R
 from tessera.operators import sampling as S
@@ -151,11 +155,13 @@ def query_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def detections_json(spark: SparkSession, d: str) -> DataFrame:
-    """Every order's boxes as a JSON object, parsed again."""
+    """Every order's boxes as a JSON object, written as text and read again."""
     b = D.boxes(spark, d)
     box = F.array(F.format_string('"%s"', F.lit("part")), F.col("score").cast("string"), F.concat(F.lit("["), F.concat_ws(", ", *[F.col(c).cast("string") for c in ("x1", "y1", "x2", "y2")]), F.lit("]")))
     lines = b.groupBy("image_id").agg(F.concat_ws(", ", F.array_sort(F.collect_list(F.concat(F.lit("["), F.concat_ws(", ", box), F.lit("]"))))).alias("all"))
-    out = T.parse_detections(lines.select(F.concat(F.lit('{"'), C.file_name(F.col("image_id")), F.lit('": ['), F.col("all"), F.lit("]}")).alias("value")))
+    path = scratch(spark)
+    lines.select(F.concat(F.lit('{"'), C.file_name(F.col("image_id")), F.lit('": ['), F.col("all"), F.lit("]}")).alias("value")).write.text(path)
+    out = T.read_detections(spark, path)
     return out.groupBy("file").agg(F.count("*").alias("boxes"), F.round(F.sum("prob"), 6).alias("prob"), F.round(F.sum("w"), 6).alias("w"))
 
 
@@ -392,7 +398,7 @@ def suggest_children(spark: SparkSession, d: str) -> DataFrame:
 def find_patterns(spark: SparkSession, d: str) -> DataFrame:
     """Hits of the patterns in all documents, counted by document and pattern."""
     patterns = spark.createDataFrame([("the",), ("th",), ("tion",), ("anan",), ("é",)], "pattern string")
-    out = G.find_patterns(D.read(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"), patterns)
+    out = A.find_patterns(D.read(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"), patterns)
     return out.groupBy("text_id", "pattern").agg(F.count("*").alias("hits"), F.min("start").alias("first"), F.sum("start").alias("total"))
 
 
@@ -459,12 +465,99 @@ def histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clusters(spark: SparkSession, d: str) -> DataFrame:
-    out = V.clusters(V.class_means(D.features(spark, d)), k=4, seed=42)
-    return out
+    """Classes, seeded and clustered; where SQL can't follow the seeding, see lloyd_clusters."""
+    return K.clusters(V.class_means(D.features(spark, d)), k=4, seed=42)[0]
+
+
+def _rounds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All vectors, their clusters, the centres: three rounds from the first four vectors."""
+    f = settled(D.features(spark, d).select("image_id", "features"))
+    start = f.where("image_id < 4").select(F.col("image_id").alias("cluster"), F.transform("features", lambda x: x.cast("double")).alias("centre"))
+    return f, *K.lloyd(f, settled(start), 3, "image_id")
+
+
+def lloyd_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return _rounds(spark, d)[1]
 
 
 def cluster_members(spark: SparkSession, d: str) -> DataFrame:
-    return V.cluster_members(V.clusters(V.class_means(D.features(spark, d)), k=4, seed=42))
+    out = K.cluster_members(_rounds(spark, d)[1], "image_id")
+    return out.select("cluster", F.concat_ws(",", F.transform("classes", lambda x: x.cast("string"))).alias("members"))
+
+
+def axes_places(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors and centres on two axes, after five rounds of iteration."""
+    f, _, centres = _rounds(spark, d)
+    mean, axes = K.principal_axes(f, 2, 5, "image_id")
+    rows = K.projected(f, "features", mean, axes).select(F.lit("vector").alias("kind"), F.col("image_id").alias("id"), "x", "y")
+    return r6(rows.unionByName(K.projected(centres, "centre", mean, axes).select(F.lit("centre").alias("kind"), F.col("cluster").alias("id"), "x", "y")), "x", "y")
+
+
+def dense_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
+    """Squared features as dense scores."""
+    scores = D.features(spark, d).select(F.transform("features", lambda x: x.cast("double") * x.cast("double")).alias("scores"))
+    return r9(K.gramian(scores), "sum_xy")
+
+
+def top_page(spark: SparkSession, d: str) -> DataFrame:
+    """The first 70 of every query, from the upper bands of long lists."""
+    path = scratch(spark)
+    p = settled(D.supplier_postings(spark, d))
+    I.write_impacts(p, path)
+    page, _ = I.top_page(spark, path, D.supplier_queries(spark, d), 70, settled(P.idf(P.label_sums(p))))
+    return r6(page, "score").select("query_id", "image_id", "score", "rank")
+
+
+def lists_sought(spark: SparkSession, d: str) -> DataFrame:
+    """Lists by parts of the labels, and those of brand 7 sought."""
+    path = scratch(spark)
+    I.write_impacts(D.postings(spark, d), path)
+    wanted = D.read(spark, d, "part").where("p_brand = 'Brand#7'").select(F.col("p_partkey").alias("label_id"))
+    return r6(I.seek(spark, path, wanted), "prob").select("label_id", "image_id", "prob")
+
+
+def nearest_by_cells(spark: SparkSession, d: str) -> DataFrame:
+    f = settled(D.features(spark, d).select("image_id", "features"))
+    q = f.where(F.col("image_id") % D.EVERY == 0).select(F.col("image_id").alias("query_id"), "image_id")
+    return r6(N.nearest_by_cells(q, f, 10)[0], "distance")
+
+
+def find_words(spark: SparkSession, d: str) -> DataFrame:
+    """All words of five and six letters of the benchmark in all documents, whatever the case."""
+    words = D.read(spark, d, "benchmark").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("w")).where("length(w) between 5 and 6").select(F.lower("w").alias("pattern")).distinct()
+    out = A.find_patterns(D.read(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"), words, ignore_case=True)
+    return out.groupBy("pattern").agg(F.count("*").alias("hits"), F.count_distinct("text_id").alias("texts"), F.sum("start").alias("total"))
+
+
+def two_images_wide(spark: SparkSession, d: str) -> DataFrame:
+    """As two_images, the second image within 500 orders."""
+    q = D.queries(spark, d).drop("target_id")
+    p = settled(D.postings(spark, d))
+    one = lambda c: R.scores(p, q.where(F.col("clause_no") == c))
+    return r6(R.two_image_scores(one(1), one(2), 500), "score")
+
+
+def samples_once(spark: SparkSession, d: str) -> DataFrame:
+    """Samples drawn and written at first, and read after that: the second call would draw others."""
+    path = scratch(spark)
+    images = D.read(spark, d, "orders").select(F.col("o_orderkey").alias("image_id"))
+    T.once(spark, path, lambda: S.sample_ids(images, 1000, 7, window=5))
+    return T.once(spark, path, lambda: S.sample_ids(images, 1000, 8, window=5))
+
+
+def box_corners(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as boxes by centre and size."""
+    items = D.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 1280).cast("double").alias("x"), (F.col("l_suppkey") % 720).cast("double").alias("y"), F.col("l_quantity").alias("w"), (F.col("l_tax") * 100).alias("h"))
+    return r6(B.to_corners(items).select("l_orderkey", "l_linenumber", "x1", "y1", "x2", "y2"), "x1", "y1", "x2", "y2")
+
+
+def sketched_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the sketch's quantiles lie between exact ones a hundredth of the rows away."""
+    pairs = settled(_pairs(spark, d, "cosine"))
+    exact = V.quantiles(pairs, 100).select(F.round(F.col("share") * 100).cast("int").alias("i"), F.col("distance").alias("at"))
+    found = V.sketched_quantiles(pairs, 10).select("share", "distance", F.round(F.col("share") * 100).cast("int").alias("i"))
+    near = found.join(exact, (exact["i"] >= found["i"] - 1) & (exact["i"] <= found["i"] + 1)).groupBy("share", "distance").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    return near.select(F.round("share", 6).alias("share"), F.col("distance").between(F.col("low"), F.col("high")).alias("within"))
 
 
 def sample_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -610,7 +703,9 @@ def listed_files(spark: SparkSession, d: str) -> DataFrame:
     """A text file for each size of parts, listed with numbers and lengths."""
     path = scratch(spark)
     part = D.read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("value"), "p_size")
+    # the parts of size 3 and 4 lose their texts: their files are empty
     part.repartition("p_size").write.partitionBy("p_size").text(path)
+    T.emptied(spark, [f"{path}/p_size={n}" for n in (3, 4)])
     out = T.non_empty(T.list_files(spark, path))
     return out.select(F.regexp_extract("path", r"p_size=(\d+)", 1).cast("bigint").alias("p_size"), F.col("length").alias("bytes"), "image_id")
 
@@ -659,7 +754,8 @@ QUERIES = {
         invert, label_sums, text_idf, cooccurrence, covariance, idf, image_distribution, label_positions, target_ranks, result_status, query_lengths, two_images, rank_two_images,
         sliding_max, fused, filtered_by_model, routed, rank_targets, rank_curve, exponential_fit, position_distribution, hit_histograms, accuracy, patch_accuracy, group_counts,
         exponential_average, box_average, monotone_average, suggest, suggest_children, find_patterns, class_means, nearest, knn_rank, relevance_feedback, feedback_grid, pairwise,
-        distance_summary, distance_quantiles, histogram, clusters, cluster_members, sample_ids, draw_labels, draw_positions, draw_mixed, query_prefixes, split_classes,
+        distance_summary, distance_quantiles, sketched_quantiles, histogram, clusters, lloyd_clusters, cluster_members, axes_places, dense_cooccurrence, top_page, lists_sought, nearest_by_cells,
+        find_words, two_images_wide, samples_once, box_corners, sample_ids, draw_labels, draw_positions, draw_mixed, query_prefixes, split_classes,
         first_per_class, filter_boxes, decode_boxes, non_maximum_suppression, occupancy, known_item_scores, ad_hoc_scores, overall_scores, sketch_scores, score_images, percentile_clip,
         annotations_table, scores_table, label_sums_table, synset_ids_file, category_mapping_file, listed_files, rank_curves_file, model_labels, ordered_labels, postings_by_label,
         shuffled, closest_shown,

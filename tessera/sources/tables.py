@@ -17,6 +17,8 @@ LABEL_SUMS = "label_id bigint, sum_prob double"
 COOCCURRENCE = "label_i bigint, label_j bigint, sum_xy double"
 #: Separator of a label line's fields and of its lists, and the mark of a label without a model class.
 FIELD, ITEM, HYPERNYM_ONLY = "~", "#", "H"
+#: Where the boxes of one file end in detections.
+DETECTIONS_END = "]]]"
 
 
 def _ints(field: Column) -> Column:
@@ -130,11 +132,22 @@ def parse_detections(lines: DataFrame) -> DataFrame:
 
 
 def read_detections(spark: SparkSession, path: str) -> DataFrame:
-    return parse_detections(spark.read.text(path, wholetext=True))
+    """The boxes of files of JSON objects {file: [[label, prob, [x, y, w, h]], ...], ...}, however long an object or a line is.
+
+    A key's boxes end with three brackets, and Spark's text reader takes those for
+    the ends of lines, so that ranges of bytes of one file are different tasks'. What lies between
+    is read as an object of its own; a key without boxes goes with the next one.
+    Brackets follow each other without spaces, and none in threes in a name; what is no JSON fails.
+    """
+    body = F.regexp_replace(F.regexp_replace("value", r"^[\s,{}]+", ""), r"[\s}]+$", "")
+    text = F.concat(F.lit("{"), F.col("body"), F.when(F.endswith("body", F.lit("]")), "").otherwise(DETECTIONS_END), F.lit("}"))
+    pieces = spark.read.option("lineSep", DETECTIONS_END).text(path).select(body.alias("body")).where("body != ''").select(text.alias("value"))
+    good = F.from_json("value", "map<string,string>").isNotNull() & F.endswith("value", F.lit("]}"))
+    return parse_detections(pieces.select(F.when(good, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("no detections: "), F.substring("value", 1, 100)))).alias("value")))
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, image_id (place in the sorted listing) of folder/file listings; contents are not read."""
+    """path, length, image_id (place in the sorted listing) of folder/file listings; contents are not read. Spark lists no empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     return dense_ids(files, "path", name="image_id")
 
@@ -143,6 +156,16 @@ def non_empty(files: DataFrame) -> DataFrame:
     return files.where("length > 0")
 
 
+def emptied(spark: SparkSession, folders: Sequence[str]) -> None:
+    """Puts an empty file in place of each file of these folders (a stated few)."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(path):
+            for status in files.listStatus(path):
+                files.create(status.getPath(), True).close()
+
+
 def class_eligibility(lines: DataFrame, least: int = 1000, most: int = 2999) -> DataFrame:
     """synset, images of release lines (value) with a number of images in the range, by synset."""
     found = lines.select(F.regexp_extract("value", r'wnid="(n[0-9]+)"', 1).alias("synset"), F.regexp_extract("value", r'numImages="([0-9]+)"', 1).cast("bigint").alias("images"))

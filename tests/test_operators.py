@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 import shutil
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
-from tessera.operators import boxes, evaluation, labels, postings, ranking, sampling, scan, suggest, vectors
+from tessera.operators import boxes, cells, evaluation, grouping, impacts, labels, patterns, postings, ranking, sampling, scan, suggest, vectors
 from tessera.plans import fixtures, queries
 from tessera.sources import tables
 
@@ -69,7 +70,7 @@ def test_empty_clause_returns_nothing(spark, small):
 def test_window_best_is_sliding_max(spark):
     values = {i: (i * 7919) % 101 for i in range(0, 60) if i % 3}
     df = spark.createDataFrame([(1, i, float(v)) for i, v in values.items()], "query_id bigint, image_id bigint, score double")
-    got = {r.image_id: r.best for r in ranking.window_best(df, 5, ["query_id"]).collect()}
+    got = {r.image_id: r.best for r in ranking.window_best(df.drop("score"), df, 5, ["query_id"]).collect()}
     for i in values:
         assert got[i] == max(values[j] for j in range(i, i + 5) if j in values)
 
@@ -110,7 +111,7 @@ def test_find_patterns_with_overlaps(spark):
     texts = {1: "ananas anan", 2: "nothing", 3: "an", 4: "é.*éé"}
     pats = ["anan", "an", ".*", "é"]
     df = spark.createDataFrame(list(texts.items()), "text_id bigint, text string")
-    got = {(r.text_id, r.pattern, r.start) for r in suggest.find_patterns(df, spark.createDataFrame([(p,) for p in pats], "pattern string")).collect()}
+    got = {(r.text_id, r.pattern, r.start) for r in patterns.find_patterns(df, spark.createDataFrame([(p,) for p in pats], "pattern string")).collect()}
     assert got == {(i, p, s) for i, t in texts.items() for p in pats for s in range(len(t)) if t.startswith(p, s)}
 
 
@@ -213,22 +214,181 @@ def test_queries_in_many_blocks(spark, monkeypatch, blocks):
 
 
 def test_clusters_against_numpy(spark, sf):
-    """Every class lies with the nearest of the clusters' means, and on the axes of most variance."""
+    """Every class lies with the nearest of the clusters' means, and on the axes of most variance, as the centres do."""
     means = vectors.class_means(fixtures.features(spark, sf))
     x = np.array([r.features for r in means.orderBy("class_id").collect()])
-    got = vectors.clusters(means, k=3, seed=42).orderBy("class_id").toPandas()
+    got, centred = grouping.clusters(means, k=3, seed=42)
+    got, centred = got.orderBy("class_id").toPandas(), centred.orderBy("cluster").toPandas()
     labels = got["cluster"].to_numpy()
-    centres = np.array([x[labels == c].mean(axis=0) for c in sorted(set(labels))])
-    assert (np.array(sorted(set(labels)))[((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)] == labels).all()
+    assert sorted(set(labels)) == [0, 1, 2]
+    centres = np.array([x[labels == c].mean(axis=0) for c in range(3)])
+    assert (((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1) == labels).all()
     _, _, axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
-    assert np.abs((x - x.mean(axis=0)) @ axes[:2].T) == pytest.approx(np.abs(got[["x", "y"]].to_numpy()), abs=1e-6)
-    members = vectors.cluster_members(vectors.clusters(means, k=3, seed=42)).collect()
+    for part, vectors_ in ((got, x), (centred, centres)):
+        assert np.abs((vectors_ - x.mean(axis=0)) @ axes[:2].T) == pytest.approx(np.abs(part[["x", "y"]].to_numpy()), abs=1e-6)
+    members = grouping.cluster_members(spark.createDataFrame(got)).collect()
     assert sorted(i for r in members for i in r.classes) == sorted(got["class_id"])
 
 
+def test_seeds_and_rounds(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([c + rng.normal(size=(40, 3)) / 50 for c in np.eye(3) * 4])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "class_id bigint, features array<double>")
+    start = grouping.seeds(rows, 3)
+    assert sorted(int(np.argmax(r.centre)) for r in start.collect()) == [0, 1, 2]  # one in each heap
+    found, centres = grouping.lloyd(rows, start, 10)
+    heaps = {}
+    for r in found.collect():
+        heaps.setdefault(r["cluster"], set()).add(r["class_id"] // 40)
+    assert sorted(map(sorted, heaps.values())) == [[0], [1], [2]]
+    # a centre that no row is nearest to stays, and ties go to the smaller number
+    two = spark.createDataFrame([(0, [0.0, 0.0, 0.0]), (1, [0.0, 0.0, 0.0]), (2, [99.0] * 3)], "cluster bigint, centre array<double>")
+    found, centres = grouping.lloyd(rows, two, 1)
+    assert {r["cluster"] for r in found.collect()} == {0, 1} - {0} or {r["cluster"] for r in found.collect()} <= {0, 1}
+    assert {r["cluster"]: list(r["centre"]) for r in centres.collect()}[2] == [99.0] * 3
+
+
+def test_gramian_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    x = rng.random((70, 11))
+    rows = spark.createDataFrame([(v.tolist(),) for v in x] + [(None,)], "scores array<double>").repartition(5)
+    got = {(r.label_i, r.label_j): r.sum_xy for r in grouping.gramian(rows, tile=4).collect()}
+    want = x.T @ x
+    assert got == {(i, j): pytest.approx(want[i, j]) for i in range(11) for j in range(i, 11)}
+
+
+def test_top_page_reads_upper_bands_only(spark, sf, tmp_path):
+    """The same rows as from whole lists, of fewer than half of the postings, for one clause; exact for more, with ties and few results."""
+    p = fixtures.supplier_postings(spark, sf).persist()
+    impacts.write_impacts(p, str(tmp_path), parts=8)
+    one = fixtures.supplier_queries(spark, sf)
+    weights = postings.idf(postings.label_sums(p))
+    two = one.withColumn("clause_no", (F.col("label_id") % 2).cast("int")).unionByName(spark.createDataFrame([(7, 1, 1), (7, 1, 999999), (8, 1, 2), (8, 2, None), (9, 1, 888888)], "query_id bigint, clause_no int, label_id bigint"))
+    for asked, k, idf in ((one, 70, weights), (two, 20, None), (two, 3, weights)):
+        page, report = impacts.top_page(spark, str(tmp_path), asked, k, idf, parts=8)
+        want = ranking.rank_frames(p, asked, idf, top=k)
+        values = lambda df: sorted((r.query_id, r["rank"], r.image_id, round(r.score, 9)) for r in df.collect())
+        assert values(page) == values(want)
+        read, total = report.agg(F.sum("read"), F.sum("total")).first()
+        assert read <= total and (asked is not one or 2 * read < total)
+    p.unpersist()
+
+
+def files_of(frame):
+    """Files that the scans of a plan that ran have opened."""
+    plan, found = frame._jdf.queryExecution().executedPlan(), []
+    plan.execute().count()
+    leaves = plan.collectLeaves()
+    for i in range(leaves.size()):
+        metrics = leaves.apply(i).metrics()
+        if metrics.contains("numFiles"):
+            found.append(metrics.apply("numFiles").value())
+    return found
+
+
+def test_seek_opens_the_labels_folders_only(spark, tmp_path):
+    rows = spark.range(20_000).select((F.col("id") % 500).alias("label_id"), F.col("id").alias("image_id"), F.lit(0.5).alias("prob"))
+    impacts.write_impacts(rows, str(tmp_path), parts=32)
+    wanted = spark.createDataFrame([(7, "a"), (9, "b"), (10**9, "c"), (None, "d")], "label_id bigint, note string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = impacts.seek(spark, str(tmp_path), wanted, parts=32)
+        assert {(r.label_id, r.note) for r in found.collect()} == {(7, "a"), (9, "b")} and found.count() == 80
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan  # the lists stay where they are
+        every = files_of(spark.read.schema(impacts.LISTS).parquet(f"{tmp_path}/lists"))
+        some = files_of(found)
+        assert max(some) <= 6 < max(every)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_nearest_by_cells_skips_and_is_exact(spark):
+    rng = np.random.default_rng(8)
+    heaps = rng.normal(size=(12, 16))
+    x = np.concatenate([h + rng.normal(size=(60, 16)) / 20 for h in heaps])
+    x[5] = x[6] = x[3]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "image_id bigint, features array<double>").repartition(4)
+    asked = spark.createDataFrame([(q, i) for q in range(0, 700, 50) for i in (q, q + 1)], "query_id bigint, image_id bigint")
+    for k in (1, 10, 200):
+        page, report = cells.nearest_by_cells(asked, rows, k, cells=24)
+        want = vectors.nearest(asked, rows, k)
+        values = lambda df: sorted((r.query_id, r["rank"], r.image_id, round(r.distance, 8)) for r in df.collect())
+        assert values(page) == values(want)
+        if k == 10:
+            visited, every = report.agg(F.sum("visited"), F.sum("rows")).first()
+            assert visited < 0.4 * every
+    page, _ = cells.nearest_by_cells(asked.limit(2), rows.limit(5), 9, cells=3)
+    assert page.count() <= 10
+
+
+def test_automaton_against_search():
+    rng = random.Random(2)
+    for _ in range(60):
+        letters = "abcXÉé漢"[: rng.randint(2, 7)]
+        wanted = list({"".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 12))})
+        texts = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 5, 60]))) for _ in range(rng.randint(1, 5))] + ["".join(rng.choice(letters) for _ in range(2 * patterns.STRETCH + 9))]
+        for ignore in (False, True):
+            codes = [patterns.code_points(t) for t in texts]
+            ends = np.cumsum([len(c) for c in codes])
+            whole = np.concatenate(codes)
+            text, end, which = patterns.Automaton(wanted, ignore).find(patterns.folded(whole) if ignore else whole, ends)
+            got = sorted((int(t), wanted[w], int(e - len(wanted[w]) - ends[t] + len(codes[t]))) for t, e, w in zip(text, end, which, strict=True))
+            low = str.lower if ignore else str
+            assert got == sorted((i, p, s) for i, t in enumerate(texts) for p in wanted for s in range(len(t)) if low(t).startswith(low(p), s))
+
+
+def test_patterns_in_several_automata(spark):
+    texts = [(1, "The THE other"), (2, None), (3, ""), (None, "then")]
+    frame = spark.createDataFrame(texts, "text_id bigint, text string")
+    asked = spark.createDataFrame([("the",), ("he",), ("the",), ("",), (None,), ("Oth",)], "pattern string")
+    for most in (8, 1 << 20):
+        got = [tuple(r) for r in patterns.find_patterns(frame, asked, ignore_case=True, most_bytes=most).collect()]
+        assert sorted(got, key=repr) == sorted([(i, p, s) for i, t in texts if t for p in ("the", "he", "Oth") for s in range(len(t)) if t.lower().startswith(p.lower(), s)], key=repr)
+    assert patterns.find_patterns(frame, asked, most_bytes=8).where("pattern = 'the'").count() == 2
+    with pytest.raises(Exception, match="no detections|INVALID_ARRAY_INDEX"):
+        spark.createDataFrame([('{"a": [["x", 0.5, [1',)], "value string").coalesce(1).write.mode("overwrite").text(f"{patterns_dir(spark)}/bad")
+        tables.read_detections(spark, f"{patterns_dir(spark)}/bad").collect()
+
+
+def patterns_dir(spark):
+    from tessera.functions.storage import scratch
+
+    if "dir" not in _HELD:
+        _HELD["dir"] = scratch(spark)
+    return _HELD["dir"]
+
+
+_HELD = {}
+
+
+def test_detections_of_one_line_are_many_tasks(spark, tmp_path):
+    want = {f"f{i}.jpg": [[f"l{j}", j / 10, [i, j, 3.5, 4]] for j in range(i % 4)] for i in range(2000)}
+    (tmp_path / "one.json").write_text(json.dumps(want))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found = tables.read_detections(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() > 3
+        got = sorted((r.file, r.box_no, r.label, r.prob, r.x, r.y, r.w, r.h) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted((f, k, b[0], b[1], *map(float, b[2])) for f, own in want.items() for k, b in enumerate(own))
+
+
+def test_grams_find_what_contains_finds(spark):
+    rng = random.Random(4)
+    rows = [(i, ["".join(rng.choice("abÉc ") for _ in range(rng.randint(0, 9))) for _ in range(2)], None if i % 9 == 0 else "".join(rng.choice("abc") for _ in range(rng.randint(0, 6)))) for i in range(120)]
+    labels_ = spark.createDataFrame(rows, "synset_id bigint, names array<string>, description string")
+    terms = ["a", "AB", "abc", "é", "c b", "bcab", "zzz"]
+    found = suggest.gram_matches(labels_, spark.createDataFrame([(t,) for t in terms], "wanted string"))
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.wanted, r.synset_id) for r in found.collect())
+    assert got == sorted((t, i) for t in terms for i, names, d in rows if t.lower() in ", ".join(names).lower() or t.lower() in (d or "").lower())
+
+
 def test_find_patterns_of_repeated_ids(spark):
     texts = spark.createDataFrame([(1, "anananan"), (1, "xan"), (2, "é an")], "text_id bigint, text string")
-    got = sorted(map(tuple, suggest.find_patterns(texts, spark.createDataFrame([("anan",), ("an",)], "pattern string")).collect()))
+    got = sorted(map(tuple, patterns.find_patterns(texts, spark.createDataFrame([("anan",), ("an",)], "pattern string")).collect()))
     assert got == sorted([(1, "anan", 0), (1, "anan", 2), (1, "anan", 4), (1, "an", 0), (1, "an", 2), (1, "an", 4), (1, "an", 6), (1, "an", 1), (2, "an", 2)])
 
 
