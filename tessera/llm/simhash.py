@@ -175,9 +175,7 @@ def whole_hashes(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     some = np.flatnonzero(n)
     if len(some):
         first = np.cumsum(n) - n
-        up = wordhash.powers(int(n.max()))[0]
-        with np.errstate(over="ignore"):
-            out[some] = mix(np.add.reduceat(h * up[np.arange(len(h)) - np.repeat(first, n)], first[some]) + n[some].astype(np.uint64))
+        out[some] = wordhash.sequence_hashes(h, first[some], np.arange(len(h)) - np.repeat(first, n), n[some])
     return out.view(np.int64)
 
 

@@ -11,7 +11,7 @@ from tessera.llm.bloom import mix
 
 #: Bytes of text worked on at once; longer pieces only where one line is longer.
 PIECE = 1 << 20
-#: Bytes hashed at once, and the base of the polynomial (odd, so that it has an inverse modulo 2^64).
+#: Bytes hashed at once, and the base of candidates' keys (odd, so that it has an inverse modulo 2^64).
 BLOCK, BASE = 1 << 18, 0x9E3779B97F4A7C15
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: ASCII lower case; white space becomes a space, all else stays.
@@ -38,22 +38,31 @@ def word_places(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashes(u: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, the same wherever it stands."""
+    """A 64-bit hash of each word, the same wherever it stands: its bytes, each mixed with its place in the word, summed and mixed.
+
+    A sum of powers would give words of a regular build (Thue-Morse) one hash.
+    """
     out = np.empty(len(starts), np.uint64)
     a = 0
     with np.errstate(over="ignore"):
         while a < len(starts):
             b = max(a + 1, int(np.searchsorted(ends, starts[a] + BLOCK, "right")))
-            first, last = int(starts[a]), int(ends[b - 1])
-            up, down = powers(last - first + 1)
-            sums = np.zeros(last - first + 1, np.uint64)
-            np.cumsum((u[first:last].astype(np.uint64) + np.uint64(1)) * up[: last - first], out=sums[1:])
-            at, to = starts[a:b] - first, ends[a:b] - first
-            out[a:b] = mix((sums[to] - sums[at]) * down[at] + (to - at).astype(np.uint64))
+            size = ends[a:b] - starts[a:b]
+            first = np.cumsum(size) - size
+            place = np.arange(int(size.sum()))
+            inside = place - np.repeat(first, size)
+            value = mix(inside.astype(np.uint64) << np.uint64(8) | u[inside + np.repeat(starts[a:b], size)])
+            out[a:b] = mix(np.add.reduceat(value, first) + size.astype(np.uint64))
             a = b
     return out
 
 
+def sequence_hashes(h: np.ndarray, first: np.ndarray, place: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of each run of word hashes that begins at `first` and has n words; place: each word's in its run."""
+    with np.errstate(over="ignore"):
+        return mix(np.add.reduceat(mix(h + mix(place.astype(np.uint64) + np.uint64(1))), first) + n.astype(np.uint64))
+
+
 def shingles(h: np.ndarray, width: int) -> np.ndarray:
     """A hash of each run of `width` words of one array; the array's own length less width - 1."""
     n = len(h) - width + 1

@@ -364,3 +364,18 @@ def test_native_plan_of_decontamination(spark):
     bench = spark.createDataFrame([(1, cases.sentence(random.Random(1), 30))], "item_id bigint, text string")
     plan = decontamination.contamination(docs, bench)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|ArrowEval|MapInArrow", plan) and F is not None
+
+
+def test_texts_of_a_regular_build_have_hashes_of_their_own(spark):
+    """Thue-Morse words and their complements, of letters and of words: sums of powers modulo 2^64 can't tell them apart."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    words = ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+    lines = [" ".join(("left", "right")[b ^ flip] for b in bits) for flip in (0, 1)]
+    h, n = wordhash.words_of([w.encode() for w in words])
+    assert h[0] != h[1] and n.tolist() == [1, 1]
+    h, n = wordhash.words_of([x.encode() for x in lines])
+    assert simhash.whole_hashes(h, n)[0] != simhash.whole_hashes(h, n)[1]
+    found = line_dedup.Lines(np.frombuffer("\n".join(lines).encode(), np.uint8))
+    assert len(set(found.line_hash().tolist())) == 2
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id bigint, text string")
+    assert [r.n_removed for r in line_dedup.dedup_lines(docs).collect()] == [0, 0]
