@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.storage import discard, settled
@@ -85,3 +86,18 @@ def dense_ids(df: DataFrame, *order: str | Column, name: str = "dense_id", start
         total += r["count"]
     offsets = df.sparkSession.createDataFrame(before, "_pid int, _before bigint")
     return placed.join(F.broadcast(offsets), "_pid").withColumn(name, F.col("_before") + F.col("_at")).drop("_pid", "_at", "_before")
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str) -> DataFrame:
+    """df with name: the sum of value over the rows of the same keys up to this one, in the order of a column without ties.
+
+    Rows are dealt by ranges of (keys, order) and summed there; what earlier ranges
+    hold of the same keys is added, so that a key of very many rows is many tasks'.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = settled(df.repartitionByRange(n, *keys, order).withColumn("_pid", F.spark_partition_id()))
+    held = placed.groupBy(*keys, "_pid").agg(F.sum(value).alias("_held"))
+    earlier = F.sum("_held").over(W.partitionBy(*keys).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1))
+    before = held.select(*keys, "_pid", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    inside = F.sum(value).over(W.partitionBy("_pid", *keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    return placed.withColumn(name, inside).join(before, [*keys, "_pid"]).withColumn(name, F.col(name) + F.col("_before")).drop("_pid", "_before")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.functions.columns import running_sum
 from tessera.functions.storage import settled
 from tessera.operators.postings import label_positions
 from tessera.operators.ranking import target_ranks, two_image_scores
@@ -58,10 +59,10 @@ def _rounded(scores: DataFrame, digits: int | None) -> DataFrame:
 
 def rank_curve(ranks: DataFrame) -> DataFrame:
     """config, rank, percent: share of all queries ranked at or above; null ranks count in the total only."""
-    per = ranks.groupBy("config", "rank").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(W.partitionBy("config"))
-    sofar = F.sum("n").over(W.partitionBy("config").orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
-    return per.withColumn("total", total).where("rank is not null").withColumn("percent", sofar / F.col("total") * 100).select("config", "rank", "percent")
+    totals = ranks.groupBy("config").agg(F.count("*").alias("total"))
+    per = ranks.where("rank is not null").groupBy("config", "rank").agg(F.count("*").alias("n"))
+    sofar = running_sum(per, ["config"], "rank", "n", "sofar")
+    return sofar.join(totals, "config").select("config", "rank", (F.col("sofar") / F.col("total") * 100).alias("percent"))
 
 
 def chosen_positions(postings: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions.columns import dense_ids, uniform
+from tessera.functions.storage import settled
 
 
 def sample_ids(images: DataFrame, n: int, seed: int, window: int | None = None) -> DataFrame:
@@ -67,17 +68,21 @@ def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def first_per_class(rows: DataFrame, class_column: str, order: str, n: int) -> DataFrame:
-    """The first n rows of each class."""
+    """The first n rows of each class; a task passes on n rows a class at most (the window's group limit)."""
     return rows.withColumn("_rn", F.row_number().over(W.partitionBy(class_column).orderBy(order))).where(F.col("_rn") <= n).drop("_rn")
 
 
 def split_classes(rows: DataFrame, class_column: str, order: str, skip: float, take: float) -> DataFrame:
     """Of each class the rows after `skip` of them, `take` many (0 or less: all the rest).
 
-    Numbers under 1 are shares of the class, others are counts.
+    Numbers under 1 are shares of the class, others are counts. Rows are numbered
+    over ranges of (class, order); a row's number in its class is its own less the
+    class's first, so that a class of any size is many tasks'.
     """
-    over = W.partitionBy(class_column)
-    n, rn = F.count("*").over(over), F.row_number().over(over.orderBy(order))
+    numbered = settled(dense_ids(rows, class_column, order, name="_n"))
+    sizes = numbered.groupBy(F.col(class_column).alias("_class")).agg(F.min("_n").alias("_first"), F.count("*").alias("_size"))
+    placed = numbered.join(sizes, F.col(class_column).eqNullSafe(F.col("_class")))
+    n, rn = F.col("_size"), F.col("_n") - F.col("_first") + 1
     skipped = F.round(n * skip) if 0 < skip < 1 else F.lit(float(skip))
     taken = F.round(n * take) if 0 < take < 1 else F.lit(float(take)) if take > 0 else n
-    return rows.withColumn("_rn", rn).withColumn("_from", skipped).withColumn("_to", skipped + taken).where("_rn > _from and _rn <= _to").drop("_rn", "_from", "_to")
+    return placed.where((rn > skipped) & (rn <= skipped + taken)).select(*[F.col(f"`{c}`") for c in rows.columns])

@@ -11,8 +11,8 @@ from pyspark.sql import Window as W
 from tessera.functions.columns import cosine_distance, dense_ids, dot, exact_quantiles
 from tessera.functions.storage import discard, settled
 
-#: Queries of a block; parts that a block of queries is sent to where all blocks are too many to broadcast; blocks up to which they are.
-QUERIES, SALTS, MOST_BLOCKS = 512, 64, 64
+#: Queries of a block; blocks and bytes that are broadcast at once at most.
+QUERIES, MOST_BLOCKS, SENT_BYTES = 512, 64, 64 << 20
 #: Digits to which distances are compared, so that equal vectors tie whatever the order of sums.
 DIGITS = 9
 
@@ -29,9 +29,13 @@ def query_vectors(queries: DataFrame, vectors: DataFrame) -> DataFrame:
 
     The sum of cosine distances to n vectors is n less the product with this sum.
     """
+    return unit_sums(queries.join(vectors.select("image_id", "features"), "image_id"))
+
+
+def unit_sums(chosen: DataFrame) -> DataFrame:
+    """query_id, n, unit of each query's vectors (query_id, features)."""
     norm = F.sqrt(F.aggregate("features", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = vectors.select("image_id", F.transform("features", lambda x: x.cast("double")).alias("f"), norm.alias("norm"))
-    each = queries.join(unit, "image_id").select("query_id", "image_id", F.posexplode("f").alias("pos", "x"), "norm")
+    each = chosen.select("query_id", F.posexplode(F.transform("features", lambda x: x.cast("double"))).alias("pos", "x"), norm.alias("norm"))
     sums = each.groupBy("query_id", "pos").agg(F.sum(F.col("x") / F.col("norm")).alias("x"), F.count("*").alias("n"))
     return sums.groupBy("query_id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("f")).select("query_id", "n", F.transform("f", lambda s: s["x"]).alias("unit"))
 
@@ -40,13 +44,15 @@ def _scan(sums: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """query_id, target_id, own, nearer, least, tops: a row for each query and block of vectors.
 
     sums: query_id, n, unit, target_id, own. Queries are packed into blocks, and
-    so are vectors; each block of queries meets all blocks of vectors by a join,
-    broadcast if the blocks are few. A task multiplies two blocks as matrices.
+    so are vectors. Blocks of queries are broadcast in groups of SENT_BYTES at
+    most, each of which takes a scan of the vectors; vectors are not shuffled. A
+    task multiplies two blocks as matrices.
     tops are the k nearest (distance, image_id) of the block.
     """
     numbered = dense_ids(sums, "query_id", name="_n").withColumn("block", F.floor(F.col("_n") / QUERIES).cast("int"))
-    blocks = settled(numbered.groupBy("block").agg(F.collect_list(F.struct("query_id", "n", "unit", "target_id", "own")).alias("queries")))
-    count = blocks.count()
+    blocks = settled(numbered.groupBy("block").agg(F.collect_list(F.struct("query_id", "n", "unit", "target_id", "own")).alias("queries"), F.max(F.size("unit")).alias("width")))
+    count, width = blocks.agg(F.count("*"), F.coalesce(F.max("width"), F.lit(1))).first()
+    at_once = max(1, min(MOST_BLOCKS, SENT_BYTES // (16 * QUERIES * width)))
 
     def pack(frames):
         for frame in frames:
@@ -54,11 +60,11 @@ def _scan(sums: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
                 yield pd.DataFrame({"ids": [frame["image_id"].to_numpy()], "features": [np.concatenate(frame["features"].to_numpy()).astype(float)]})
 
     packed = vectors.select("image_id", "features").mapInPandas(pack, "ids array<bigint>, features array<double>")
-    packed = packed.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, count - 1)))))
-    if count <= MOST_BLOCKS:
-        met = packed.join(F.broadcast(blocks), "block")
-    else:
-        met = packed.join(blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["block", "salt"])
+    met = None
+    for first in range(0, max(1, count), at_once):  # one scan of the vectors for each group of blocks
+        own = blocks.where(F.col("block").between(first, first + at_once - 1)).select("queries")
+        part = packed.crossJoin(F.broadcast(own))  # a stated query set against all rows, in blocks of bounded bytes
+        met = part if met is None else met.unionByName(part)
 
     def multiply(frames):
         for frame in frames:
@@ -101,22 +107,37 @@ def knn_rank(queries: DataFrame, vectors: DataFrame, targets: DataFrame, top: in
     task returns, for each query, how many of its images are nearer and the
     smallest distance. gap is the target's distance less the smallest.
     """
-    goal = vectors.select(F.col("image_id").alias("target_id"), F.transform("features", lambda x: x.cast("double")).alias("f"))
-    product = dot(F.col("unit"), F.col("f")) / F.sqrt(dot(F.col("f"), F.col("f")))
-    sums = query_vectors(queries, vectors).join(targets.select("query_id", "target_id"), "query_id").join(goal, "target_id")
-    sums = sums.select("query_id", "n", "unit", "target_id", F.round(F.col("n") - product, DIGITS).alias("own"))
-    scanned = settled(_scan(sums, vectors, top))
+    return _ranks(query_vectors(queries, vectors), goals(targets, vectors), vectors, top)
+
+
+def goals(targets: DataFrame, vectors: DataFrame) -> DataFrame:
+    """query_id, target_id, goal (the target's vector) of targets that have one."""
+    return targets.select("query_id", "target_id").join(vectors.select(F.col("image_id").alias("target_id"), F.col("features").alias("goal")), "target_id").select("query_id", "target_id", "goal")
+
+
+def _ranks(sums: DataFrame, wanted: DataFrame, vectors: DataFrame, top: int) -> tuple[DataFrame, DataFrame | None]:
+    goal = F.transform("goal", lambda x: x.cast("double"))
+    product = dot(F.col("unit"), goal) / F.sqrt(dot(goal, goal))
+    own = sums.join(wanted, "query_id").select("query_id", "n", "unit", "target_id", F.round(F.col("n") - product, DIGITS).alias("own"))
+    scanned = settled(_scan(own, vectors, top))
     ranks = scanned.groupBy("query_id", "target_id").agg((F.sum("nearer") + 1).alias("rank"), F.greatest(F.lit(0.0), F.round(F.first("own") - F.min("least"), DIGITS - 1)).alias("gap"))
     return ranks, (_first(scanned, top) if top else None)
 
 
 def closest_shown(ranking: DataFrame, targets: DataFrame, vectors: DataFrame, disp_size: int, n_closest: int) -> DataFrame:
     """query_id, image_id: of the first disp_size images of each ranking the n_closest to the target."""
-    shown = ranking.where(F.col("rank") <= disp_size).select("query_id", "image_id").join(targets, "query_id")
-    goal = vectors.select(F.col("image_id").alias("target_id"), F.col("features").alias("goal"))
-    away = shown.join(vectors, "image_id").join(goal, "target_id").withColumn("away", F.round(cosine_distance(F.col("features"), F.col("goal")), DIGITS))
+    return _closest(_shown(ranking, vectors, disp_size), goals(targets, vectors), n_closest).select("query_id", "image_id")
+
+
+def _shown(ranking: DataFrame, vectors: DataFrame, disp_size: int) -> DataFrame:
+    """query_id, image_id, features of what is shown: a bounded number of rows a query, found in one read of the vectors."""
+    return ranking.where(F.col("rank") <= disp_size).select("query_id", "image_id").join(vectors.select("image_id", "features"), "image_id")
+
+
+def _closest(shown: DataFrame, wanted: DataFrame, n_closest: int) -> DataFrame:
+    away = shown.join(wanted, "query_id").withColumn("away", F.round(cosine_distance(F.col("features"), F.col("goal")), DIGITS))
     order = F.row_number().over(W.partitionBy("query_id").orderBy("away", "image_id"))
-    return away.withColumn("place", order).where(F.col("place") <= n_closest).select("query_id", "image_id")
+    return away.withColumn("place", order).where(F.col("place") <= n_closest).select("query_id", "image_id", "features")
 
 
 def relevance_feedback(ranking: DataFrame, targets: DataFrame, vectors: DataFrame, disp_size: int, n_closest: int, rounds: int) -> DataFrame:
@@ -124,19 +145,22 @@ def relevance_feedback(ranking: DataFrame, targets: DataFrame, vectors: DataFram
 
     All queries go through a round together: choose from what is shown, rank by
     the chosen, keep the first disp_size. A query whose target is as near as the
-    best (gap 0) stops, and its last rank fills its later rounds. Only rankings
-    of disp_size rows and one row a target live from round to round, written.
+    best (gap 0) stops, and its last rank fills its later rounds. The targets'
+    vectors are taken once; a round looks up the vectors of what is shown and
+    scans all of them once. Only disp_size rows a query and one row a target live
+    from round to round, written.
     """
-    shown, active, out = ranking, settled(targets), None
+    shown, active, out = ranking, settled(goals(targets, vectors)), None
     for at in range(1, rounds + 1):
-        chosen = settled(closest_shown(shown, active, vectors, disp_size, n_closest))
-        ranks, first = knn_rank(chosen, vectors, active, top=disp_size)
+        chosen = _closest(_shown(shown.join(active.select("query_id"), "query_id", "left_semi"), vectors, disp_size), active, n_closest)
+        ranks, first = _ranks(unit_sums(chosen), active, vectors, disp_size)
         ranks, before = settled(ranks.withColumn("round", F.lit(at))), shown
-        shown = settled(first)
-        if at > 1:
-            discard(before)
         out = ranks if out is None else out.unionByName(ranks)
-        active = settled(active.join(ranks.where("gap > 0").select("query_id"), "query_id", "left_semi"))
+        if at < rounds:
+            shown = settled(first)
+            active = settled(active.join(ranks.where("gap > 0").select("query_id"), "query_id", "left_semi"))
+        if 1 < at < rounds:
+            discard(before)
     if out is None:
         raise ValueError("rounds must be 1 or more")
     last = out.groupBy("query_id", "target_id").agg(F.max_by(F.struct("rank", "gap"), "round").alias("x"), F.max("round").alias("last"))

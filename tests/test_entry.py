@@ -22,8 +22,11 @@ def test_the_rest_works_without_the_corpus_operators(tmp_path):
     )
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env=env)
+    # a folder with nothing but compiled files, as deleting the sources leaves it
+    (tmp_path / "tessera/llm/__pycache__").mkdir(parents=True)
+    (tmp_path / "tessera/llm/__pycache__/registry.cpython-313.pyc").write_bytes(b"x")
+    (tmp_path / "corpus_pipeline.py").write_text("ORACLE_SQL = None\nrun = None")
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env=env)
     # a fault inside the operators is not taken for their absence
-    (tmp_path / "tessera/llm").mkdir()
     (tmp_path / "tessera/llm/registry.py").write_text("import no_such_module")
-    (tmp_path / "corpus_pipeline.py").write_text("ORACLE_SQL = None\nrun = None")
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True).returncode

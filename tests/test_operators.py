@@ -198,7 +198,7 @@ def test_vectors_against_numpy(spark):
         assert a < b and d == pytest.approx(np.linalg.norm(x[a] - x[b]))
 
 
-@pytest.mark.parametrize("blocks", [64, 0])
+@pytest.mark.parametrize("blocks", [64, 2, 0])
 def test_queries_in_many_blocks(spark, monkeypatch, blocks):
     monkeypatch.setattr(vectors, "QUERIES", 3)
     monkeypatch.setattr(vectors, "MOST_BLOCKS", blocks)
