@@ -14,7 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -86,7 +86,9 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.end, self.drop, self.weight = ["#page"], [-1], [0], [False], [1.0]
         self.text: list[tuple[int, str]] = []  # node, text; node -1 ends a block
-        open_nodes, open_tags = [0], Counter()
+        open_nodes: list[int] = [0]
+        depths: defaultdict[str, list[int]] = defaultdict(list)  # of the open nodes of each tag
+        blocks: list[int] = []  # depths of the open block elements other than p
         at = inside = 0
         while True:
             found = TAG.search(source, at)
@@ -102,31 +104,22 @@ class Page:
             if tag in BLOCK:
                 self.text.append((-1, ""))
             if found[1] or found[4]:
-                if open_tags[tag]:
-                    while True:
-                        node = open_nodes.pop()
-                        open_tags[self.tag[node]] -= 1
-                        self.end[node] = len(self.tag)
-                        inside -= self.tag[node] in ("article", "main")
-                        if self.tag[node] == tag:
-                            break
+                if depths[tag]:
+                    inside -= self._close(depths[tag][-1], open_nodes, depths, blocks)
                 continue
             closed, bounds = CLOSES.get(tag, ((), ()))
             if tag in PARAGRAPH_END:
                 closed = (*closed, "p")
-            if any(open_tags[x] for x in closed):
-                for depth in range(len(open_nodes) - 1, 0, -1):
-                    name = self.tag[open_nodes[depth]]
-                    if name in closed:
-                        for node in open_nodes[depth:]:
-                            self.end[node] = len(self.tag)
-                            open_tags[self.tag[node]] -= 1
-                            inside -= self.tag[node] in ("article", "main")
-                        del open_nodes[depth:]
-                        if tag not in CLOSES or name != "p":
-                            break
-                    elif name in bounds or (name in BLOCK and tag not in CLOSES):
-                        break
+            while True:
+                # the nearest node to close and the nearest that bounds the search, without a walk over what is open
+                depth = max((depths[x][-1] for x in closed if depths[x]), default=0)
+                bound = max([depths[x][-1] for x in bounds if depths[x]] + ([] if tag in CLOSES else blocks[-1:]), default=0)
+                if not depth or depth < bound:
+                    break
+                name = self.tag[open_nodes[depth]]
+                inside -= self._close(depth, open_nodes, depths, blocks)
+                if tag not in CLOSES or name != "p":
+                    break
             node = len(self.tag)
             self.tag.append(tag)
             self.parent.append(open_nodes[-1])
@@ -141,12 +134,27 @@ class Page:
                     at = (source.find(">", at) + 1) or len(source)
                 self.drop[node] = True
             elif tag not in VOID and not attributes.endswith("/"):
+                depths[tag].append(len(open_nodes))
+                if tag in BLOCK and tag != "p":
+                    blocks.append(len(open_nodes))
                 open_nodes.append(node)
-                open_tags[tag] += 1
                 inside += tag in ("article", "main")
         for node in open_nodes:
             self.end[node] = len(self.tag)
 
+    def _close(self, depth: int, open_nodes: list[int], depths: dict[str, list[int]], blocks: list[int]) -> int:
+        """Ends the open nodes from this depth on; how many of them hold an article."""
+        articles = 0
+        while len(open_nodes) > depth:
+            node = open_nodes.pop()
+            tag = self.tag[node]
+            depths[tag].pop()
+            if tag in BLOCK and tag != "p":
+                blocks.pop()
+            self.end[node] = len(self.tag)
+            articles += tag in ("article", "main")
+        return articles
+
 
 def sizes(page: Page) -> tuple[list[int], list[int], list[int], list[int]]:
     """Characters, characters in links, tags and links of each node with all below it; none of what is dropped."""

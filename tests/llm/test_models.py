@@ -242,6 +242,13 @@ def test_pages_that_never_end_take_linear_time(page):
     assert time.process_time() - began < 10
 
 
+@pytest.mark.parametrize("page", ["<ul><li><ul>" + "<div>" * 20_000 + "<li>x</li>" * 20_000, "<dl><dd><dl>" + "<span>" * 20_000 + "<dd>x</dd>" * 20_000])
+def test_items_far_below_what_bounds_them_take_linear_time(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 10
+
+
 def test_filter_never_reads_low():
     rng = np.random.default_rng(5)
     h = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
