@@ -364,3 +364,21 @@ def test_pipeline_stages(spark, sf):
 def test_pipeline_runs(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
+
+
+def test_scores_are_the_same_whether_the_filter_is_broadcast(spark):
+    docs, _ = cases.documents(spark)
+    learn = ~lm_scoring.held_out()
+    rows = [cases.order(map(tuple, lm_scoring.score(docs, learn, most_broadcast=most).collect())) for most in (1 << 25, 0)]
+    assert rows[0] == rows[1] and len(rows[0]) == docs.count()
+
+
+def test_learned_pairs_travel_once_a_task_and_owner(spark, monkeypatch):
+    """Not once a block: more blocks of text are no more messages."""
+    rows = spark.createDataFrame([(i, cases.sentence(random.Random(i), 400)) for i in range(60)], "doc_id bigint, text string").coalesce(2).withColumn("learn", F.lit(True))
+    for size in (1 << 23, 4000):
+        monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", size)
+        sent = lm_scoring.blocks(rows, 8).groupBy("kind").count().collect()
+        sent = {r["kind"]: r["count"] for r in sent}
+        assert sent[lm_scoring.PAIRS] <= 2 * 8
+    assert sent[lm_scoring.TEXTS] > 10
