@@ -467,3 +467,30 @@ def test_model_scan(spark):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(__import__("tessera.plans.oracles", fromlist=["ORACLES"]).ORACLES)))
 def test_queries_without_sql_run(spark, sf, name):
     assert queries.QUERIES[name](spark, sf).count() > 0
+
+
+def test_running_sums_of_one_large_key(spark):
+    rng = random.Random(6)
+    rows = [("big", i, rng.randint(0, 9)) for i in range(3000)] + [(f"k{i}", j, 1) for i in range(20) for j in range(3)]
+    rng.shuffle(rows)
+    got = C.running_sum(spark.createDataFrame(rows, "k string, o int, v int"), ["k"], "o", "v", "upto")
+    want, sofar = [], {}
+    for k, o, v in sorted(rows):
+        sofar[k] = sofar.get(k, 0) + v
+        want.append((k, o, v, sofar[k]))
+    assert sorted((r.k, r.o, r.v, r.upto) for r in got.collect()) == want
+
+
+def test_models_are_loaded_once_a_worker():
+    calls = []
+
+    def load():
+        calls.append(1)
+        return lambda frame: frame.assign(n=len(frame))
+
+    scan.MODELS.clear()
+    for _ in range(3):
+        assert scan.loaded("a", load)(pd.DataFrame({"x": [1, 2]}))["n"].tolist() == [2, 2]
+    for name in "bcd":
+        scan.loaded(name, load)
+    assert len(calls) == 4 and len(scan.MODELS) == scan.MOST_MODELS
