@@ -13,6 +13,9 @@ from tessera.llm.bloom import mix
 PIECE = 1 << 20
 #: Bytes hashed at once, and the base of candidates' keys (odd, so that it has an inverse modulo 2^64).
 BLOCK, BASE = 1 << 18, 0x9E3779B97F4A7C15
+#: Places in a word whose bytes' mixed values are looked up instead of computed.
+PLACES = 256
+_MIXED = mix(np.arange(PLACES << 8, dtype=np.uint64))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: ASCII lower case; white space becomes a space, all else stays.
 PLAIN = bytes(32 if c in b" \t\n\v\f\r" else ord(chr(c).lower()) if c < 128 else c for c in range(256))
@@ -51,7 +54,11 @@ def hashes(u: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
             first = np.cumsum(size) - size
             place = np.arange(int(size.sum()))
             inside = place - np.repeat(first, size)
-            value = mix(inside.astype(np.uint64) << np.uint64(8) | u[inside + np.repeat(starts[a:b], size)])
+            byte = inside << 8 | u[inside + np.repeat(starts[a:b], size)]
+            value = _MIXED[byte & ((PLACES << 8) - 1)]
+            if size.max() > PLACES:
+                far = np.flatnonzero(inside >= PLACES)
+                value[far] = mix(byte[far].astype(np.uint64))
             out[a:b] = mix(np.add.reduceat(value, first) + size.astype(np.uint64))
             a = b
     return out
