@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import dense_ids
 from tessera.llm import wordhash
 from tessera.llm.bloom import Filter, build, segment_of
-from tessera.llm.common import batch, discard, parts, stored, table
+from tessera.llm.common import discard, stored, table
 from tessera.llm.components import connected
 from tessera.llm.similar import picked
 
