@@ -37,7 +37,7 @@ PRIOR = 200.0
 #: Bytes of text of a block, and from which a text is cut between words; bytes of text for each segment, at most.
 BLOCK_BYTES, PIECE_BYTES, SEGMENT_BYTES = 1 << 23, 1 << 22, 1 << 24
 #: Bytes of a filter that is broadcast, at most; pairs that a map task holds before it sends them.
-MOST_BROADCAST, HELD_PAIRS = 1 << 25, 1 << 21
+MOST_BROADCAST, HELD_PAIRS = 1 << 20, 1 << 21
 PAIRS, WORDS, TEXTS = 0, 1, 2
 SENT = pa.schema([("block", pa.int64()), ("segment", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("code", pa.binary()), ("counts", pa.binary())])
 SENT_SQL = "block bigint, segment int, kind int, n bigint, code binary, counts binary"
@@ -340,7 +340,7 @@ def score(docs: DataFrame, learn: Column, most_broadcast: int = MOST_BROADCAST)
     if kept.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0] <= most_broadcast:
         held = docs.sparkSession.sparkContext.broadcast(Filter(segments, {r["segment"]: bytes(r["bits"]) for r in kept.collect()}))
     else:
-        words = words.unionByName(stored(probed(texts, kept, segments)))
+        words = words.unionByName(probed(texts, kept, segments))
     pieces = scored(texts, words, z, held)
     sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")]
     return pieces.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *sums).select("doc_id", "n_tokens", "n_known", F.lit(totals["n"]).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), "score")
