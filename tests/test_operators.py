@@ -494,3 +494,12 @@ def test_models_are_loaded_once_a_worker():
     for name in "bcd":
         scan.loaded(name, load)
     assert len(calls) == 4 and len(scan.MODELS) == scan.MOST_MODELS
+
+
+def test_rounded_as_sql_rounds_doubles(spark):
+    import duckdb
+
+    values = [2885.5, 6456.5, -2885.5, 138.58, 0.0, 5135.5, -6093.5]
+    got = [r.x for r in spark.createDataFrame([(v,) for v in values], "v double").select(C.rounded(F.col("v") / 10000, 4).alias("x")).collect()]
+    con = duckdb.connect()
+    assert got == [con.execute("select round(?::double / 10000, 4)", [v]).fetchone()[0] for v in values]
