@@ -503,3 +503,22 @@ def test_rounded_as_sql_rounds_doubles(spark):
     got = [r.x for r in spark.createDataFrame([(v,) for v in values], "v double").select(C.rounded(F.col("v") / 10000, 4).alias("x")).collect()]
     con = duckdb.connect()
     assert got == [con.execute("select round(?::double / 10000, 4)", [v]).fetchone()[0] for v in values]
+
+
+def test_quantiles_count_and_write_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    values = [*rng.normal(size=700).tolist(), *[0.25] * 90, 1e300, -1e300, 5e-324, math.inf, math.inf, -math.inf]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "x double")
+    shares = [i / 37 for i in range(38)]
+
+    def place(s):
+        q, at = s * (len(values) - 1), sorted(values)
+        low = at[int(q)]
+        return low + (at[min(int(q) + 1, len(at) - 1)] - low) * (q - int(q))
+
+    monkeypatch.setattr(C, "settled", None)  # no table is written
+    for least in (C.LEFT, 3):
+        monkeypatch.setattr(C, "LEFT", least)
+        got = C.exact_quantiles(df, "x", shares)
+        assert [g for g in got[1:-1]] == pytest.approx([place(s) for s in shares][1:-1])
+    assert C.exact_quantiles(spark.createDataFrame([(2.0,), (math.nan,)], "x double"), "x", [0.0])[0] == 2.0
