@@ -522,3 +522,12 @@ def test_quantiles_count_and_write_nothing(spark, monkeypatch):
         got = C.exact_quantiles(df, "x", shares)
         assert [g for g in got[1:-1]] == pytest.approx([place(s) for s in shares][1:-1])
     assert C.exact_quantiles(spark.createDataFrame([(2.0,), (math.nan,)], "x double"), "x", [0.0])[0] == 2.0
+
+
+def test_pairs_send_blocks_of_queries_only(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "image_id bigint, features array<double>")
+    pairs = vectors.pairwise_distances(df.where("image_id < 5"), "euclidean", block=2, others=df)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "BroadcastNestedLoopJoin" in plan and pairs.count() == 5 * 39
+    scanned = vectors.nearest(df.where("image_id < 5").select(F.col("image_id").alias("query_id"), "image_id"), df.where("image_id > 0"), 3)
+    assert "MapInPandas" not in scanned._jdf.queryExecution().executedPlan().toString() and scanned.count() == 12
