@@ -531,3 +531,16 @@ def test_pairs_send_blocks_of_queries_only(spark):
     assert "Generate" not in plan and "BroadcastNestedLoopJoin" in plan and pairs.count() == 5 * 39
     scanned = vectors.nearest(df.where("image_id < 5").select(F.col("image_id").alias("query_id"), "image_id"), df.where("image_id > 0"), 3)
     assert "MapInPandas" not in scanned._jdf.queryExecution().executedPlan().toString() and scanned.count() == 12
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_shared_clauses_expand_once(spark, monkeypatch, most):
+    monkeypatch.setattr(labels, "MOST_BROADCAST", most)
+    rows = [(None, 1, [10, 11, 12], []), *[(i, i, [], []) for i in (10, 11, 12)], (None, 2, [], [])]
+    graph = spark.createDataFrame(rows, "label_id bigint, synset_id bigint, hyponyms array<bigint>, hypernyms array<bigint>")
+    parts = [(q, 1, 1, False, True) for q in range(50)] + [(q, 2, 10, False, False) for q in range(50)] + [(50, 1, 2, False, True), (50, 2, 1, True, False), (51, 1, 99, False, True)]
+    out = labels.expand_query(spark.createDataFrame(parts, "query_id bigint, position int, synset_id bigint, is_and boolean, use_children boolean"), graph)
+    found = sorted((r.query_id, r.clause_no, r.label_id or 0) for r in out.collect())
+    assert found == sorted([*[(q, 0, i) for q in range(50) for i in (10, 11, 12)], (50, 0, 0), *[(50, 1, i) for i in (10, 11, 12)], (51, 0, 0)])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(line.lstrip(" :+-").startswith("Aggregate [query_id") for line in plan.split("\n"))
