@@ -544,3 +544,23 @@ def test_shared_clauses_expand_once(spark, monkeypatch, most):
     assert found == sorted([*[(q, 0, i) for q in range(50) for i in (10, 11, 12)], (50, 0, 0), *[(50, 1, i) for i in (10, 11, 12)], (51, 0, 0)])
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert not any(line.lstrip(" :+-").startswith("Aggregate [query_id") for line in plan.split("\n"))
+
+
+def test_configurations_share_a_row(spark, small, monkeypatch):
+    df, rows = small
+    written = []
+    monkeypatch.setattr(evaluation, "settled", lambda x: written.append(x.count()) or x)
+    q = spark.createDataFrame([(n, at + 1, (n + at) % 8) for n in range(5) for at in range(3)], "query_id bigint, position int, label_id bigint")
+    targets = spark.createDataFrame([(n, 3 * n) for n in range(5)], "query_id bigint, target_id bigint")
+    weights = spark.createDataFrame([(a, 1.0 + a) for a in range(8)], "label_id bigint, idf double")
+    got = {(r.config, r.query_id): r["rank"] for r in evaluation.rank_targets(df, q, targets, [0.0, 0.5], [1, 3], weights, digits=6).collect()}
+    assert len(got) == 40 and len(written) == 1 and written[0] <= 2 * 5 * 30
+    for (config, n), rank in got.items():
+        kind, t, length = config.split(" ")
+        own = [(n + at) % 8 for at in range(int(length[1:]))]
+        scores = {}
+        for a, i, p in rows:
+            if a in own and p >= float(t[1:]):
+                scores[i] = scores.get(i, 0) + p * (1 + a if kind == "idf" and len(own) > 1 else 1)
+        order = sorted(scores, key=lambda i: (-round(scores[i], 6), i))
+        assert rank == (order.index(3 * n) + 1 if 3 * n in scores else None)
