@@ -2,7 +2,9 @@
 
 The patterns are a trie; its edges lie in one open hash table, the fail links (the
 longest proper suffix that is a trie node) and the jumps to the next node on the
-fail path where a pattern ends in two arrays. A task cuts its texts into stretches
+fail path where a pattern ends in two arrays. Where a table of the next node by node
+and character is small enough, it takes the place of the hash table, and case is
+folded by the same look-up. A task cuts its texts into stretches
 of equal length that overlap by the longest pattern, and walks all stretches at
 once, a character a step. The time hardly depends on the number of patterns.
 """
@@ -16,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a stretch; characters walked at once; bytes of patterns (four a character) of one automaton.
-STRETCH, WALKED, PATTERN_BYTES = 2048, 1 << 22, 32 << 20
+#: Characters of a stretch; characters walked at once; bytes of patterns (four a character) of one automaton; bytes of its table of next nodes, where it has one.
+STRETCH, WALKED, PATTERN_BYTES, TABLE_BYTES = 2048, 1 << 22, 32 << 20, 32 << 20
+POINTS = 0x110000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -35,7 +38,8 @@ def folded(codes: np.ndarray) -> np.ndarray:
 class Automaton:
     """Trie nodes are numbered by depth, the root is 0. patterns: different, not empty."""
 
-    def __init__(self, patterns: list[str], ignore_case: bool = False):
+    def __init__(self, patterns: list[str], ignore_case: bool = False, table_bytes: int | None = None):
+        self.ignore_case = ignore_case
         codes = [folded(code_points(p)) if ignore_case else code_points(p) for p in patterns]
         self.longest = max(map(len, codes), default=0)
         at = np.zeros(len(codes), np.int64)  # the node of each pattern's first characters
@@ -44,7 +48,7 @@ class Automaton:
         self.keys = np.full(self.slots, -1, np.int64)
         self.child = np.zeros(self.slots, np.int64)
         nodes = 1
-        fail, ends, fails = [np.zeros(1, np.int64)], {}, np.zeros(1, np.int64)
+        fail, ends, fails, levels = [np.zeros(1, np.int64)], {}, np.zeros(1, np.int64), []
         for depth in range(self.longest):
             longer = np.array([i for i, c in enumerate(codes) if len(c) > depth], np.int64)
             letters = np.array([codes[i][depth] for i in longer.tolist()], np.int64)
@@ -59,6 +63,7 @@ class Automaton:
                 fail.append(np.zeros(len(edges), np.int64))
                 fails = np.concatenate(fail)
             self._put(edges, numbers)
+            levels.append((edges, numbers))
             nodes += len(edges)
             at[longer] = numbers[which]
         for i, node in enumerate(at.tolist()):
@@ -77,6 +82,26 @@ class Automaton:
             self.jump[own] = np.where(some[level], level, self.jump[level])
             at_depth += len(level)
         self.hits = some | (self.jump > 0)
+        self.classes = self.next = None
+        letters = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.uint32)
+        self.width = len(letters) + 1
+        if 4 * nodes * self.width <= (TABLE_BYTES if table_bytes is None else table_bytes):
+            self._tabulate(letters, nodes, levels)
+
+    def _tabulate(self, letters: np.ndarray, nodes: int, levels: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """The class of each code point (0: in no pattern), and the next node by node and class."""
+        every = np.arange(POINTS, dtype=np.uint32)
+        every = folded(every) if self.ignore_case else every
+        at = np.minimum(np.searchsorted(letters, every), max(len(letters) - 1, 0))
+        self.classes = np.where(letters[at] == every, at + 1, 0).astype(np.int32) if len(letters) else np.zeros(POINTS, np.int32)
+        self.next = np.zeros((nodes, self.width), np.int32)
+        own = np.zeros(1, np.int64)
+        for edges, numbers in levels:
+            # nodes of one depth: where their fail links lead, which are shallower, but for their own edges
+            self.next[own] = self.next[self.fail[own]]
+            self.next[edges >> 21, np.searchsorted(letters, edges & ((1 << 21) - 1)) + 1] = numbers
+            own = numbers
+        self.next[own] = self.next[self.fail[own]]
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -119,9 +144,13 @@ class Automaton:
         return out
 
     def find(self, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, end, pattern) of all hits in texts joined to codes; ends: where each text ends. end is the place after the hit, in codes."""
+        """(text, end, pattern) of all hits in texts joined to codes, in whatever case; ends: where each text ends. end is the place after the hit, in codes."""
         if not self.longest or not len(codes):
             return (np.zeros(0, np.int64),) * 3
+        if self.next is not None:
+            codes, table = self.classes[codes], self.next.ravel()
+        elif self.ignore_case:
+            codes = folded(codes)
         starts = np.concatenate(([0], ends[:-1]))
         counts = -(-(ends - starts) // STRETCH)
         text = np.repeat(np.arange(len(ends)), counts)
@@ -136,7 +165,8 @@ class Automaton:
         found = []
         for k in range(int(length.max(initial=0))):
             n = int(np.searchsorted(-length, -k, "left"))  # those of more than k characters
-            states[:n] = self.step(states[:n], codes[enter[:n] + k].astype(np.int64))
+            letters = codes[enter[:n] + k]
+            states[:n] = table[states[:n] * self.width + letters] if self.next is not None else self.step(states[:n], letters.astype(np.int64))
             at = np.flatnonzero(self.hits[states[:n]] & (enter[:n] + k >= begin[:n]))
             if len(at):
                 found.append((at, states[at], enter[at] + k + 1))
@@ -194,7 +224,7 @@ def find_patterns(texts: DataFrame, patterns: DataFrame, ignore_case: bool = Fal
                         b += 1
                     whole = np.concatenate(codes)
                     ends = np.cumsum([len(c) for c in codes])
-                    text, end, which = automaton.find(folded(whole) if ignore_case else whole, ends)
+                    text, end, which = automaton.find(whole, ends)
                     start = end - sizes[which] - (ends - np.diff(ends, prepend=0))[text] if len(text) else end
                     yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(a + text)), pa.array(names, pa.string()).take(pa.array(which)), pa.array(start, pa.int32())], names=["text_id", "pattern", "start"])
                     a = b

@@ -338,6 +338,21 @@ def test_automaton_against_search():
             assert got == sorted((i, p, s) for i, t in enumerate(texts) for p in wanted for s in range(len(t)) if low(t).startswith(low(p), s))
 
 
+def test_automaton_with_and_without_table():
+    rng = random.Random(3)
+    for ignore in (False, True):
+        wanted = list({"".join(rng.choice("abcÉ") for _ in range(rng.randint(1, 6))) for _ in range(40)})
+        text = "".join(rng.choice("abcABCéÉ漢 ") for _ in range(3 * patterns.STRETCH))
+        codes, ends = patterns.code_points(text), np.array([len(text)])
+        table, none = patterns.Automaton(wanted, ignore), patterns.Automaton(wanted, ignore, table_bytes=0)
+        # the table of small automata, which takes one look-up a character, folds case itself
+        assert table.next is not None and none.next is None
+        found = [sorted(zip(*(x.tolist() for x in a.find(codes, ends)), strict=True)) for a in (table, none)]
+        low = str.lower if ignore else str
+        assert found[0] == found[1] == sorted((0, s + len(p), i) for i, p in enumerate(wanted) for s in range(len(text)) if low(text).startswith(low(p), s))
+    assert not len(patterns.Automaton([]).find(patterns.code_points("abc"), np.array([3]))[0])
+
+
 def test_patterns_in_several_automata(spark):
     texts = [(1, "The THE other"), (2, None), (3, ""), (None, "then")]
     frame = spark.createDataFrame(texts, "text_id bigint, text string")
