@@ -12,6 +12,7 @@ once, a character a step. The time hardly depends on the number of patterns.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,11 @@ def folded(codes: np.ndarray) -> np.ndarray:
     return np.array([ord(x) if len(x) == 1 else c for x, c in zip(lower, own.tolist(), strict=True)], np.uint32)[at] if len(own) else codes
 
 
+@lru_cache(maxsize=1)
+def folded_points() -> np.ndarray:
+    return folded(np.arange(POINTS, dtype=np.uint32))
+
+
 class Automaton:
     """Trie nodes are numbered by depth, the root is 0. patterns: different, not empty."""
 
@@ -90,10 +96,10 @@ class Automaton:
 
     def _tabulate(self, letters: np.ndarray, nodes: int, levels: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """The class of each code point (0: in no pattern), and the next node by node and class."""
-        every = np.arange(POINTS, dtype=np.uint32)
-        every = folded(every) if self.ignore_case else every
-        at = np.minimum(np.searchsorted(letters, every), max(len(letters) - 1, 0))
-        self.classes = np.where(letters[at] == every, at + 1, 0).astype(np.int32) if len(letters) else np.zeros(POINTS, np.int32)
+        self.classes = np.zeros(POINTS, np.int32)
+        self.classes[letters] = np.arange(1, self.width)
+        if self.ignore_case:
+            self.classes = self.classes[folded_points()]
         self.next = np.zeros((nodes, self.width), np.int32)
         own = np.zeros(1, np.int64)
         for edges, numbers in levels:
