@@ -579,3 +579,25 @@ def test_configurations_share_a_row(spark, small, monkeypatch):
                 scores[i] = scores.get(i, 0) + p * (1 + a if kind == "idf" and len(own) > 1 else 1)
         order = sorted(scores, key=lambda i: (-round(scores[i], 6), i))
         assert rank == (order.index(3 * n) + 1 if 3 * n in scores else None)
+
+
+def test_pairs_of_labels_in_bounded_tasks(spark, monkeypatch):
+    rows = [(i, (i * j) % 7, 1.0 / (1 + j)) for i in range(60) for j in range(1, 4)] + [(1, 1, 0.5), (None, 1, 0.5), (2, None, 0.5)]
+    frame = spark.createDataFrame(rows, "image_id bigint, label_id bigint, prob double")
+    want = {}
+    for i, a, p in rows:
+        for k, b, q in rows:
+            if i == k and i is not None and a is not None and b is not None and a <= b:
+                want[a, b] = want.get((a, b), 0) + p * q
+    monkeypatch.setattr(postings, "TASK_ROWS", 20)
+    got = postings.cooccurrence(frame)
+    # as many tasks as the rows take, whatever the session's number of partitions
+    assert got.rdd.getNumPartitions() == -(-len(rows) // 20)
+    assert {(r[0], r[1]): round(r[2], 9) for r in got.collect()} == {k: round(v, 9) for k, v in want.items()}
+    sums, n = {}, len({i for i, *_ in rows if i is not None})
+    for _, a, p in rows:
+        sums[a] = sums.get(a, 0) + p
+    for most in (0, 100):
+        monkeypatch.setattr(postings, "MOST_BROADCAST", most)
+        cov = {(r[0], r[1]): round(r[2], 9) for r in postings.covariance(frame).collect()}
+        assert cov == {(a, b): round(v / n - sums[a] / n * sums[b] / n, 9) for (a, b), v in want.items()}
