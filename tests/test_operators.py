@@ -601,3 +601,12 @@ def test_pairs_of_labels_in_bounded_tasks(spark, monkeypatch):
         monkeypatch.setattr(postings, "MOST_BROADCAST", most)
         cov = {(r[0], r[1]): round(r[2], 9) for r in postings.covariance(frame).collect()}
         assert cov == {(a, b): round(v / n - sums[a] / n * sums[b] / n, 9) for (a, b), v in want.items()}
+
+
+def test_text_sums_of_repeated_ids(spark, tmp_path):
+    rows = [(1, "A b  a"), (1, "b c"), (2, None), (3, ""), (None, "a d"), (None, "d"), (4, " e a\n"), (5, "e")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {r[0]: round(r[1], 9) for r in fixtures.text_postings(spark, str(tmp_path)).groupBy("word").sum("prob").collect()}
+    sums = fixtures.text_sums(spark, str(tmp_path))
+    assert {r[0]: round(r[1], 9) for r in sums.collect()} == want
+    assert want["a"] == round(2 / 5 + 1 / 3 + 1 / 2, 9)
