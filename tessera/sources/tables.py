@@ -123,7 +123,12 @@ def read_category_mapping(spark: SparkSession, path: str) -> DataFrame:
 def parse_detections(lines: DataFrame) -> DataFrame:
     """A row for each box of JSON (value) {file: [[label, prob, [x, y, w, h]], ...]}."""
     files = lines.select(F.explode(F.from_json("value", "map<string,string>")).alias("file", "boxes"))
-    boxes = files.select("file", F.posexplode(F.from_json("boxes", "array<array<string>>")).alias("box_no", "box"))
+    return _boxes(files.select("file", F.from_json("boxes", "array<array<string>>").alias("boxes")))
+
+
+def _boxes(files: DataFrame) -> DataFrame:
+    """A row for each of the boxes (arrays of label, prob, place as texts) of a file."""
+    boxes = files.select("file", F.posexplode("boxes").alias("box_no", "box"))
     place = F.from_json(F.col("box")[2], "array<double>")
     return boxes.select(
         "file", F.col("box_no").cast("int"), F.col("box")[0].alias("label"), F.col("box")[1].cast("double").alias("prob"),
@@ -142,8 +147,10 @@ def read_detections(spark: SparkSession, path: str) -> DataFrame:
     body = F.regexp_replace(F.regexp_replace("value", r"^[\s,{}]+", ""), r"[\s}]+$", "")
     text = F.concat(F.lit("{"), F.col("body"), F.when(F.endswith("body", F.lit("]")), "").otherwise(DETECTIONS_END), F.lit("}"))
     pieces = spark.read.option("lineSep", DETECTIONS_END).text(path).select(body.alias("body")).where("body != ''").select(text.alias("value"))
-    good = F.from_json("value", "map<string,string>").isNotNull() & F.endswith("value", F.lit("]}"))
-    return parse_detections(pieces.select(F.when(good, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("no detections: "), F.substring("value", 1, 100)))).alias("value")))
+    # each text is parsed once, for the check and for its boxes
+    found = F.from_json("value", "map<string,array<array<string>>>")
+    wrong = F.raise_error(F.concat(F.lit("no detections: "), F.substring("value", 1, 100)))
+    return _boxes(pieces.select(F.explode(F.when(F.endswith("value", F.lit("]}")), F.coalesce(found, wrong)).otherwise(wrong)).alias("file", "boxes")))
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:

@@ -610,3 +610,11 @@ def test_text_sums_of_repeated_ids(spark, tmp_path):
     sums = fixtures.text_sums(spark, str(tmp_path))
     assert {r[0]: round(r[1], 9) for r in sums.collect()} == want
     assert want["a"] == round(2 / 5 + 1 / 3 + 1 / 2, 9)
+
+
+def test_detections_are_parsed_once(spark, tmp_path):
+    (tmp_path / "few.json").write_text('{"a.jpg": [], "b.jpg": [["x", 1e-3, [1, 2, 3.5, 4]]], "c.jpg": [["y", 0.5, [5, 6, 7, 8]]]}')
+    found = tables.read_detections(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [("b.jpg", 0, "x", 0.001, 1, 2, 3.5, 4), ("c.jpg", 0, "y", 0.5, 5, 6, 7, 8)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapType(StringType,StringType" not in plan
