@@ -28,13 +28,18 @@ from pyspark.sql import functions as F
 from tessera.llm.bloom import Filter, build, mix, segment_of
 from tessera.llm.common import batch, parts, stored, table
 from tessera.llm.exact_dedup import golomb_decode, golomb_encode, rice_bits
+from tessera.llm.wordhash import BLOCK, groups, powers, raw
 
 #: Bytes of the parts that anchors are chosen from; bits of an anchor; windows in a stretch at most.
 PART, ANCHOR_BITS, STRETCH = 20, 48, 256
 #: Bounds of the two filters together, in bits, and bytes sorted at a time.
 MOST_FILTER_BITS, BLOCK_BYTES = 1 << 29, 1 << 20
 #: Bytes of stretches that a task holds before it packs them.
-FLUSH_BYTES = 12 << 20
+FLUSH_BYTES = 18 << 20
+#: Bytes of texts whose anchors are found at once.
+GROUP = 1 << 18
+#: A value of each byte, for the hashes of windows.
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 #: A row is a stretch of a crowded anchor, or (with bucket) the packed stretches of a range of the others.
 STRETCHES = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
 STRETCHES_SQL = "bucket int, doc_id bigint, start bigint, bytes binary"
@@ -45,23 +50,18 @@ OUT_SQL = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept
 
 
 def window_hashes(text: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of each k-byte window, by doubling."""
-    a = np.uint64(0x9E3779B97F4A7C15)
+    """A 64-bit hash of each k-byte window, from running sums of bytes times powers; anchors need no more than equal hashes of equal windows."""
+    n = len(text) - k + 1
+    out = np.empty(max(n, 0), np.uint64)
+    up, down = powers(min(BLOCK, max(n, 1)) + k)
     with np.errstate(over="ignore"):
-        h = mix(text.astype(np.uint64) + np.uint64(1))
-        out, used, size = None, 0, 1
-        while True:
-            if k & size:
-                if out is None:
-                    out, used = h, size
-                else:
-                    n = len(text) - used - size + 1
-                    out, used = mix(out[:n] * a ^ h[used : used + n]), used + size
-            if 2 * size > k:
-                return out
-            n = len(h) - size
-            h = mix(h[:n] * a ^ h[size : size + n])
-            size *= 2
+        for a in range(0, n, BLOCK):
+            part = _BYTES[text[a : a + BLOCK + k - 1]]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(part * up[: len(part)], out=sums[1:])
+            m = len(part) - k + 1
+            out[a : a + m] = mix((sums[k:] - sums[:-k]) * down[:m])
+    return out
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -73,17 +73,30 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - size)], values[width - size :]) if width > size else values
 
 
-def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """starts of runs of windows with one anchor (the end last), and their anchors."""
-    n = len(text) - length + 1
+def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """owner (number of the text), start, end and anchor of the runs of windows with one anchor, of all texts at once."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    joined = np.frombuffer(b"".join(texts), np.uint8)
+    n = len(joined) - length + 1
     if n < 1:
-        return np.zeros(1, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     k = min(PART, length)
-    low = sliding_min(window_hashes(np.frombuffer(text, np.uint8), k), length - k + 1)
+    low = sliding_min(window_hashes(joined, k), length - k + 1)
     low = low >> np.uint64(64 - ANCHOR_BITS) << np.uint64(64 - ANCHOR_BITS)
+    change = np.concatenate(([True], low[1:] != low[:-1]))
+    # windows that begin in one text and end in another are runs of their own, and go
+    begin, some = np.cumsum(sizes) - sizes, sizes >= length
+    last = (begin + sizes - length + 1)[some]
+    change[begin[some]] = True
+    change[last[last < n]] = True
+    starts = np.flatnonzero(change)
+    ends = np.append(starts[1:], n)
+    owner = np.searchsorted(begin, starts, "right") - 1
+    own = starts - begin[owner] <= sizes[owner] - length
+    starts, ends, owner = starts[own], ends[own], owner[own]
     # mixed again: as minima they would crowd the low ranges
-    starts = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-    return np.append(starts, n), mix(low[starts]) >> np.uint64(64 - ANCHOR_BITS) << np.uint64(64 - ANCHOR_BITS)
+    h = mix(low[starts]) >> np.uint64(64 - ANCHOR_BITS) << np.uint64(64 - ANCHOR_BITS)
+    return owner, starts - begin[owner], ends - begin[owner], h
 
 
 def utf8(value: pa.Scalar) -> bytes:
@@ -100,11 +113,14 @@ def shared_anchors(docs: DataFrame, length: int, crowd: int) -> tuple[Filter, Fi
     def send(batches):
         held, stretches = [], []
         for b in batches:
-            for text in b.column(0):
-                starts, h = anchors(utf8(text), length)
-                own, inverse = np.unique(h >> shift, return_inverse=True)
-                held.append(own)
-                stretches.append(np.bincount(inverse, weights=-(-np.diff(starts) // STRETCH), minlength=len(own)))
+            for i, j in groups(b.column(0), GROUP):
+                owner, starts, ends, h = anchors(raw(b.column(0), i, j), length)
+                # an anchor once a text, with its stretches
+                order = np.lexsort((h, owner))
+                own, of = h[order] >> shift, owner[order]
+                first = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (of[1:] != of[:-1]))))[: len(own)]
+                held.append(own[first])
+                stretches.append(np.add.reduceat(-(-(ends - starts)[order] // STRETCH), first) if len(own) else own.astype(np.int64))
         if not held:
             return
         values, inverse, counts = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
@@ -273,10 +289,10 @@ def removed_runs(first: np.ndarray, doc: int, start: int) -> list[tuple[int, int
     return [(start + int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def packed(h: list[int], docs: list[int], starts: list[int], texts: list[bytes]) -> bytes:
+def packed(h: np.ndarray, docs: np.ndarray, starts: np.ndarray, texts: list[bytes]) -> bytes:
     """Stretches as one compressed blob, by anchor, so that copies lie together."""
-    order = np.argsort(np.array(h, np.uint64), kind="stable")
-    columns = [np.array(h, np.uint64)[order], np.array(docs, np.int64)[order], np.array(starts, np.int64)[order], np.fromiter(map(len, texts), np.int64, len(texts))[order]]
+    order = np.argsort(h, kind="stable")
+    columns = [h[order], docs[order], starts[order], np.fromiter(map(len, texts), np.int64, len(texts))[order]]
     raw = len(h).to_bytes(8, "little") + b"".join(c.tobytes() for c in columns) + b"".join([texts[i] for i in order])
     return zstandard.ZstdCompressor(level=3).compress(raw)
 
@@ -387,42 +403,43 @@ def removed_windows(docs: DataFrame, length: int = 50, crowd: int = 20_000) -> D
 
     def cut(batches):
         shared, hot = sent.value
-        cold: list[tuple] = [([], [], [], []) for _ in range(buckets)]
+        cold: list[tuple] = []
         size = 0
 
         def flush():
-            rows = [(i, packed(*c)) for i, c in enumerate(cold) if c[0]]
-            none = [None] * len(rows)
-            return batch(STRETCHES, {"bucket": [r[0] for r in rows], "doc_id": none, "start": none, "bytes": [r[1] for r in rows]})
+            to, h, docs, starts = (np.concatenate([c[i] for c in cold]) for i in range(4))
+            texts = [x for c in cold for x in c[4]]
+            order = np.argsort(to, kind="stable")
+            at = np.flatnonzero(np.diff(to[order], prepend=-1))
+            owns = [order[a:b] for a, b in zip(at, [*at[1:], len(order)], strict=True)]
+            none = [None] * len(owns)
+            blobs = [packed(h[own], docs[own], starts[own], [texts[i] for i in own.tolist()]) for own in owns]
+            return batch(STRETCHES, {"bucket": to[order[at]], "doc_id": none, "start": none, "bytes": blobs})
 
         for rows in batches:
-            out = {f.name: [] for f in STRETCHES}
-            for doc, value in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
-                text = utf8(value)
-                starts, h = anchors(text, length)
-                if not len(h):
-                    continue
+            ids = rows.column(0).to_numpy()
+            for i, j in groups(rows.column(1), GROUP):
+                texts = raw(rows.column(1), i, j)
+                owner, starts, ends, h = anchors(texts, length)
                 chosen = np.flatnonzero(shared.has(h))
-                own = h[chosen]
-                crowded = hot.has(own).tolist()
-                whose = segment_of(own, buckets).tolist()
-                for a, end, is_hot, to, key in zip(starts[chosen].tolist(), starts[chosen + 1].tolist(), crowded, whose, own.tolist(), strict=True):
-                    while a < end:
-                        b = min(a + STRETCH, end)
-                        if is_hot:
-                            out["bucket"].append(None)
-                            out["doc_id"].append(doc)
-                            out["start"].append(a)
-                            out["bytes"].append(text[a : b + length - 1])
-                        else:
-                            for column, x in zip(cold[to], (key, doc, a, text[a : b + length - 1]), strict=True):
-                                column.append(x)
-                            size += b - a + length
-                        a = b
-            yield batch(STRETCHES, out)
-            if size > FLUSH_BYTES:
-                yield flush()
-                cold, size = [([], [], [], []) for _ in range(buckets)], 0
+                # stretches of at most STRETCH windows
+                pieces = -(-(ends - starts)[chosen] // STRETCH)
+                of = np.repeat(chosen, pieces)
+                starts = starts[of] + STRETCH * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+                ends = np.minimum(starts + STRETCH, ends[of]) + length - 1
+                crowded, h, owner = np.repeat(hot.has(h[chosen]), pieces), h[of], owner[of]
+                docs, found = ids[i + owner], [texts[t][a:b] for t, a, b in zip(owner.tolist(), starts.tolist(), ends.tolist(), strict=True)]
+                if crowded.any():
+                    which = np.flatnonzero(crowded)
+                    yield batch(STRETCHES, {"bucket": [None] * len(which), "doc_id": docs[which], "start": starts[which], "bytes": [found[x] for x in which.tolist()]})
+                    rest = np.flatnonzero(~crowded)
+                    h, docs, starts, ends, found = h[rest], docs[rest], starts[rest], ends[rest], [found[x] for x in rest.tolist()]
+                if len(found):
+                    cold.append((segment_of(h, buckets), h, docs, starts, found))
+                    size += sum(map(len, found))
+                if size > FLUSH_BYTES:
+                    yield flush()
+                    cold, size = [], 0
         if size:
             yield flush()
 

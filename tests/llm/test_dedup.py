@@ -146,6 +146,21 @@ def test_suffix_dedup_of_nothing(spark):
     assert suffix_dedup.dedup(cases.empty(spark)).count() == 0
 
 
+def test_anchors_of_many_texts_at_once():
+    """The runs of each text are those that it has alone, and cover its windows; windows across texts have none."""
+    rng = random.Random(5)
+    texts = [bytes(rng.choice(b"ab cd") for _ in range(n)) for n in (0, 49, 50, 51, 400, 0, 3, 3000, 20, 50)]
+    owner, starts, ends, h = suffix_dedup.anchors(texts, 50)
+    for i, text in enumerate(texts):
+        none, a, b, own = suffix_dedup.anchors([text], 50)
+        at = owner == i
+        assert not none.any() and (starts[at] == a).all() and (ends[at] == b).all() and (h[at] == own).all()
+        assert [w for x, y in zip(a.tolist(), b.tolist(), strict=True) for w in range(x, y)] == list(range(len(text) - 49))
+    whole = np.frombuffer(bytes(rng.randrange(256) for _ in range(1000)) * 600, np.uint8)
+    found = suffix_dedup.window_hashes(whole, 20)  # in blocks
+    assert len(found) == len(whole) - 19 and len(np.unique(found)) == 1000 and (found[1000:] == found[:-1000]).all()
+
+
 def test_suffix_order():
     rng = random.Random(7)
     for _ in range(200):
