@@ -369,13 +369,14 @@ def accepter(model: Model, least_score: float, least_fit: float, long: int, path
     path = path or vocabulary_path()
     languages, probs = model.languages, model.probs
 
-    def accept(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def accept(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(vocabulary(path), languages, probs)
         for texts in batches:
-            _, scores, fits, letters = (np.array(x) for x in scorer(texts.tolist()))
-            yield pd.Series((letters > 0) & ((letters < long) | ((scores >= least_score) & (fits >= least_fit))))
+            # one text after another, never a batch of them as Python strings
+            _, scores, fits, letters = (np.array(x) for x in scorer(texts))
+            yield pa.array((letters > 0) & ((letters < long) | ((scores >= least_score) & (fits >= least_fit))))
 
-    return F.pandas_udf(accept, T.BooleanType())
+    return F.arrow_udf(accept, T.BooleanType())
 
 
 def held_out(key: str = "doc_id", mod: int = 4, rest: int = 2):

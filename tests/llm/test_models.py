@@ -382,3 +382,14 @@ def test_learned_pairs_travel_once_a_task_and_owner(spark, monkeypatch):
         sent = {r["kind"]: r["count"] for r in sent}
         assert sent[lm_scoring.PAIRS] <= 2 * 8
     assert sent[lm_scoring.TEXTS] > 10
+
+
+def test_the_language_filter_takes_arrow_arrays(spark):
+    """No batch of whole texts becomes Python strings or a pandas series beside its Arrow buffers."""
+    from pyspark.util import PythonEvalType
+
+    labelled = spark.createDataFrame([(1, "the cat sat on the mat", "en"), (2, "der hund und die katze", "de")], "doc_id long, text string, lang string")
+    model = language_id.train(labelled, rounds=1)
+    assert language_id.accepter(model, 0.5, -7.0, 50).evalType == PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF
+    rows = spark.createDataFrame([(1, "the cat", "x"), (2, None, "y"), (3, "12 34", "z"), (4, "☃ 漢字" * 40, "w")], "doc_id long, text string, note string")
+    assert [tuple(r) for r in language_id.drop_unidentified(rows, model).collect()] == [(1, "the cat", "x")]
