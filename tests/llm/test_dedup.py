@@ -303,6 +303,31 @@ def test_rounds_end_when_all_heads_are_tried(spark, monkeypatch):
     assert "over" in calls[-3] and calls[-3]["over"] == 0
 
 
+def test_similar_lines_without_spaces(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(60):
+        # sentences of a script without spaces, and long words of letters of two bytes and of one
+        letters, most = (("的一是不了在人有我他这中大来上个国到说们", 60), ("абвгдежзиклмнопрст", 50), ("abcdefghijklmnopqrst", 45))[i % 3]
+        line = [rng.choice(letters) for _ in range(rng.randint(12 if i % 3 == 0 else 22, most))]
+        rows.append("".join(line))
+        for _ in range(rng.choice([1, 2, 6])):
+            copy = [*line]
+            for _ in range(rng.randint(1, max(1, len(line) // 20))):
+                at = rng.randrange(len(copy))
+                copy[at : at + 1] = rng.choice([["ж" if i % 3 else "水"], [], [copy[at], "z"]])
+            rows.append("".join(copy))
+    # the same characters as words, and others in a word with a sign, are no links
+    spaced = " ".join(rows[0])
+    rows += [spaced, "значениепараметра=" + "б" * 20, "значениепараметра=" + "б" * 19 + "в"]
+    rows = [(i, t) for i, t in enumerate(rows)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    gone = {r.doc_id for r in out.collect() if r.n_removed}
+    wanted = {i for (i, t), left in brute_lines(rows).items() if not left}
+    assert gone <= wanted and len(gone) >= 0.97 * len(wanted) > 100
+    assert all(i not in gone for i, t in rows if t == spaced or "=" in t)
+
+
 def test_long_lines_and_texts(spark):
     line = "word " * 1_200_000
     rows = [(1, line), (2, "first\n" + line + "\nlast one"), (3, "first\n" * 900_000 + "only here"), (4, "last one")]
